@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterato
     for batch in batches:
         if not batch.num_rows:
             continue
-        lengths = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+        lengths = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
         group = np.cumsum(lengths) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):

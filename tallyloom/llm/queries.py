@@ -9,13 +9,22 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, id_files, packing, token_counts, transducer
+from . import common, id_files, nearest, packing, tiff, token_counts, transducer
 
 
 def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = common.table(spark, sf_dir, "embeddings")
+    return nearest.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.stored_features(common.table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     cache = f"{common.scratch(spark)}/token-cache-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
@@ -37,5 +46,5 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op8_packing, op9_bpe_transducer, op10_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op3_tiff, op5_token_counts, op8_packing, op9_bpe_transducer, op10_id_files)}
 ORACLE_SQL: dict[str, str] = {}
