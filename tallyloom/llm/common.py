@@ -88,6 +88,8 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words when punctuation isn't part of them: ASCII but letters and digits.
+BREAKS = np.array([not (chr(b).isalnum() or b > 127) for b in range(256)])
 _POWERS: list[np.ndarray] = []
 
 
@@ -98,10 +100,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_spans(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: list[bytes | None], breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts' bytes joined by line ends, words' starts and ends in them, and words per text."""
     data = np.frombuffer(b"\n" + b"\n".join(t or b"" for t in texts) + b"\n", np.uint8)
-    space = _SPACE[data]
+    space = breaks[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     edges = np.cumsum([1, *(len(t or b"") + 1 for t in texts)])
@@ -109,9 +111,9 @@ def word_spans(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.nd
     return data, starts, ends, counts
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` in order, and the number of words of each text."""
-    data, starts, ends, counts = word_spans(texts)
+def word_hashes(texts: list[bytes | None], lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes not in ``breaks``, A-Z lower-cased) in order, and the words of each text."""
+    data, starts, ends, counts = word_spans(texts, breaks)
     up, down = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)])])
     return mix((sums[ends] - sums[starts]) * down[starts]), counts

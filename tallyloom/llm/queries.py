@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, id_files, nearest, packing, tiff, token_counts, transducer
+from . import common, id_files, nearest, packing, quality, tiff, token_counts, toxicity, transducer
 
 
 def tokenizer(name: str) -> str:
@@ -25,12 +25,20 @@ def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(common.table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     cache = f"{common.scratch(spark)}/token-cache-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return token_counts.token_counts(docs, tokenizer("byte_bpe_50k.json"), cache)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return packing.pack(docs, tokenizer("word_bpe_49k.json"), with_ids=False).drop("ids")
@@ -46,5 +54,5 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op3_tiff, op5_token_counts, op8_packing, op9_bpe_transducer, op10_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op3_tiff, op4_toxicity, op5_token_counts, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
 ORACLE_SQL: dict[str, str] = {}
