@@ -111,9 +111,14 @@ def word_spans(texts: list[bytes | None], breaks: np.ndarray = _SPACE) -> tuple[
     return data, starts, ends, counts
 
 
-def word_hashes(texts: list[bytes | None], lower: bool = True, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs of bytes not in ``breaks``, A-Z lower-cased) in order, and the words of each text."""
+def word_hashes(texts: list[bytes | None], lower: bool = True, breaks: np.ndarray = _SPACE, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes not in ``breaks``, A-Z lower-cased) in order, and the words of each text.
+
+    With ``first``, a word's hash is that of its first so many bytes.
+    """
     data, starts, ends, counts = word_spans(texts, breaks)
+    if first:
+        ends = np.minimum(ends, starts + first)
     up, down = _powers(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)])])
     return mix((sums[ends] - sums[starts]) * down[starts]), counts

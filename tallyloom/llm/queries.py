@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, id_files, nearest, packing, quality, tiff, token_counts, toxicity, transducer
+from . import common, id_files, nearest, packing, parity_join, quality, tiff, token_counts, toxicity, transducer
 
 
 def tokenizer(name: str) -> str:
@@ -21,6 +21,10 @@ def op1_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.join(common.table(spark, sf_dir, "documents"))
+
+
 def op3_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_features(common.table(spark, sf_dir, "documents"))
 
@@ -54,5 +58,5 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op3_tiff, op4_toxicity, op5_token_counts, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op2_ngram_jaccard, op3_tiff, op4_toxicity, op5_token_counts, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the distinct buckets (2**``BITS``) of its words, word pairs and pairs with one word left out; words
-are runs of letters and digits, A-Z lower-cased. FTRL keeps a rate per coordinate and sets weights of weak evidence to
+A text's features are the distinct buckets (2**``BITS``) of its words, word pairs and pairs with one word left out, and of
+its words' first ``STEM`` bytes, which inflected words share; words are runs of letters and digits, A-Z lower-cased. FTRL keeps a rate per coordinate and sets weights of weak evidence to
 exactly zero (L1), so the model is a short list of buckets and weights that is broadcast to score every text in full.
 
 The fit takes a bounded sample of labelled rows (``sample``), in one task; features are made in parallel before it.
@@ -25,14 +25,16 @@ from .labels import in_one_task, sample_labelled
 
 BITS = 20
 BIAS = 1 << BITS
+STEM = 5
 
 
 def buckets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Feature buckets of all texts with repeats, and the text each comes from."""
     words, counts = word_hashes(texts, breaks=BREAKS)
+    stems, _ = word_hashes(texts, breaks=BREAKS, first=STEM)
     of = np.repeat(np.arange(len(texts)), counts)
     shift = np.uint64(64 - BITS)
-    out, owner = [words >> shift], [of]
+    out, owner = [words >> shift, mix(stems + np.uint64(1)) >> shift], [of, of]
     for gap, salt in ((1, 0xA24BAED4963EE407), (2, 0x9FB21C651E98DF25)):
         same = of[gap:] == of[:-gap]
         out.append((mix(words[:-gap][same] * np.uint64(salt) + words[gap:][same]) >> shift))
@@ -40,8 +42,11 @@ def buckets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).astype(np.int64), np.concatenate(owner)
 
 
-def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, passes: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Non-zero weights (buckets, values) after ``passes`` over the examples (distinct buckets, label)."""
+def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 12.0, l2: float = 0.1, passes: int = 4, toxic: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Non-zero weights (buckets, values) after ``passes`` over the examples (distinct buckets, label).
+
+    An example of label 1, the rarer, counts ``toxic`` times.
+    """
     z, n = np.zeros(BIAS + 1), np.zeros(BIAS + 1)
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -53,6 +58,7 @@ def ftrl(examples: list[tuple[np.ndarray, int]], alpha: float = 0.1, beta: float
         for at, y in examples:
             w, ns = weights(at), n[at]
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
+            g *= toxic if y else 1.0
             if g * g < 1e-8:
                 continue
             z[at] += g - (np.sqrt(ns + g * g) - np.sqrt(ns)) / alpha * w
