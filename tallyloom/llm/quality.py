@@ -51,10 +51,12 @@ def describe(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(starts)) - np.repeat(np.cumsum(counts) - counts, counts)
     of = np.repeat(first, counts) + place // WORDS
     total = int(passages.sum())
-    # A byte belongs to the passage of the last word begun before it.
+    # A byte belongs to the passage of the last word begun before it in its text.
     begun = np.cumsum(np.bincount(starts, minlength=len(data))) - 1
     kind = _CLASS[data]
-    inside = np.flatnonzero(begun[:-1] >= 0)
+    owner = np.repeat(np.arange(len(texts)), [len(t or b"") + 1 for t in texts])  # the line end after a text is its last byte
+    last = np.append(owner[1:] != owner[:-1], True)
+    inside = np.flatnonzero((begun[1:] >= (np.cumsum(counts) - counts)[owner]) & ~last) + 1
     pairs = np.bincount(of[begun[inside]] * 256 + kind[inside] * 16 + kind[inside + 1], minlength=total * 256).reshape(total, 256) if len(starts) else np.zeros((total, 256))
     n_words = np.bincount(of, minlength=total)
     keys = np.unique(of.astype(np.uint64) << np.uint64(32) | hashes >> np.uint64(32))
@@ -155,10 +157,10 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(shared.value) if shared.value else None
+        net = Network({k: v.astype(float) for k, v in shared.value.items()}) if shared.value else None
         for batch in blocks(batches, "text", 1 << 20):
             scores = net.scores(*describe(batch.column("text").cast(pa.binary()).to_pylist())) if net else np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(scores.astype(float))], names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(np.round(scores.astype(float), 9))], names)
 
     return docs.drop("score").mapInArrow(run, schema)
 
