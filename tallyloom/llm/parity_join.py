@@ -120,7 +120,7 @@ def _entities(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "n", "ent"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "digest", "n", "ent"])
 
     return run
 
@@ -301,13 +301,37 @@ def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket:
     return components(near.unionByName(verify(rest, texts, words)))
 
 
-def join(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
+def _placed(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest, n and root of the rows with words, and doc_id, digest, n of those without."""
     ready(docs.sparkSession)
-    docs = spread(docs.select("doc_id", "text"))
-    entities = saved(docs.mapInArrow(_entities(words), "doc_id long, n long, ent long"), "entities")
+    docs = spread(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")))
+    entities = saved(docs.mapInArrow(_entities(words), "doc_id long, digest long, n long, ent long"), "entities")
     roots = links(docs, entities, words)
-    placed = entities.where("ent is not null").join(roots.withColumnRenamed("v", "ent"), "ent", "left").select("doc_id", "n", F.coalesce("root", "ent").alias("root"))
+    full = entities.where("ent is not null").join(roots.withColumnRenamed("v", "ent"), "ent", "left")
+    return full.select("doc_id", "digest", "n", F.coalesce("root", "ent").alias("root")), entities.where("ent is null").select("doc_id", "digest", "n")
+
+
+def join(docs: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of ``docs`` (doc_id, text)."""
+    placed, empty = _placed(docs, words)
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(entities.where("ent is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return linked.unionByName(empty.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component: the one of the smallest doc_id stays.
+
+    Rows with no doc_id stay only if the whole component has none; rows without words all stay.
+    """
+    placed, empty = _placed(docs, words)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
+    stay = placed.groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.digest")
+    stay = saved(stay.withColumn("once", F.lit(True)).unionByName(empty.select("doc_id", "digest").distinct().withColumn("once", F.lit(False))), "stay")
+    own = F.xxhash64("text")
+    kept = docs.join(stay.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("once").alias("_once")).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_digest")))
+    once = stay.where("once").select("doc_id", "digest").alias("s")
+    twice = placed.groupBy("doc_id", "digest").count().where("count > 1").join(once, ["doc_id", "digest"], "left_semi")
+    if not twice.isEmpty():  # rows that repeat doc_id and text: one of them
+        kept = kept.where("not _once").unionByName(kept.where("_once").dropDuplicates(["_id", "_digest"]))
+    return kept.drop("_id", "_digest", "_once")

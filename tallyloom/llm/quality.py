@@ -148,12 +148,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
     return {r.part: np.frombuffer(r.value, "<f4").reshape(Network.SHAPES[r.part]) for r in parts} or None
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
-    """``docs`` (with a column text) and score, 0 to 1."""
+def score(docs: DataFrame, model: dict[str, np.ndarray] | None, name: str = "score") -> DataFrame:
+    """``docs`` (with a column text) and its score, 0 to 1, as column ``name``, which takes the place of one so named."""
     spark = docs.sparkSession
     ready(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.drop("score").schema.add("score", "double")
+    schema = docs.drop(name).schema.add(name, "double")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +162,7 @@ def score(docs: DataFrame, model: dict[str, np.ndarray] | None) -> DataFrame:
             scores = net.scores(*describe(batch.column("text").cast(pa.binary()).to_pylist())) if net else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(np.round(scores.astype(float), 9))], names)
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.drop(name).mapInArrow(run, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = 6_000, threshold: float = 0.3) -> DataFrame:

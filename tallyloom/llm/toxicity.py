@@ -89,12 +89,12 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: int =
     return (np.frombuffer(model.at, "<i8"), np.frombuffer(model.w, "<f8")) if model else None
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
-    """``docs`` (with a column text) and score, 0 to 1."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, name: str = "score") -> DataFrame:
+    """``docs`` (with a column text) and its score, 0 to 1, as column ``name``, which takes the place of one so named."""
     spark = docs.sparkSession
     ready(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.drop("score").schema.add("score", "double")
+    schema = docs.drop(name).schema.add(name, "double")
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None) -> DataF
                 scores = 1 / (1 + np.exp(-sums))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(scores)], names)
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.drop(name).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = 16_000, threshold: float = 0.5) -> DataFrame:
