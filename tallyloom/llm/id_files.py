@@ -82,8 +82,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, rows_
     ordered.mapInArrow(_shards(tokenizer, dictionary, digest, end_id, shard_bytes), SHARD).write.parquet(f"{path}/shards")
 
 
-def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of every document, from the files."""
+def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit; null without ``with_ids``) of every document."""
     ready(spark)
     stored = spark.read.parquet(f"{path}/dictionary").first()
     table = spark.read.schema(SHARD).parquet(f"{path}/shards")
@@ -108,6 +108,6 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 for a in range(0, len(keys), 256):
                     part = slice(a, a + 256)
                     ids = [unpress.decompress(row["payload"][x:y]) for x, y in zip([ends[a - 1] if a else 0, *ends[part][:-1]], ends[part])]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=keys[part] == NULL_ID), pa.array(starts[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=keys[part] == NULL_ID), pa.array(starts[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [None] * len(ids), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return table.join(starts, ["bucket", "shard"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

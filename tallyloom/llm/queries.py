@@ -55,7 +55,7 @@ def op9_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{common.scratch(spark)}/ids-{uuid.uuid4().hex[:12]}"
     id_files.write_ids(common.table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), path)
-    return id_files.read_ids(spark, path).drop("ids")
+    return id_files.read_ids(spark, path, with_ids=False).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op2_ngram_jaccard, op3_tiff, op4_toxicity, op5_token_counts, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
