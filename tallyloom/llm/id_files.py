@@ -29,13 +29,16 @@ from pyspark.sql import functions as F
 from .common import ready
 from .encoding import encoder
 
+SMALL = 100_000  # shards whose places are broadcast: 2 MB
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the index
 SHARD = "bucket int, shard int, dictionary_sha256 string, n_ids long, doc_ids binary, ends binary, counts binary, payload binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 1000, size: int = 65_536) -> bytes:
     """A dictionary of ``size`` bytes from the ids of at most ``sample`` documents (the first by a hash of doc_id)."""
-    texts = docs.select("doc_id", F.substring("text", 1, 8192).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select("doc_id", F.substring("text", 1, 8192).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` numbers
+    texts = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample)
     encode = encoder(tokenizer).ids
     arrays = [encode(r.text) + np.uint32(end_id).tobytes() for r in texts.collect()]
     try:
@@ -110,4 +113,6 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     ids = [unpress.decompress(row["payload"][x:y]) for x, y in zip([ends[a - 1] if a else 0, *ends[part][:-1]], ends[part])]
                     yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=keys[part] == NULL_ID), pa.array(starts[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [None] * len(ids), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
+    if table.count() <= SMALL:  # a row for each shard of some MB; beyond that many, shards and places are both shuffled
+        starts = F.broadcast(starts)
     return table.join(starts, ["bucket", "shard"]).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
