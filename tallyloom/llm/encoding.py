@@ -25,7 +25,7 @@ def _plain(letter: str) -> bool:
 class PieceEncoder(dict):
     """ids(text): the library's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_300_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.tokenizer.no_truncation()
