@@ -14,7 +14,7 @@ A few keys more (``spare``) are given, so that as many crowded keys (those of pa
 left out again: a set's crowded keys matter only if they outnumber its spare ones. Keys are dealt by hash to buckets as
 blocks of numbers. Pairs under uncrowded keys are candidates. Under crowded keys each set is first compared with the
 one named most often as the smallest under its keys; what this doesn't join to one component is compared pair by pair, if
-its sizes and the Hamming distance of a second, dense parity sketch of 1024 bits allow a link.
+its sizes and the Hamming distance of a second, dense parity sketch of 2048 bits (of 16,384 for large sets) allow a link; all pairs pass that test first.
 
 Equal sets are one entity, named by a 64-bit hash of the set, from the start. Candidates are verified on the texts' sets.
 
@@ -116,11 +116,22 @@ def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
 
 
+LONGS, FOLDS = 32, 8
+LARGE, WIDE = 1500, 256  # sets beyond LARGE shingles, which would fill that sketch, have one of WIDE numbers too
+
+
+def dense(s: np.ndarray, longs: int = LONGS) -> np.ndarray:
+    """A parity sketch of ``longs`` (a power of two) numbers of 64 bits."""
+    bits = (64 * longs).bit_length() - 1
+    odd = np.bincount((mix(s + np.uint64(3)) >> np.uint64(64 - bits)).astype(np.int64), minlength=64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 def _entities(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64())], ["doc_id", "digest", "n", "ent"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64()), pa.array([dense(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([dense(s, WIDE) if len(s) > LARGE else None for s in sets], pa.list_(pa.int64()))], ["doc_id", "digest", "n", "ent", "sketch", "wide"])
 
     return run
 
@@ -214,21 +225,6 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(held)
 
 
-def dense(s: np.ndarray) -> list[int]:
-    """A parity sketch of 1024 bits, as 16 numbers."""
-    odd = np.bincount((mix(s + np.uint64(3)) >> np.uint64(54)).astype(np.int64), minlength=1024) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
-
-
-def _with_sketch(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text", 1 << 20):
-            sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column("ent"), pa.array([len(s) for s in sets], pa.int64()), pa.array([dense(s) for s in sets], pa.list_(pa.int64())), batch.column("text")], ["ent", "n", "sketch", "text"])
-
-    return run
-
-
 def _compare(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -257,55 +253,86 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, block: int = 256) ->
     return rows.mapInArrow(_compare(words), "a long, b long")
 
 
+def _sizes_and(x: F.Column, y: F.Column, apart: F.Column) -> F.Column:
+    """Sizes x and y, and a distance that their symmetric difference is at least, allow a link."""
+    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & (apart * (DEN + NUM) <= (x + y) * (DEN - NUM))
+
+
 def _may_link(left: str, right: str) -> F.Column:
     """Sizes and dense sketches of both allow a link."""
-    x, y = F.col(f"{left}.n"), F.col(f"{right}.n")
-    apart = sum((F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i])) for i in range(1, 16)), F.bit_count(F.col(f"{left}.sketch")[0].bitwiseXOR(F.col(f"{right}.sketch")[0])))
-    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & (apart * (DEN + NUM) <= (x + y) * (DEN - NUM))
+    bits = [F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i])) for i in range(LONGS)]
+    return _sizes_and(F.col(f"{left}.n"), F.col(f"{right}.n"), sum(bits[1:], bits[0]))
+
+
+def _by_wide(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) less those of which both have a wide sketch and the two are too far apart."""
+    wide = sketches.where("wide is not null")
+    both = pairs.join(wide.select(F.col("ent").alias("a"), F.col("wide").alias("_x"), F.col("n").alias("_m")), "a", "left")
+    both = both.join(wide.select(F.col("ent").alias("b"), F.col("wide").alias("_y"), F.col("n").alias("_n")), "b", "left")
+    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
+    return both.where(F.col("_x").isNull() | F.col("_y").isNull() | _sizes_and(F.col("_m"), F.col("_n"), apart)).select(*pairs.columns)
+
+
+def _fold(i: int) -> F.Column:
+    """A parity sketch folds to a shorter one by XOR."""
+    out = F.col("sketch")[i]
+    for k in range(i + FOLDS, LONGS, FOLDS):
+        out = out.bitwiseXOR(F.col("sketch")[k])
+    return out
 
 
 def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket: int = 4096) -> DataFrame:
-    """root (of its component) for each entity v that is linked with another; ``entities`` has doc_id, n, ent."""
+    """root (of its component) for each entity v that is linked with another; ``entities`` has doc_id, n, ent and sketch."""
     buckets = max(1, -(-entities.count() // rows_per_bucket))
     found = docs.select("text").mapInArrow(_deal(words, buckets), "bucket long, keys binary, ents binary, sizes binary")
     found = saved(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket, CANDIDATE), "candidates")
     plain = found.where("key is null").select("a", "b").distinct()
     crowded = found.where("key is not null")
-
-    # Each entity with the one that its keys name most often as the smallest.
-    votes = crowded.select("a", "b").where("a != b").unionByName(plain).groupBy("b", "a").count()
-    stars = saved(votes.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b"), "stars")
-    involved = found.select(F.explode(F.array("a", "b")).alias("ent")).distinct()
-    firsts = entities.where("ent is not null and doc_id is not null").groupBy("ent").agg(F.min("doc_id").alias("doc_id"))
-    chosen = involved.join(firsts, "ent")
-    texts = docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id")
-    texts = saved(texts.select("ent", "text").mapInArrow(_with_sketch(words), "ent long, n long, sketch array<long>, text string"), "texts")
-    sizes = texts.select("ent", "n", "sketch")
-    near = saved(verify(stars, texts, words), "links")
-    roots = components(near)
-
-    # Pairs that are still apart.
-    at = involved.join(roots.withColumnRenamed("v", "ent"), "ent", "left").select("ent", F.coalesce("root", "ent").alias("root"))
-    state = saved(at.join(sizes, "ent"), "state")
-    ends = lambda side, name: state.select(F.col("ent").alias(side), F.struct("root", "n", "sketch").alias(name))
-    left = plain.join(ends("a", "l"), "a").join(ends("b", "r"), "b").where((F.col("l.root") != F.col("r.root")) & _may_link("l", "r")).select("a", "b")
+    named = crowded.where("a != b").groupBy("b", "a").count().unionByName(plain.withColumn("count", F.lit(1)))
+
+    # The pairs that sizes and Hamming distances allow; under crowded keys, those with the keys' smallest entities.
+    met = found.select(F.explode(F.array("a", "b")).alias("ent")).distinct()
+    sketches = entities.where("ent is not null").groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.min("doc_id").alias("doc_id")).join(met, "ent", "left_semi")
+    sketches = saved(sketches, "sketches")
+    ends = lambda side, name: sketches.select(F.col("ent").alias(side), F.struct("n", "sketch").alias(name))
+    near = named.join(ends("a", "l"), "a").join(ends("b", "r"), "b").where(_may_link("l", "r"))
+    near = saved(_by_wide(near.groupBy("a", "b").agg(F.sum("count").alias("count")), sketches), "near")
+    # Each entity is first compared with the one that its keys name most often.
+    stars = near.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+
+    # Pairs under crowded keys that outnumber what a set, or a partner of its least size, has to spare.
     counted = crowded.groupBy("b", "role").agg(F.countDistinct("key").alias("keys"), F.first("n").alias("n"))
-    # The least number of spare keys that a partner of this set may have.
     bound = counted.where(F.col("keys") > F.floor(F.ceil(F.col("n") * 0.75) / 24)).select("b", "role")
-    open_keys = crowded.join(bound, ["b", "role"]).select("key", F.col("b").alias("ent")).distinct().join(state.select("ent", "root"), "ent")
-    split = open_keys.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rows = open_keys.join(split, "key").join(sizes, "ent").select("key", F.struct("ent", "root", "n", "sketch").alias("s"))
-    crowd = rows.select("key", F.col("s").alias("l")).join(rows.select("key", F.col("s").alias("r")), "key")
-    crowd = crowd.where((F.col("l.ent") < F.col("r.ent")) & (F.col("l.root") != F.col("r.root")) & _may_link("l", "r")).select(F.col("l.ent").alias("a"), F.col("r.ent").alias("b"))
+    open_keys = saved(crowded.join(bound, ["b", "role"]).select("key", F.col("b").alias("ent")).distinct(), "open-keys")
+    chosen = near.select(F.explode(F.array("a", "b")).alias("ent")).unionByName(open_keys.select("ent")).distinct()
+    chosen = sketches.select("ent", "doc_id").where("doc_id is not null").join(chosen, "ent", "left_semi")
+    texts = saved(docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id").select("ent", "text"), "texts")
+    first = saved(verify(stars, texts, words), "links")
+    roots = components(first)
+
+    # Pairs that are still apart.
+    state = saved(sketches.select("ent").join(roots.withColumnRenamed("v", "ent"), "ent", "left").select("ent", F.coalesce("root", "ent").alias("root")), "state")
+    x, y = state.select(F.col("ent").alias("a"), F.col("root").alias("x")), state.select(F.col("ent").alias("b"), F.col("root").alias("y"))
+    left = near.join(x, "a").join(y, "b").where("x != y").select("a", "b")
+    # Under open keys, pairs of different components by sizes and a fold of the sketch, then by the sketch itself.
+    folds = sketches.select("ent", "n", *(_fold(i).alias(f"f{i}") for i in range(FOLDS)))
+    placed = open_keys.join(state, "ent")
+    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    rows = placed.join(split, "key").join(folds, "ent")
+    apart = sum((F.bit_count(F.col(f"l.f{i}").bitwiseXOR(F.col(f"r.f{i}"))) for i in range(1, FOLDS)), F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))))
+    may = (F.col("l.key") == F.col("r.key")) & (F.col("l.ent") < F.col("r.ent")) & (F.col("l.root") != F.col("r.root")) & _sizes_and(F.col("l.n"), F.col("r.n"), apart)
+    crowd = rows.alias("l").join(rows.alias("r"), may).select(F.col("l.ent").alias("a"), F.col("r.ent").alias("b")).distinct()
+    crowd = crowd.join(ends("a", "l"), "a").join(ends("b", "r"), "b").where(_may_link("l", "r")).select("a", "b")
+    crowd = _by_wide(crowd, sketches)
     rest = saved(left.unionByName(crowd).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    return components(near.unionByName(verify(rest, texts, words)))
+    return components(first.unionByName(saved(verify(rest, texts, words), "more-links")))
 
 
 def _placed(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, digest, n and root of the rows with words, and doc_id, digest, n of those without."""
     ready(docs.sparkSession)
     docs = spread(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")))
-    entities = saved(docs.mapInArrow(_entities(words), "doc_id long, digest long, n long, ent long"), "entities")
+    entities = saved(docs.mapInArrow(_entities(words), "doc_id long, digest long, n long, ent long, sketch array<long>, wide array<long>"), "entities")
     roots = links(docs, entities, words)
     full = entities.where("ent is not null").join(roots.withColumnRenamed("v", "ent"), "ent", "left")
     return full.select("doc_id", "digest", "n", F.coalesce("root", "ent").alias("root")), entities.where("ent is null").select("doc_id", "digest", "n")

@@ -110,7 +110,7 @@ def test_hamming_bounds_the_difference():
     r = np.random.default_rng(3)
     for _ in range(50):
         a, b = (np.unique(r.integers(0, 500, 300).astype(np.uint64)) for _ in range(2))
-        apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(parity_join.dense(a), parity_join.dense(b)))
+        apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(parity_join.dense(a).tolist(), parity_join.dense(b).tolist()))
         assert apart <= len(np.setxor1d(a, b))
 
 
