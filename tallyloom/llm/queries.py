@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, id_files, nearest, packing, parity_join, quality, tiff, token_counts, toxicity, transducer
+from . import backoff, common, id_files, nearest, packing, parity_join, quality, tiff, token_counts, toxicity, transducer
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer("byte_bpe_50k.json"), cache)
 
 
+def op6_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score(common.table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -58,5 +62,5 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path, with_ids=False).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op2_ngram_jaccard, op3_tiff, op4_toxicity, op5_token_counts, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op2_ngram_jaccard, op3_tiff, op4_toxicity, op5_token_counts, op6_backoff, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
 ORACLE_SQL: dict[str, str] = {}
