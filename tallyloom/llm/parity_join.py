@@ -116,7 +116,7 @@ def sketch_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(roles)
 
 
-LONGS, FOLDS = 32, 8
+LONGS = 32
 LARGE, WIDE = 1500, 256  # sets beyond LARGE shingles, which would fill that sketch, have one of WIDE numbers too
 
 
@@ -273,14 +273,6 @@ def _by_wide(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.where(F.col("_x").isNull() | F.col("_y").isNull() | _sizes_and(F.col("_m"), F.col("_n"), apart)).select(*pairs.columns)
 
 
-def _fold(i: int) -> F.Column:
-    """A parity sketch folds to a shorter one by XOR."""
-    out = F.col("sketch")[i]
-    for k in range(i + FOLDS, LONGS, FOLDS):
-        out = out.bitwiseXOR(F.col("sketch")[k])
-    return out
-
-
 def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket: int = 4096) -> DataFrame:
     """root (of its component) for each entity v that is linked with another; ``entities`` has doc_id, n, ent and sketch."""
     buckets = max(1, -(-entities.count() // rows_per_bucket))
@@ -300,10 +292,11 @@ def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket:
     # Each entity is first compared with the one that its keys name most often.
     stars = near.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
 
+    # Two sets under a crowded key have that key's smallest entity a in common: it stands for all the keys that it is the smallest of.
     # Pairs under crowded keys that outnumber what a set, or a partner of its least size, has to spare.
     counted = crowded.groupBy("b", "role").agg(F.countDistinct("key").alias("keys"), F.first("n").alias("n"))
     bound = counted.where(F.col("keys") > F.floor(F.ceil(F.col("n") * 0.75) / 24)).select("b", "role")
-    open_keys = saved(crowded.join(bound, ["b", "role"]).select("key", F.col("b").alias("ent")).distinct(), "open-keys")
+    open_keys = saved(crowded.join(bound, ["b", "role"]).select("a", F.col("b").alias("ent")).distinct(), "open-keys")
     chosen = near.select(F.explode(F.array("a", "b")).alias("ent")).unionByName(open_keys.select("ent")).distinct()
     chosen = sketches.select("ent", "doc_id").where("doc_id is not null").join(chosen, "ent", "left_semi")
     texts = saved(docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id").select("ent", "text"), "texts")
@@ -314,16 +307,14 @@ def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket:
     state = saved(sketches.select("ent").join(roots.withColumnRenamed("v", "ent"), "ent", "left").select("ent", F.coalesce("root", "ent").alias("root")), "state")
     x, y = state.select(F.col("ent").alias("a"), F.col("root").alias("x")), state.select(F.col("ent").alias("b"), F.col("root").alias("y"))
     left = near.join(x, "a").join(y, "b").where("x != y").select("a", "b")
-    # Under open keys, pairs of different components by sizes and a fold of the sketch, then by the sketch itself.
-    folds = sketches.select("ent", "n", *(_fold(i).alias(f"f{i}") for i in range(FOLDS)))
+    # Under open keys, pairs of different components that sizes and sketches allow.
+    longs = sketches.select("ent", "n", *(F.col("sketch")[i].alias(f"f{i}") for i in range(LONGS)))
     placed = open_keys.join(state, "ent")
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rows = placed.join(split, "key").join(folds, "ent")
-    apart = sum((F.bit_count(F.col(f"l.f{i}").bitwiseXOR(F.col(f"r.f{i}"))) for i in range(1, FOLDS)), F.bit_count(F.col("l.f0").bitwiseXOR(F.col("r.f0"))))
-    may = (F.col("l.key") == F.col("r.key")) & (F.col("l.ent") < F.col("r.ent")) & (F.col("l.root") != F.col("r.root")) & _sizes_and(F.col("l.n"), F.col("r.n"), apart)
-    crowd = rows.alias("l").join(rows.alias("r"), may).select(F.col("l.ent").alias("a"), F.col("r.ent").alias("b")).distinct()
-    crowd = crowd.join(ends("a", "l"), "a").join(ends("b", "r"), "b").where(_may_link("l", "r")).select("a", "b")
-    crowd = _by_wide(crowd, sketches)
+    split = placed.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("a")
+    rows = placed.join(split, "a").join(longs, "ent")
+    bits = [F.bit_count(F.col(f"l.f{i}").bitwiseXOR(F.col(f"r.f{i}"))) for i in range(LONGS)]
+    may = (F.col("l.a") == F.col("r.a")) & (F.col("l.ent") < F.col("r.ent")) & (F.col("l.root") != F.col("r.root")) & _sizes_and(F.col("l.n"), F.col("r.n"), sum(bits[1:], bits[0]))
+    crowd = _by_wide(rows.alias("l").join(rows.alias("r"), may).select(F.col("l.ent").alias("a"), F.col("r.ent").alias("b")).distinct(), sketches)
     rest = saved(left.unionByName(crowd).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
     return components(first.unionByName(saved(verify(rest, texts, words), "more-links")))
 
