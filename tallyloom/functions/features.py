@@ -92,14 +92,12 @@ def seasonal_strength(value: str, window: int = 13) -> Column:
     return F.when((n >= 3) & (bottom > 1e-9), top / F.sqrt(bottom))
 
 
-def spikes(value: str, window: int = 13) -> dict[str, Column]:
-    """Distance from the rolling median in units of the rolling median absolute deviation."""
-    over = ordered().rowsBetween(-(window - 1), 0)
-    values = F.collect_list(value).over(over)
+def with_spikes(df: DataFrame, value: str, window: int = 13) -> DataFrame:
+    """Adds robust_z: distance from the rolling median in units of the rolling median absolute deviation."""
     middle = lambda a: (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.floor(F.size(a) / 2).cast("int") + 1)) / 2
-    median = middle(F.array_sort(values))
-    mad = middle(F.array_sort(F.transform(values, lambda x: F.abs(x - median))))
-    return {"median": median, "mad": mad, "robust_z": (F.col(value) - median) / (1.4826 * mad + F.lit(1e-6))}
+    rows = df.withColumn("_values", F.array_sort(F.collect_list(value).over(ordered().rowsBetween(-(window - 1), 0))))
+    rows = rows.withColumn("_median", middle(F.col("_values"))).withColumn("_gaps", F.array_sort(F.transform("_values", lambda x: F.abs(x - F.col("_median")))))
+    return rows.withColumn("robust_z", (F.col(value) - F.col("_median")) / (1.4826 * middle(F.col("_gaps")) + F.lit(1e-6))).drop("_values", "_median", "_gaps")
 
 
 def with_columns(df: DataFrame, columns: dict[str, Column], digits: int | None = None) -> DataFrame:

@@ -134,7 +134,7 @@ d AS (SELECT a.store, a.product, a.week_idx, a.demand, a.med, quantile_cont(abs(
 z AS (SELECT *, (demand - med) / (1.4826 * mad + 1e-6) z FROM d)
 SELECT store, product, week_idx, round(z, 4) robust_z, week_idx - max(CASE WHEN abs(z) > 3 THEN week_idx END) OVER ({BY} ROWS UNBOUNDED PRECEDING) weeks_since_spike FROM z""")
 def b14_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = X.with_columns(demand_panel(spark, sf_dir), {"z": X.spikes("demand")["robust_z"]})
+    rows = X.with_spikes(demand_panel(spark, sf_dir), "demand").withColumnRenamed("robust_z", "z")
     since = F.col("week_idx") - F.last(F.when(F.abs("z") > 3, F.col("week_idx")), True).over(X.ordered().rowsBetween(Window.unboundedPreceding, 0))
     return rows.select(*KEYS, "week_idx", F.round("z", 4).alias("robust_z"), since.alias("weeks_since_spike"))
 
