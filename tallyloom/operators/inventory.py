@@ -73,3 +73,38 @@ def cost_curve(net: DataFrame, keys: list[str], most: int = 60, under: float = S
     q = net.select(*keys, "x", "p", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("q"))
     cost = over * F.greatest(F.col("q") - F.col("x"), F.lit(0)) + under * F.greatest(F.col("x") - F.col("q"), F.lit(0))
     return q.groupBy(*keys, "q").agg(F.sum(F.col("p") * cost).alias("cost"))
+
+
+def replay(weeks: DataFrame, state: DataFrame, targets: DataFrame, holding: float = HOLDING, shortage: float = SHORTAGE) -> DataFrame:
+    """Closed loop: each week's order fills the position up to the series' target (column ``target``), arrives two weeks later, and
+    depends on what the orders before it led to. One ordered fold per series and parameter row of ``targets``."""
+    params = [c for c in targets.columns if c not in (*KEYS, "target")]
+    series = weeks.groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("week_idx", "demand"))), lambda r: r["demand"]).alias("ys"))
+    rows = series.join(state, KEYS).join(targets, KEYS)
+    zero = F.lit(0.0)
+    start = F.struct(F.col("on_hand").alias("s"), F.col("intransit_1").alias("a"), F.col("intransit_2").alias("b"), zero.alias("h"), zero.alias("c"), zero.alias("n"))
+
+    def step(x: Column, y: Column) -> Column:
+        left = F.greatest(x.s + x.a - y, zero)
+        short = F.greatest(y - x.s - x.a, zero)
+        order = F.greatest(F.bround(F.col("target") - left - x.b), zero)
+        return F.struct(left.alias("s"), x.b.alias("a"), order.alias("b"), (x.h + left * holding).alias("h"), (x.c + short * shortage).alias("c"), (x.n + order).alias("n"))
+
+    return rows.select(*KEYS, *params, F.aggregate("ys", start, step).alias("r")).select(*KEYS, *params, F.col("r.h").alias("holding_cost"), F.col("r.c").alias("shortage_cost"), F.col("r.n").alias("ordered"))
+
+
+def quantiles_to_pmf(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Whole-number distribution of each forecast: its quantiles (0 at least, rising), with 0 at level 0 and the highest at level 1,
+    interpolated as a distribution function on 0..ceil(highest), differenced and made to sum to 1."""
+    own = Window.partitionBy(*keys)
+    points = rows.select(*keys, "tau", F.max(F.greatest(F.col("value"), F.lit(0.0))).over(own.orderBy("tau")).alias("v"))
+    top = points.groupBy(*keys).agg(F.max("v").alias("top"))
+    ends = top.select(*keys, F.lit(0.0).alias("tau"), F.lit(0.0).alias("v")).unionByName(top.select(*keys, F.lit(1.0).alias("tau"), F.col("top").alias("v")))
+    order = own.orderBy("tau", "v")
+    segments = points.unionByName(ends).select(*keys, "tau", "v", F.lead("tau").over(order).alias("t2"), F.lead("v").over(order).alias("v2")).where("v2 > v")
+    support = top.select(*keys, F.explode(F.sequence(F.lit(0), F.ceil("top").cast("int"))).alias("x"))
+    at = support.join(segments, keys, "left").where("x >= v and x < v2")
+    cdf = at.select(*keys, "x", (F.col("tau") + (F.col("t2") - F.col("tau")) * (F.col("x") - F.col("v")) / (F.col("v2") - F.col("v"))).alias("cdf"))
+    cdf = support.join(cdf, [*keys, "x"], "left").withColumn("cdf", F.coalesce("cdf", F.lit(1.0)))
+    p = F.col("cdf") - F.coalesce(F.lag("cdf").over(own.orderBy("x")), F.lit(0.0))
+    return normalised(cdf.select(*keys, "x", p.alias("p")), keys)

@@ -18,7 +18,7 @@ def query(sql: str | None = None, panel: bool = True):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = f"WITH {PANEL_SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if panel else sql
+            ORACLES[f.__name__] = f"WITH RECURSIVE {PANEL_SQL}{sql if sql.lstrip().startswith(',') else ' ' + sql}" if panel else sql
         return f
 
     return add
@@ -26,4 +26,4 @@ def query(sql: str | None = None, panel: bool = True):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import queries_features, queries_models, queries_statistics, queries_tables  # noqa: F401
+    from . import queries_features, queries_models, queries_selection, queries_statistics, queries_tables  # noqa: F401
