@@ -13,8 +13,8 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     rows = df.join(median, keys)
     v = F.col(value)
     out = {
-        "mean": F.avg(v), "sd": F.stddev_pop(value), "cv": F.stddev_pop(value) / F.avg(v), "q25": q(0.25), "median": q(0.5), "q75": q(0.75), "iqr": q(0.75) - q(0.25),
-        "qcd": (q(0.75) - q(0.25)) / (q(0.75) + q(0.25)), "mad": F.percentile(F.abs(v - F.col("_median")), F.lit(0.5)), "range": F.max(v) - F.min(v),
+        "mean": F.avg(v), "sd": F.stddev_pop(value), "cv": F.try_divide(F.stddev_pop(value), F.avg(v)), "q25": q(0.25), "median": q(0.5), "q75": q(0.75), "iqr": q(0.75) - q(0.25),
+        "qcd": F.try_divide(q(0.75) - q(0.25), q(0.75) + q(0.25)), "mad": F.percentile(F.abs(v - F.col("_median")), F.lit(0.5)), "range": F.max(v) - F.min(v),
         "skew": F.skewness(value), "kurtosis": F.kurtosis(value), "zero_share": F.avg((v == 0).cast("double")),
     }
     return rows.groupBy(*keys).agg(*(c.alias(n) for n, c in out.items()))

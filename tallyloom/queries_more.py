@@ -78,13 +78,13 @@ def h15_lead_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f""", f AS (SELECT store, product, week_idx, demand y, lag(demand) OVER ({BY}) naive, avg(demand) OVER ({BY} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) model FROM panel), s AS (SELECT store, product, count(model) / count(*)::DOUBLE coverage, sqrt(avg(power(y - model, 2))) rmse, avg(abs(y - model)) mae, avg(abs(y - naive)) scale FROM f WHERE week_idx >= 340 AND (week_idx + product) % 7 <> 0 GROUP BY ALL)
-SELECT store, product, round(coverage, 6) coverage, round(rmse, 6) rmse, round(mae, 6) mae, round(mae / scale, 6) mase, CAST(rank() OVER (ORDER BY round(mae, 6)) AS INTEGER) AS rank FROM s""")
+SELECT store, product, round(coverage, 6) coverage, round(rmse, 6) rmse, round(mae, 6) mae, round(mae / nullif(scale, 0), 6) mase, CAST(rank() OVER (ORDER BY round(mae, 6)) AS INTEGER) AS rank FROM s""")
 def i21_external_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplied forecasts scored on a hold-out against the last value, and ranked (a row per series)."""
     rows = demand_panel(spark, sf_dir).select(*KEYS, "week_idx", F.col("demand").alias("y"), F.lag("demand").over(X.ordered()).alias("naive"), F.avg("demand").over(X.ordered().rowsBetween(-4, -1)).alias("model"))
     e = F.col("y") - F.col("model")
     s = rows.where("week_idx >= 340 and (week_idx + product) % 7 <> 0").groupBy(*KEYS).agg((F.count("model") / F.count("*")).alias("coverage"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(F.abs(F.col("y") - F.col("naive"))).alias("scale"))
-    return s.select(*KEYS, *(F.round(c, 6).alias(c) for c in ("coverage", "rmse", "mae")), F.round(F.col("mae") / F.col("scale"), 6).alias("mase"), F.rank().over(Window.orderBy(F.round("mae", 6))).alias("rank"))
+    return s.select(*KEYS, *(F.round(c, 6).alias(c) for c in ("coverage", "rmse", "mae")), F.round(F.try_divide("mae", "scale"), 6).alias("mase"), F.rank().over(Window.orderBy(F.round("mae", 6))).alias("rank"))
 
 
 @query(_BEST_SQL + ", rk AS (SELECT *, row_number() OVER (PARTITION BY store, product ORDER BY round(c, 9), model) r FROM m) SELECT p.store, p.product, p.fold_idx, arg_min(p.model, r) AS model FROM per p JOIN rk ON p.store = rk.store AND p.product = rk.product AND p.model = rk.model WHERE NOT (p.model = 'mean' AND p.fold_idx % 3 = 0) GROUP BY p.store, p.product, p.fold_idx")

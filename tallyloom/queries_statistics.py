@@ -14,7 +14,7 @@ from .registry import query
 
 @query(""", r AS (SELECT *, quantile_cont(demand, 0.5) OVER (PARTITION BY store, product) md, avg(demand) OVER (PARTITION BY store, product) mm FROM panel)
 SELECT store, product, round(avg(demand), 6) mean, round(stddev_pop(demand), 6) sd, round(stddev_pop(demand) / avg(demand), 6) cv, quantile_cont(demand, 0.25) q25, quantile_cont(demand, 0.5) median, quantile_cont(demand, 0.75) q75,
- quantile_cont(demand, 0.75) - quantile_cont(demand, 0.25) iqr, round((quantile_cont(demand, 0.75) - quantile_cont(demand, 0.25)) / (quantile_cont(demand, 0.75) + quantile_cont(demand, 0.25)), 6) qcd, quantile_cont(abs(demand - md), 0.5) mad,
+ quantile_cont(demand, 0.75) - quantile_cont(demand, 0.25) iqr, round((quantile_cont(demand, 0.75) - quantile_cont(demand, 0.25)) / nullif(quantile_cont(demand, 0.75) + quantile_cont(demand, 0.25), 0), 6) qcd, quantile_cont(abs(demand - md), 0.5) mad,
  max(demand) - min(demand) AS range, round(avg((demand - mm) ** 3) / power(avg((demand - mm) ** 2), 1.5), 6) skew, round(kurtosis_pop(demand), 6) kurtosis, round(avg(CASE WHEN demand = 0 THEN 1.0 ELSE 0.0 END), 6) zero_share FROM r GROUP BY ALL""")
 def k1_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = statistics.summary(demand_panel(spark, sf_dir), KEYS, "demand")
