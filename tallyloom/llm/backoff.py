@@ -122,7 +122,7 @@ def sums(texts: list[bytes | None], totals: np.ndarray, corpus: int, order: int,
     return np.bincount(of.astype(np.int64), np.log(score), len(texts)), counts
 
 
-def score(docs: DataFrame, order: int = 2, rows_per_block: int = 1200) -> DataFrame:
+def score(docs: DataFrame, order: int = 2, rows_per_block: int = 400) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms) and mean_log_score for each row of ``docs`` (doc_id, text)."""
     ready(docs.sparkSession)
     docs = spread(docs.select("doc_id", "text"))
