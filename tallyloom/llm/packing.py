@@ -1,17 +1,23 @@
 """Packing by lexical retrieval.
 
-Documents are dealt by a hash to shards of a few thousand. Each shard has a BM25 inverted index of its documents' token ids.
-A seed document (the next unused in order) asks it for its neighbours; the unused ones, best first, fill the seed's window
-as far as they fit whole, and what room is left is filled by cutting the best neighbour that doesn't fit, whose rest stays
-unused. Where no neighbour shares a term, the next unused document in order stands in. A document of a whole window or
-more gives up whole windows first; its rest is packed. The last window of a shard, if not full, is cut into sequences whose
-lengths are powers of two, so nothing is padded.
+Documents are encoded once, and terms' document frequencies, the number of documents and their mean length are taken over the
+whole corpus. Documents are dealt to shards by what they say: a tree over projections of their BM25 weights, fitted on a sample
+spread over the corpus, splits it along the direction in which texts differ most, at a wide gap, until a shard holds at most
+``shard_rows`` documents. Texts that it can't tell apart and that are too many for a shard (copies) are dealt by a hash.
 
-A query uses the ``terms`` terms of its seed that weigh most; scores cover every document of the shard.
+Each shard has a BM25 inverted index of its documents' token ids, weighed by the corpus' statistics. A seed document (the next
+unused in order) asks it for its neighbours; the unused ones, best first, fill the seed's window as far as they fit whole,
+and what room is left is filled by cutting the best neighbour that doesn't fit, whose rest stays unused. Where no neighbour
+shares a term, the next unused document in order stands in. A document of a whole window or more gives up whole windows
+first; its rest is packed. The last window of a shard, if not full, is cut into sequences whose lengths are powers of two, so
+nothing is padded.
+
+A query uses all terms of its seed (with ``terms``, those that weigh most); scores cover every document of the shard. Neighbours
+that the tree put into another shard aren't found: README has the measured recall.
 
 Cases: null and empty texts are the end id alone; rows with equal doc_id are packed apart; a null doc_id is kept; a shard of
 long texts is packed in portions of ``portion`` ids to bound memory; an empty table packs to nothing; other columns are
-ignored. Results don't depend on how the input was partitioned, except in the order of rows equal in doc_id and text.
+ignored. Results don't depend on how the input was partitioned: dealing uses whole numbers only.
 """
 
 from __future__ import annotations
@@ -24,27 +30,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import blocks, ready, saved, spread
 from .encoding import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 K1, B = 1.2, 0.75  # BM25's usual constants
 
 
+class Stats:
+    """What BM25 needs to know of all units: their number, mean length and each term's document frequency."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean = n, max(1.0, mean)
+        self.idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+    def weight(self, unit: np.ndarray, term: np.ndarray, tf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / self.mean))[unit].astype(np.float32))
+
+
+def _postings(units: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Unit, term and frequency of each distinct term of each unit, in order; and the units' lengths."""
+    n, lengths = len(units), np.array([len(u) for u in units], np.int64)
+    keys = np.repeat(np.arange(n, dtype=np.uint32) << np.uint32(16), lengths) | (np.concatenate(units) if n else np.zeros(0, np.uint32))
+    keys.sort()
+    first = np.flatnonzero(np.diff(keys, prepend=np.uint32(0)).astype(bool) | (np.arange(len(keys)) == 0))
+    tf = np.diff(np.append(first, len(keys))).astype(np.float32)
+    return (keys[first] >> np.uint32(16)).astype(np.int64), (keys[first] & np.uint32(0xFFFF)).astype(np.int64), tf, lengths
+
+
 class Index:
-    """Inverted BM25 index over units (arrays of token ids), term-major."""
+    """Inverted BM25 index over units (arrays of token ids), term-major; weighed by their own statistics if none are given."""
 
-    def __init__(self, units: list[np.ndarray], terms: int):
+    def __init__(self, units: list[np.ndarray], terms: int | None = None, stats: Stats | None = None):
         self.terms, n = terms, len(units)
-        lengths = np.array([len(u) for u in units], np.int64)
-        keys = np.repeat(np.arange(n, dtype=np.uint32) << np.uint32(16), lengths) | (np.concatenate(units) if n else np.zeros(0, np.uint32))
-        keys.sort()
-        first = np.flatnonzero(np.diff(keys, prepend=np.uint32(0)).astype(bool) | (np.arange(len(keys)) == 0))
-        tf = np.diff(np.append(first, len(keys))).astype(np.float32)
-        unit, term = (keys[first] >> np.uint32(16)).astype(np.int64), (keys[first] & np.uint32(0xFFFF)).astype(np.int64)
+        unit, term, tf, lengths = _postings(units)
         df = np.bincount(term, minlength=1 << 16)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (lengths / max(1.0, lengths.mean() if n else 1.0)))[unit].astype(np.float32))
+        stats = stats or Stats(n, lengths.mean() if n else 1.0, df)
+        idf, weight = stats.idf, stats.weight(unit, term, tf, lengths)
         self.rows = np.searchsorted(unit, np.arange(n + 1))
         self.by_unit = term, (idf[term] * np.where(df[term] > 1, 1, 0)).astype(np.float32)
         order = np.argsort(term.astype(np.uint16), kind="stable")
@@ -54,7 +76,7 @@ class Index:
     def scores(self, unit: int) -> np.ndarray:
         a, b = self.rows[unit], self.rows[unit + 1]
         term, value = self.by_unit[0][a:b], self.by_unit[1][a:b]
-        if b - a > self.terms:
+        if self.terms and b - a > self.terms:
             term = term[np.argpartition(-value, self.terms)[: self.terms]]
         spans = [slice(self.heads[t], self.heads[t + 1]) for t in term.tolist()]
         return np.bincount(np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
@@ -119,7 +141,7 @@ def cut(row: list[tuple[int, int, int]], window: int) -> list[list[tuple[int, in
     return out
 
 
-def _portion(shard: int, first: int, docs: list[tuple[int | None, np.ndarray]], window: int, terms: int, with_ids: bool) -> tuple[pa.RecordBatch, int]:
+def _portion(shard: int, first: int, docs: list[tuple[int | None, np.ndarray]], window: int, terms: int | None, stats: Stats, with_ids: bool) -> tuple[pa.RecordBatch, int]:
     sequences, units, places = [], [], []
     for k, (_, ids) in enumerate(docs):
         whole = len(ids) - len(ids) % window
@@ -127,7 +149,7 @@ def _portion(shard: int, first: int, docs: list[tuple[int | None, np.ndarray]],
         if len(ids) > whole:
             units.append(ids[whole:])
             places.append((k, whole))
-    for row in plan([len(u) for u in units], Index(units, terms), window):
+    for row in plan([len(u) for u in units], Index(units, terms, stats), window):
         sequences += cut([(places[u][0], places[u][1] + a, n) for u, a, n in row], window)
     rows = []
     for number, sequence in enumerate(sequences, first):
@@ -142,28 +164,160 @@ def _portion(shard: int, first: int, docs: list[tuple[int | None, np.ndarray]],
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in PIECE.split(", ")]), first + len(sequences)
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_rows: int = 2048, portion: int = 6_000_000, terms: int = 24, with_ids: bool = True) -> DataFrame:
+def _encode(tokenizer: str, end_id: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, end = encoder(tokenizer).ids, np.array([end_id], "<u2").tobytes()
+        for batch in blocks(batches, "text", 1 << 22):
+            ids = [np.frombuffer(encode(t), "<u4") for t in batch.column("text").to_pylist()]
+            if any(len(i) and i.max() >> 16 for i in ids):
+                raise ValueError("token ids beyond 65,535")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([i.astype("<u2").tobytes() + end for i in ids], pa.binary())], ["doc_id", "ids"])
+
+    return run
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(i, "<u2").astype(np.uint32) for i in column.to_pylist()]
+
+
+def _rest(ids: np.ndarray, window: int) -> np.ndarray:
+    """What is packed of a document beside its whole windows."""
+    return ids[len(ids) - len(ids) % window :]
+
+
+def _count(window: int):
+    """A task's document frequencies; under term -1 its units, -2 their ids, -3 its rows and -4 their ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, totals = np.zeros(1 << 16, np.int64), np.zeros(4, np.int64)
+        for batch in blocks(batches, "ids", 1 << 20):
+            docs = _ids(batch.column("ids"))
+            units = [u for u in (_rest(d, window) for d in docs) if len(u)]
+            df += np.bincount(_postings(units)[1], minlength=1 << 16)
+            totals += [len(units), sum(map(len, units)), len(docs), sum(map(len, docs))]
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2, -3, -4])), pa.array(np.append(df[some], totals))], ["term", "n"])
+
+    return run
+
+
+DIMS = 64
+
+
+def _vectors(units: list[np.ndarray], stats: Stats) -> np.ndarray:
+    """Random projections (of whole numbers, so that no order of sums matters) of the units' weights, scaled to one length."""
+    signs = _SIGNS[0] if _SIGNS else _SIGNS.append(np.random.default_rng(8).choice(np.array([-1, 1], np.int32), (1 << 16, DIMS))) or _SIGNS[0]
+    unit, term, tf, lengths = _postings(units)
+    out = np.zeros((len(units), DIMS), np.int64)
+    if len(unit):
+        weight = np.rint(64 * np.sqrt(stats.weight(unit, term, tf, lengths))).astype(np.int32)
+        out[lengths > 0] = np.add.reduceat(signs[term] * weight[:, None], np.flatnonzero(np.diff(unit, prepend=-1)))
+    return np.rint(out * (1000 / np.sqrt(np.maximum(1, (out * out).sum(1))))[:, None]).astype(np.int64)
+
+
+_SIGNS: list[np.ndarray] = []
+
+
+class Tree:
+    """Shards of vectors. Inner nodes have a direction and the least product of their right side; leaves have shards."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, rows: int, shard_rows: int, portion: int):
+        self.nodes: list[tuple] = []
+        self.shards = 0
+        scale = rows / max(1, len(vectors))
+
+        def grow(at: np.ndarray) -> int:
+            me = len(self.nodes)
+            self.nodes.append(())
+            need = int(np.ceil(max(len(at) * scale / shard_rows, sizes[at].sum() * scale / portion)))
+            x = vectors[at]
+            direction = np.rint(1000 * np.linalg.eigh(np.cov(x.T))[1][:, -1]).astype(np.int64) if need > 1 and len(at) > 1 else np.zeros(DIMS, np.int64)
+            product = np.sort(x @ direction)
+            gaps = np.diff(product)
+            middle = slice(int(len(gaps) * 0.3), max(int(len(gaps) * 0.7), int(len(gaps) * 0.3) + 1))
+            if need > 1 and gaps.any():
+                k = int(gaps[middle].argmax()) + middle.start if gaps[middle].any() else int(gaps.argmax())
+                right = x @ direction >= product[k + 1]
+                self.nodes[me] = (direction, int(product[k + 1]), grow(at[~right]), grow(at[right]))
+            else:
+                self.nodes[me] = (self.shards, max(1, need))
+                self.shards += max(1, need)
+            return me
+
+        grow(np.arange(len(vectors)))
+
+    def place(self, vectors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(vectors), np.int64), [(0, np.arange(len(vectors)))]
+        while todo:
+            node, at = todo.pop()
+            if len(self.nodes[node]) == 2:
+                first, parts = self.nodes[node]
+                out[at] = first + hashes[at] % parts
+            elif len(at):
+                direction, least, left, right = self.nodes[node]
+                side = vectors[at] @ direction >= least
+                todo += [(left, at[~side]), (right, at[side])]
+        return out
+
+
+def _sample(window: int, stats: Stats):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "ids", 1 << 18):
+            docs = _ids(batch.column("ids"))
+            vectors = _vectors([_rest(d, window) for d in docs], stats).astype("<i2")
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array([len(d) for d in docs], pa.int64())], ["vector", "size"])
+
+    return run
+
+
+def deal(encoded: DataFrame, window: int, shard_rows: int, portion: int) -> tuple[DataFrame, int, Stats]:
+    """``encoded`` (doc_id, ids) with its shard, the number of shards, and the corpus' statistics."""
+    counts = encoded.mapInArrow(_count(window), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    n = dict(zip(counts.term.tolist(), counts.n.tolist()))
+    units, unit_ids, rows, ids = (int(n.pop(k, 0)) for k in (-1, -2, -3, -4))
+    df = np.zeros(1 << 16, np.int64)
+    df[list(n)] = list(n.values())
+    stats = Stats(units, unit_ids / max(1, units), df)
+    most = max(1, portion // 2)  # ids of a shard, so that few shards are cut into portions
+    need = max(rows / shard_rows, ids / most)
+    if need <= 1:
+        return encoded.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids"), 1, stats
+    rate = min(1.0, max(4096, 16 * need) / rows)
+    some = encoded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    sample = sorted((bytes(r.vector), r.size) for r in some.select("ids").mapInArrow(_sample(window, stats), "vector binary, size long").collect())
+    vectors = np.frombuffer(b"".join(v for v, _ in sample), "<i2").astype(np.int64).reshape(-1, DIMS)
+    tree = Tree(vectors, np.array([s for _, s in sample], np.int64), rows, shard_rows, most)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "ids", 1 << 18):
+            vectors = _vectors([_rest(d, window) for d in _ids(batch.column("ids"))], stats)
+            hashes = np.array([zlib.crc32(str(d).encode()) for d in batch.column("doc_id").to_pylist()], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(tree.place(vectors, hashes)), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
+
+    return encoded.mapInArrow(route, "shard long, doc_id long, ids binary"), tree.shards, stats
+
+
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_rows: int = 2048, portion: int = 6_000_000, terms: int | None = None, with_ids: bool = True) -> DataFrame:
     """The pieces of all sequences (PIECE): each id of each document (doc_id, text; and an end id) lies in one of them."""
-    spark = docs.sparkSession
-    ready(spark)
-    shards = max(1, -(-docs.count() // shard_rows))
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ready(docs.sparkSession)
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    encoded = saved(rows.mapInArrow(_encode(tokenizer, end_id), "doc_id long, ids binary"), "packing-ids")
+    dealt, shards, stats = deal(encoded, window, shard_rows, portion)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).ids, np.array([end_id], "<u4")
         now, number, size, held = None, 0, 0, []
         for batch in batches:
-            for shard, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "doc_id", "text"))):
+            for shard, doc_id, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), _ids(batch.column("ids"))):
                 if held and (shard != now or size > portion or len(held) == 1 << 16):
-                    out, number = _portion(now, number, held, window, terms, with_ids)
+                    out, number = _portion(now, number, held, window, terms, stats, with_ids)
                     yield out
                     number, size, held = number if shard == now else 0, 0, []
                 elif shard != now:
                     number = 0
                 now = shard
-                held.append((doc_id, np.concatenate([np.frombuffer(encode(text), "<u4"), end])))
-                size += len(held[-1][1])
+                held.append((doc_id, ids))
+                size += len(ids)
         if held:
-            yield _portion(now, number, held, window, terms, with_ids)[0]
+            yield _portion(now, number, held, window, terms, stats, with_ids)[0]
 
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text").mapInArrow(run, PIECE)
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(run, PIECE)

@@ -128,3 +128,22 @@ def test_packing_prefers_neighbours():
     units = [np.array([1, 2, 3, 4] * 4, np.uint32), np.array([50, 51, 52, 53] * 4, np.uint32), np.array([1, 2, 3, 9] * 4, np.uint32)]
     rows = packing.plan([16, 16, 16], packing.Index(units, 24), 32)
     assert [u for u, *_ in rows[0]] == [0, 2]
+
+
+def test_packing_finds_neighbours_of_the_whole_corpus(spark):
+    """Documents of a topic meet in a sequence though there are many shards."""
+    r = random.Random(4)
+    words = [w for w in library_words() if w]
+    topics = [r.sample(words, 12) for _ in range(40)]
+    docs = [(i, " ".join(r.choices(topics[i % 40], k=20))) for i in range(160)]
+    got = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), WORD, window=64, shard_rows=16).toPandas()
+    assert (got.sequence_id // (1 << 28)).nunique() >= 8
+    # Three of a topic's four documents fill a sequence; what the fourth meets is chance.
+    first = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id").doc_id.apply(list)
+    met = {s[0] % 40 for s in first if len(s) > 1 and s[0] % 40 == s[1] % 40}
+    assert len(met) >= 34
+
+
+def library_words():
+    vocabulary = Tokenizer.from_file(WORD).get_vocab()
+    return sorted(w[:-4] for w in vocabulary if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 8)[:4000]
