@@ -274,7 +274,7 @@ def _by_wide(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket: int = 4096) -> DataFrame:
-    """root (of its component) for each entity v that is linked with another; ``entities`` has doc_id, n, ent and sketch."""
+    """root (of its component) for each entity v that is linked with another; ``docs`` has doc_id, digest and text, ``entities`` doc_id, digest, n, ent and sketch."""
     buckets = max(1, -(-entities.count() // rows_per_bucket))
     found = docs.select("text").mapInArrow(_deal(words, buckets), "bucket long, keys binary, ents binary, sizes binary")
     found = saved(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket, CANDIDATE), "candidates")
@@ -284,7 +284,7 @@ def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket:
 
     # The pairs that sizes and Hamming distances allow; under crowded keys, those with the keys' smallest entities.
     met = found.select(F.explode(F.array("a", "b")).alias("ent")).distinct()
-    sketches = entities.where("ent is not null").groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.min("doc_id").alias("doc_id")).join(met, "ent", "left_semi")
+    sketches = entities.where("ent is not null").groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "digest")).alias("row")).select("ent", "n", "sketch", "wide", "row.doc_id", "row.digest").join(met, "ent", "left_semi")
     sketches = saved(sketches, "sketches")
     ends = lambda side, name: sketches.select(F.col("ent").alias(side), F.struct("n", "sketch").alias(name))
     near = named.join(ends("a", "l"), "a").join(ends("b", "r"), "b").where(_may_link("l", "r"))
@@ -298,8 +298,10 @@ def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket:
     bound = counted.where(F.col("keys") > F.floor(F.ceil(F.col("n") * 0.75) / 24)).select("b", "role")
     open_keys = saved(crowded.join(bound, ["b", "role"]).select("a", F.col("b").alias("ent")).distinct(), "open-keys")
     chosen = near.select(F.explode(F.array("a", "b")).alias("ent")).unionByName(open_keys.select("ent")).distinct()
-    chosen = sketches.select("ent", "doc_id").where("doc_id is not null").join(chosen, "ent", "left_semi")
-    texts = saved(docs.select("doc_id", "text").join(chosen.hint("shuffle_hash"), "doc_id").select("ent", "text"), "texts")
+    # One row stands for an entity; those equal in doc_id and digest have one text.
+    chosen = sketches.select("ent", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).join(chosen, "ent", "left_semi")
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["digest"] == F.col("_digest"))
+    texts = saved(docs.join(chosen.hint("shuffle_hash"), same).select("ent", "text").dropDuplicates(["ent"]), "texts")
     first = saved(verify(stars, texts, words), "links")
     roots = components(first)
 

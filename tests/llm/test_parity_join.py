@@ -89,6 +89,20 @@ def test_odd_rows(spark, odd_docs, no_docs):
     check(spark, rows)
 
 
+def test_rows_without_an_own_id(spark):
+    """A null row that alone links two others, and a doc_id that two different texts have."""
+    base = [f"w{i}" for i in range(60)]
+    edit = lambda *at: " ".join(f"x{i}" if i in at else w for i, w in enumerate(base))
+    rows = [(1, edit(0, 12)), (None, edit(0)), (2, edit(0, 40))]
+    assert linked(shingles(rows[0][1]), shingles(rows[1][1])) and linked(shingles(rows[1][1]), shingles(rows[2][1])) and not linked(shingles(rows[0][1]), shingles(rows[2][1]))
+    check(spark, rows)
+    kept = parity_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [1]
+    other = [f"y{i}" for i in range(60)]
+    twice = [(7, " ".join(base)), (7, " ".join(other)), (8, edit(5)), (9, " ".join(["z", *other[1:]])), (10, edit(5, 30))]
+    check(spark, twice)
+
+
 def test_every_pair_of_linked_sets_shares_a_key():
     r = np.random.default_rng(1)
     for _ in range(400):
