@@ -12,11 +12,16 @@ agree in empty parts only. The join finds a superset of all links; nothing is le
 
 A few keys more (``spare``) are given, so that as many crowded keys (those of passages that many documents share) may be
 left out again: a set's crowded keys matter only if they outnumber its spare ones. Keys are dealt by hash to buckets as
-blocks of numbers. Pairs under uncrowded keys are candidates. Under crowded keys each set is first compared with the
-one named most often as the smallest under its keys; what this doesn't join to one component is compared pair by pair, if
-its sizes and the Hamming distance of a second, dense parity sketch of 2048 bits (of 16,384 for large sets) allow a link; all pairs pass that test first.
+blocks of numbers. Pairs under uncrowded keys are candidates. The sets whose crowded keys matter form groups, each under the
+keys' smallest set, and are dealt anew by what sets them apart in their group (``_residual_keys``): with a centre (the shingles that
+most of a few members have), two sets' symmetric difference is that of their residuals against the centre, in which the
+shared passage cancels out; so the same pigeonhole argument holds for the residuals' elements, those outside the centre first. A
+group's most central member is compared with all first, so that a cloud of near copies is one component before any pair is
+formed. Of the elements, those rare in the group come first, and two sets are a candidate only if the places of a shared element allow
+it for a first shared one (``_apart_under_keys``). Keys outside the centre that are crowded again make the groups of a second level.
 
-Equal sets are one entity, named by a 64-bit hash of the set, from the start. Candidates are verified on the texts' sets.
+All pairs pass a test of sizes and of the Hamming distance of a second, dense parity sketch of 2048 bits (of 16,384 for large sets)
+before texts are moved.
 
 Cases: documents without words (or null) have an empty set and link with nothing; with fewer words than a shingle, all words
 are the one shingle; equal texts and rows that repeat a doc_id are linked by their sets; rows with a null doc_id
@@ -29,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, ready, saved, spread, word_hashes
+from .common import blocks, discard, mix, ready, saved, spread, word_hashes
 from .graphs import components
 
 NUM, DEN = 75, 100  # links need DEN * intersection >= NUM * union
@@ -120,18 +125,18 @@ LONGS = 32
 LARGE, WIDE = 1500, 256  # sets beyond LARGE shingles, which would fill that sketch, have one of WIDE numbers too
 
 
-def dense(s: np.ndarray, longs: int = LONGS) -> np.ndarray:
+def dense(s: np.ndarray, longs: int = LONGS) -> bytes:
     """A parity sketch of ``longs`` (a power of two) numbers of 64 bits."""
     bits = (64 * longs).bit_length() - 1
     odd = np.bincount((mix(s + np.uint64(3)) >> np.uint64(64 - bits)).astype(np.int64), minlength=64 * longs) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8")
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _entities(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "text", 1 << 20):
             sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64()), pa.array([dense(s) if len(s) else None for s in sets], pa.list_(pa.int64())), pa.array([dense(s, WIDE) if len(s) > LARGE else None for s in sets], pa.list_(pa.int64()))], ["doc_id", "digest", "n", "ent", "sketch", "wide"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_entity(s) if len(s) else None for s in sets], pa.int64()), pa.array([dense(s) if len(s) else None for s in sets], pa.binary()), pa.array([dense(s, WIDE) if len(s) > LARGE else None for s in sets], pa.binary())], ["doc_id", "digest", "n", "ent", "sketch", "wide"])
 
     return run
 
@@ -253,79 +258,202 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, block: int = 256) ->
     return rows.mapInArrow(_compare(words), "a long, b long")
 
 
-def _sizes_and(x: F.Column, y: F.Column, apart: F.Column) -> F.Column:
-    """Sizes x and y, and a distance that their symmetric difference is at least, allow a link."""
-    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & (apart * (DEN + NUM) <= (x + y) * (DEN - NUM))
+def _fit(x: str, y: str) -> F.Column:
+    """Sizes x and y allow a link."""
+    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
 
-def _may_link(left: str, right: str) -> F.Column:
-    """Sizes and dense sketches of both allow a link."""
-    bits = [F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i])) for i in range(LONGS)]
-    return _sizes_and(F.col(f"{left}.n"), F.col(f"{right}.n"), sum(bits[1:], bits[0]))
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and dense sketches (the wide ones, where both have them) allow a link."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (batch.column(c).to_numpy() for c in ("n1", "n2"))
+        keep = DEN * np.minimum(x, y) >= NUM * np.maximum(x, y)
+        for one, two in (("s1", "s2"), ("w1", "w2")):
+            both = np.flatnonzero(keep & np.asarray(batch.column(one).is_valid()) & np.asarray(batch.column(two).is_valid()))
+            if len(both):
+                l, r = (np.frombuffer(b"".join(batch.column(c).take(pa.array(both)).to_pylist()), "<u8").reshape(len(both), -1) for c in (one, two))
+                keep[both] = np.bitwise_count(l ^ r).sum(1, dtype=np.int64) * (DEN + NUM) <= (x + y)[both] * (DEN - NUM)
+        yield batch.select(["a", "b", "count"]).filter(pa.array(keep))
+
+
+def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, count) less those that sizes and sketches rule out; only sizes and sketches are moved for it."""
+    for side, i in (("a", 1), ("b", 2)):
+        pairs = pairs.join(sketches.select(F.col("ent").alias(side), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"), F.col("wide").alias(f"w{i}")), side)
+        if i == 2:
+            pairs = pairs.where(_fit("n1", "n2"))
+    return pairs.mapInArrow(_near, "a long, b long, count long")
+
+
+def _centre(words: int):
+    """Of each group's rows (g, ent, text): the ent nearest to what most of them have, and the shingles of two at least with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one(g: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate([s for _, s in held]), return_counts=True)
+            centre = found[2 * n > len(held)]
+            apart = [(len(centre) + len(s) - 2 * len(np.intersect1d(centre, s, assume_unique=True)), e) for e, s in held]
+            known = n > 1
+            return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([min(apart)[1]], pa.int64()), pa.array([np.append(found[known], n[known].astype(np.uint64)).tobytes()], pa.binary()), pa.array([len(held)], pa.int64())], [c.split()[0] for c in CENTRE.split(", ")])
+
+        now, held = None, []
+        for batch in blocks(batches, "text", 1 << 20):
+            for g, e, s in zip(batch.column("g").to_pylist(), batch.column("ent").to_pylist(), shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), words)):
+                if held and g != now:
+                    yield one(now, held)
+                    held = []
+                now = g
+                held.append((e, s))
+        if held:
+            yield one(now, held)
+
+    return run
+
+
+CENTRE = "g long, middle long, centre binary, few long"
+
+
+def centres(groups: DataFrame, texts: DataFrame, words: int, few: int = 32) -> DataFrame:
+    """CENTRE rows, from a few members of each group: any choice gives the same links, a good one less work."""
+    order = Window.partitionBy("g").orderBy(F.xxhash64("ent", "g"), "ent")
+    some = groups.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= few).select("g", "ent")
+    return some.join(texts, "ent").select("g", "ent", "text").repartition("g").sortWithinPartitions("g").mapInArrow(_centre(words), CENTRE)
 
 
-def _by_wide(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) less those of which both have a wide sketch and the two are too far apart."""
-    wide = sketches.where("wide is not null")
-    both = pairs.join(wide.select(F.col("ent").alias("a"), F.col("wide").alias("_x"), F.col("n").alias("_m")), "a", "left")
-    both = both.join(wide.select(F.col("ent").alias("b"), F.col("wide").alias("_y"), F.col("n").alias("_n")), "b", "left")
-    apart = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
-    return both.where(F.col("_x").isNull() | F.col("_y").isNull() | _sizes_and(F.col("_m"), F.col("_n"), apart)).select(*pairs.columns)
+KEYED = "key long, ent long, root long, odd boolean, inner boolean, n long, r long, pos long"
 
 
-def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket: int = 4096) -> DataFrame:
-    """root (of its component) for each entity v that is linked with another; ``docs`` has doc_id, digest and text, ``entities`` doc_id, digest, n, ent and sketch."""
+def _residual_keys(words: int):
+    """Keys of members (g, salt, member 1, ent, root, odd, data: text) by the row of their group's centre (member 0) before them.
+
+    A residual's elements have one order in the group: those outside the centre before those of the centre that the set lacks,
+    in each the rare ones (by the few members' counts) first. ``pos`` is an element's place, ``r`` the residual's size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count, few, centre = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.zeros(0, np.uint64)
+        for batch in blocks(batches, "data", 1 << 20):
+            data = batch.column("data").to_pylist()
+            member, some = np.asarray(batch.column("member")).astype(bool), batch.column("root").to_pylist()
+            sets = shingle_sets([d if m else None for d, m in zip(data, member)], words)
+            keys, at, pos, inner, stats = [], [], [], [], np.zeros((len(sets), 2), np.int64)
+            for i, (g, s) in enumerate(zip(batch.column("g").to_pylist(), sets)):
+                if not member[i]:
+                    known, count = np.split(np.frombuffer(data[i], np.uint64), 2)
+                    count, few = count.astype(np.int64), some[i]
+                    centre = 2 * count > few
+                    continue
+                where = np.searchsorted(known, s).clip(max=max(0, len(known) - 1))
+                seen = known[where] == s if len(known) else np.zeros(len(s), bool)
+                missing = centre.copy()
+                missing[where[seen]] = False
+                often = np.where(seen, count[where] if len(known) else 0, 1)
+                outer, rare = s[2 * often <= few], often[2 * often <= few]
+                lack, full = known[missing], few - count[missing]
+                stats[i] = len(s), len(outer) + len(lack)
+                needed = len(s) // 3 + 1
+                outer, lack = outer[np.lexsort((outer, rare))][:needed], lack[np.lexsort((lack, full))][: max(0, needed - len(outer))]
+                n = len(outer) + len(lack)
+                thin = np.zeros(int(n < needed), np.uint64)
+                group = mix(np.array([g], np.int64).view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
+                keys += [mix(outer ^ group), mix(lack ^ (group + np.uint64(1))), mix(thin ^ (group + np.uint64(2)))]
+                at.append(np.full(n + len(thin), i))
+                pos.append(np.arange(n + len(thin)))
+                inner.append(pos[-1] >= len(outer))
+            if not at:
+                continue
+            at = np.concatenate(at)
+            plain = [batch.column(c).take(pa.array(at)) for c in ("ent", "root", "odd")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *plain, pa.array(np.concatenate(inner)), pa.array(stats[at, 0]), pa.array(stats[at, 1]), pa.array(np.concatenate(pos))], [c.split()[0] for c in KEYED.split(", ")])
+
+    return run
+
+
+def residual_keys(members: DataFrame, middles: DataFrame, texts: DataFrame, words: int, block: int = 1024) -> DataFrame:
+    """KEYED rows for ``members`` (g, ent, root, odd) by the centres of ``middles`` (CENTRE); a large group is dealt to several tasks."""
+    salts = members.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))
+    rows = members.join(salts, "g").select("g", F.pmod(F.xxhash64("ent"), F.col("salts")).cast("int").alias("salt"), "ent", "root", "odd").join(texts, "ent")
+    rows = rows.select("g", "salt", F.lit(1).alias("member"), "ent", "root", "odd", F.col("text").cast("binary").alias("data"))
+    none = F.lit(None)
+    heads = middles.join(salts, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), none.cast("long").alias("ent"), F.col("few").alias("root"), none.cast("boolean").alias("odd"), F.col("centre").alias("data"))
+    return heads.unionByName(rows).repartition("g", "salt").sortWithinPartitions("g", "salt", "member").mapInArrow(_residual_keys(words), KEYED)
+
+
+def _apart_under_keys(keyed: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+    """From KEYED rows: pairs (a, b) of different components that may be links, and the groups (g, ent) under keys that are crowded again.
+
+    At the first element that two residuals share, at i and j, all before it are unshared and what follows differs by its
+    number at least: i + j + |(r - i) - (r' - j)| is at most the sets' symmetric difference. ``last``: crowded keys outside the
+    centre give pairs too instead of groups.
+    """
+    count = keyed.groupBy("key").agg(F.count("*").alias("k"), F.min("ent").alias("lead"), F.min("root").alias("r1"), F.max("root").alias("r2")).where("k > 1 and r1 != r2").select("key", "k", "lead")
+    held = saved(keyed.join(count, "key"), "held")
+    crowd = (F.col("k") > CROWD) & (F.lit(True) if last else F.col("inner"))
+    apart = F.col("l.pos") + F.col("r.pos") + F.abs(F.col("l.r") - F.col("l.pos") - F.col("r.r") + F.col("r.pos"))
+    may = (F.col("l.key") == F.col("r.key")) & (F.col("l.root") != F.col("r.root")) & _fit("l.n", "r.n") & (apart * (DEN + NUM) <= (F.col("l.n") + F.col("r.n")) * (DEN - NUM))
+    once = (~F.col("r.odd")) | (F.col("l.ent") < F.col("r.ent"))  # of two components one at least isn't that of the group's middle
+    either = held.where((F.col("k") <= CROWD) | crowd)
+    pairs = either.where("odd").alias("l").join(either.alias("r"), may & once).select(F.least("l.ent", "r.ent").alias("a"), F.greatest("l.ent", "r.ent").alias("b"))
+    return pairs, held.where((F.col("k") > CROWD) & ~crowd).select(F.col("lead").alias("g"), "ent").distinct()
+
+
+def links(docs: DataFrame, entities: DataFrame, words: int = 5, rows_per_bucket: int = 4096, levels: int = 2) -> DataFrame:
+    """root (of its component) for each entity v that is linked with another; ``docs`` has doc_id, digest and text, ``entities`` doc_id, digest, n, ent and sketches."""
     buckets = max(1, -(-entities.count() // rows_per_bucket))
     found = docs.select("text").mapInArrow(_deal(words, buckets), "bucket long, keys binary, ents binary, sizes binary")
     found = saved(found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket, CANDIDATE), "candidates")
-    plain = found.where("key is null").select("a", "b").distinct()
     crowded = found.where("key is not null")
-    named = crowded.where("a != b").groupBy("b", "a").count().unionByName(plain.withColumn("count", F.lit(1)))
+    named = found.where("a != b").groupBy("a", "b").count()
 
-    # The pairs that sizes and Hamming distances allow; under crowded keys, those with the keys' smallest entities.
     met = found.select(F.explode(F.array("a", "b")).alias("ent")).distinct()
     sketches = entities.where("ent is not null").groupBy("ent").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"), F.min(F.struct("doc_id", "digest")).alias("row")).select("ent", "n", "sketch", "wide", "row.doc_id", "row.digest").join(met, "ent", "left_semi")
     sketches = saved(sketches, "sketches")
-    ends = lambda side, name: sketches.select(F.col("ent").alias(side), F.struct("n", "sketch").alias(name))
-    near = named.join(ends("a", "l"), "a").join(ends("b", "r"), "b").where(_may_link("l", "r"))
-    near = saved(_by_wide(near.groupBy("a", "b").agg(F.sum("count").alias("count")), sketches), "near")
-    # Each entity is first compared with the one that its keys name most often.
-    stars = near.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
-
-    # Two sets under a crowded key have that key's smallest entity a in common: it stands for all the keys that it is the smallest of.
-    # Pairs under crowded keys that outnumber what a set, or a partner of its least size, has to spare.
+    close = saved(near(named, sketches), "near")
+
+    # The groups of those whose crowded keys outnumber what a set, or a partner of its least size, has to spare.
     counted = crowded.groupBy("b", "role").agg(F.countDistinct("key").alias("keys"), F.first("n").alias("n"))
     bound = counted.where(F.col("keys") > F.floor(F.ceil(F.col("n") * 0.75) / 24)).select("b", "role")
-    open_keys = saved(crowded.join(bound, ["b", "role"]).select("a", F.col("b").alias("ent")).distinct(), "open-keys")
-    chosen = near.select(F.explode(F.array("a", "b")).alias("ent")).unionByName(open_keys.select("ent")).distinct()
+    groups = saved(crowded.join(bound, ["b", "role"]).select(F.col("a").alias("g"), F.col("b").alias("ent")).distinct(), "groups")
+    discard(found)
+    chosen = close.select(F.explode(F.array("a", "b")).alias("ent")).unionByName(groups.select("ent")).distinct()
     # One row stands for an entity; those equal in doc_id and digest have one text.
     chosen = sketches.select("ent", F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).join(chosen, "ent", "left_semi")
     same = docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["digest"] == F.col("_digest"))
     texts = saved(docs.join(chosen.hint("shuffle_hash"), same).select("ent", "text").dropDuplicates(["ent"]), "texts")
-    first = saved(verify(stars, texts, words), "links")
-    roots = components(first)
-
-    # Pairs that are still apart.
-    state = saved(sketches.select("ent").join(roots.withColumnRenamed("v", "ent"), "ent", "left").select("ent", F.coalesce("root", "ent").alias("root")), "state")
-    x, y = state.select(F.col("ent").alias("a"), F.col("root").alias("x")), state.select(F.col("ent").alias("b"), F.col("root").alias("y"))
-    left = near.join(x, "a").join(y, "b").where("x != y").select("a", "b")
-    # Under open keys, pairs of different components that sizes and sketches allow.
-    longs = sketches.select("ent", "n", *(F.col("sketch")[i].alias(f"f{i}") for i in range(LONGS)))
-    placed = open_keys.join(state, "ent")
-    split = placed.groupBy("a").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("a")
-    rows = placed.join(split, "a").join(longs, "ent")
-    bits = [F.bit_count(F.col(f"l.f{i}").bitwiseXOR(F.col(f"r.f{i}"))) for i in range(LONGS)]
-    may = (F.col("l.a") == F.col("r.a")) & (F.col("l.ent") < F.col("r.ent")) & (F.col("l.root") != F.col("r.root")) & _sizes_and(F.col("l.n"), F.col("r.n"), sum(bits[1:], bits[0]))
-    crowd = _by_wide(rows.alias("l").join(rows.alias("r"), may).select(F.col("l.ent").alias("a"), F.col("r.ent").alias("b")).distinct(), sketches)
-    rest = saved(left.unionByName(crowd).distinct().join(stars, ["a", "b"], "left_anti"), "rest")
-    return components(first.unionByName(saved(verify(rest, texts, words), "more-links")))
+
+    # Each entity is first compared with the one that its keys name most often, and with its groups' middles.
+    stars = close.groupBy("b").agg(F.max_by("a", F.struct("count", -F.col("a"))).alias("a")).select("a", "b")
+    middles = saved(centres(groups, texts, words), "middles")
+    rays = groups.join(middles.select("g", "middle"), "g").where("ent != middle").select(F.col("middle").alias("a"), F.col("ent").alias("b")).distinct()
+    rays = near(rays.withColumn("count", F.lit(1).cast("long")), sketches).select("a", "b")
+    linked = saved(verify(stars.unionByName(rays).distinct(), texts, words), "links")
+    roots = components(linked)
+    rooted = lambda df, name: df.join(roots.select(F.col("v").alias(name), "root"), name, "left").withColumn("root", F.coalesce("root", name))
+
+    found = []
+    for level in range(levels):
+        if groups.isEmpty():
+            break
+        if level:
+            middles = saved(centres(groups, texts, words), "middles")
+        main = rooted(middles.select("g", "middle"), "middle").select("g", F.col("root").alias("main"))
+        members = saved(rooted(groups, "ent").join(main, "g").select("g", "ent", "root", (F.col("root") != F.col("main")).alias("odd")), "members")
+        pairs, groups = _apart_under_keys(residual_keys(members, middles, texts, words), level + 1 == levels)
+        found, groups = [*found, pairs], saved(groups, "groups")
+
+    left = rooted(rooted(close.select("a", "b"), "a").withColumnRenamed("root", "x"), "b").where("x != root").select("a", "b")
+    for pairs in found:
+        left = left.unionByName(near(pairs.distinct().withColumn("count", F.lit(1).cast("long")), sketches).select("a", "b"))
+    return components(linked.unionByName(saved(verify(left.distinct(), texts, words), "more-links")))
 
 
 def _placed(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, digest, n and root of the rows with words, and doc_id, digest, n of those without."""
     ready(docs.sparkSession)
     docs = spread(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")))
-    entities = saved(docs.mapInArrow(_entities(words), "doc_id long, digest long, n long, ent long, sketch array<long>, wide array<long>"), "entities")
+    entities = saved(docs.mapInArrow(_entities(words), "doc_id long, digest long, n long, ent long, sketch binary, wide binary"), "entities")
     roots = links(docs, entities, words)
     full = entities.where("ent is not null").join(roots.withColumnRenamed("v", "ent"), "ent", "left")
     return full.select("doc_id", "digest", "n", F.coalesce("root", "ent").alias("root")), entities.where("ent is null").select("doc_id", "digest", "n")

@@ -83,6 +83,23 @@ def test_crowded_near_copies(spark):
     check(spark, list(enumerate(texts)))
 
 
+def test_crowds_within_crowds(spark):
+    """A cloud of near copies at all distances from its centre, and texts of a common passage with a second one in some of them."""
+    r = random.Random(4)
+    base, second = [f"w{i}" for i in range(90)], [f"v{i}" for i in range(30)]
+    texts = []
+    for _ in range(160):
+        w = base[:]
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            w[r.randrange(90)] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    for _ in range(120):
+        own = [f"y{r.randrange(10**6)}" for _ in range(r.randrange(4, 22))]
+        texts.append(" ".join(base[:40] + (second if r.random() < 0.5 else []) + own))
+    r.shuffle(texts)
+    check(spark, list(enumerate(texts)))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     assert parity_join.join(no_docs).count() == 0
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()] + [(90, "THE quick brown FOX. jumps OVER the\tlazy dog, 12 times!"), (91, "Über straße x y"), (92, "über straße x y"), (93, "a"), (94, "A")]
@@ -124,7 +141,7 @@ def test_hamming_bounds_the_difference():
     r = np.random.default_rng(3)
     for _ in range(50):
         a, b = (np.unique(r.integers(0, 500, 300).astype(np.uint64)) for _ in range(2))
-        apart = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(parity_join.dense(a).tolist(), parity_join.dense(b).tolist()))
+        apart = sum(bin(x ^ y).count("1") for x, y in zip(parity_join.dense(a), parity_join.dense(b)))
         assert apart <= len(np.setxor1d(a, b))
 
 
