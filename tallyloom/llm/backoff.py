@@ -1,19 +1,20 @@
 """Stupid-backoff scores from n-gram count tables of the whole corpus, each document scored by the other documents' counts.
 
-Documents are dealt by a hash to blocks. A block explodes its texts into n-grams of every order up to ``order`` and sends
-each distinct one once, with its count there, to the bucket of its hash (so a frequent n-gram is pre-aggregated to a row
-for each block). A bucket adds up its part of the count tables and joins the totals back to what the blocks asked for. A
-block then takes each document's own counts off the totals and sums the logarithms of its tokens' scores:
+Documents are gathered, in their tasks, to blocks of some megabytes, a row each of a written table. A block explodes its texts
+into n-grams of every order up to ``order`` and sends each distinct one once, with its count there, to the bucket of its hash
+(a range of hashes), so a frequent n-gram is pre-aggregated to one entry for each block. A bucket adds up its part of the count tables and joins
+the totals back to what the blocks asked for. A block then takes each document's own counts off the totals and sums the
+logarithms of its tokens' scores:
 
 S(w | v) = c(vw) / c(v) if c(vw) > 0, else ALPHA * S(w | v without its first word), down to c(w) / N; a word that no other
 document has counts as a half.
 
 Words are runs of bytes other than white space, A-Z lower-cased. What is gathered grows with the input: every n-gram of every
-document is counted.
+document is counted. On their way, sorted hashes travel as differences and all numbers as planes of bytes, which compress well.
 
-Cases: null, empty and blank texts have no tokens, a sum of 0 and a null mean; very long texts are scored whole; a corpus of
-one document scores every token as unknown; equal texts have equal scores; rows that repeat doc_id and text count as
-documents of their own; an empty table gives an empty result; other columns are ignored.
+Cases: null, empty and blank texts have no tokens, a sum of 0 and a null mean; very long texts are scored whole, a block of
+their own; a corpus of one document scores every token as unknown; equal texts have equal scores; rows that repeat doc_id and
+text count as documents of their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,56 +24,76 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ready, spread, word_hashes
+from .common import blocks, mix, ready, saved, spread, word_hashes
 
 ALPHA = 0.4
 UNKNOWN = 0.5
+BLOCK = "block long, n_tokens long, doc_ids binary, no_ids binary, texts array<string>"  # ids as 64-bit integers, and where they are null
 
 
-def _grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
-    """keys[k - 1][i]: hash of the k words that end at token i; 0 where the text has too few before it."""
+def _planes(a: np.ndarray) -> bytes:
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _unplanes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
+def grams(words: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """[k - 1][i]: hash of the k words that end at token i; 0 where the text has too few before it."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = [words]
+    out = np.zeros((order, len(words)), np.uint64)
+    out[0] = words
     for k in range(2, order + 1):
-        key = np.zeros_like(words)
         full = np.flatnonzero(place >= k - 1)
-        key[full] = mix(out[-1][full - 1] * np.uint64(0x9E3779B97F4A7C15) + words[full] + np.uint64(k))
-        out.append(key)
+        out[k - 1][full] = mix(out[k - 2][full - 1] * np.uint64(0x9E3779B97F4A7C15) + words[full] + np.uint64(k))
     return out
 
 
-def _asked(words: np.ndarray, counts: np.ndarray, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """A block's distinct n-grams in the order of their buckets, their counts and buckets; and the n-grams of its tokens."""
-    grams = _grams(words, counts, order)
-    keys, n = np.unique(np.concatenate(grams), return_counts=True)
-    keys, n = keys[keys != 0], n[keys != 0]
-    bucket = (keys >> np.uint64(33)).astype(np.int64) % buckets
-    at = np.argsort(bucket, kind="stable")
-    return keys[at], n[at], bucket[at], grams
+def _gather(size: int):
+    """Blocks of about ``size`` bytes of text, or as many short rows as fill that with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held, n, at = TaskContext.get().partitionId() << 32, [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            none, texts = np.array([i is None for i, _ in held]), [t for _, t in held]
+            ids = np.array([i or 0 for i, _ in held], "<i8")
+            tokens = int(word_hashes([t.encode() if t else None for t in texts])[1].sum())
+            return pa.RecordBatch.from_arrays([pa.array([task + at], pa.int64()), pa.array([tokens], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([none.tobytes()], pa.binary()), pa.array([texts], pa.list_(pa.string()))], [c.split()[0] for c in BLOCK.split(", ")])
+
+        for batch in blocks(batches, "text", 1 << 20):
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                more = 64 + len(text or "")
+                if held and n + more > size:
+                    yield row()
+                    held, n, at = [], 0, at + 1
+                held.append((doc_id, text))
+                n += more
+        if held:
+            yield row()
+
+    return run
 
 
 def _ask(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(number: int, texts: list[bytes | None]) -> pa.RecordBatch:
-            keys, n, bucket, _ = _asked(*word_hashes(texts), order, buckets)
-            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket)) if len(bucket) else []
-            spans = list(zip([0, *ends], ends))
-            columns = [pa.array([int(bucket[a]) for a, _ in spans], pa.int64()), pa.array([number] * len(spans), pa.int64()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].astype("<u4").tobytes() for a, b in spans], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "counts"])
-
-        now, held = None, []
         for batch in batches:
-            for number, text in zip(batch.column("block").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
-                if held and number != now:
-                    yield block(now, held)
-                    held = []
-                now = number
-                held.append(text)
-        if held:
-            yield block(now, held)
+            for i in range(batch.num_rows):
+                texts = batch.column("texts")[i].values.cast(pa.binary()).to_pylist()
+                keys, n = np.unique(grams(*word_hashes(texts), order), return_counts=True)
+                keys, n = keys[keys != 0], n[keys != 0].astype("<u4")
+                bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
+                spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                number = batch.column("block")[i].as_py()
+                columns = [pa.array(bucket[cuts[:-1]] if spans else [], pa.int64()), pa.array([number] * len(spans), pa.int64()), pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()), pa.array([_planes(n[a:b]) for a, b in spans], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "counts"])
 
     return run
 
@@ -81,12 +102,16 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The totals of a bucket's n-grams, for each block in the order it asked."""
 
     def one(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, "<u8") for _, k, _ in rows])
-        own = np.concatenate([np.frombuffer(n, "<u4") for *_, n in rows])
-        _, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, own)[at].astype("<u4")
-        ends = np.cumsum([len(k) // 8 for _, k, _ in rows])
-        return pa.RecordBatch.from_arrays([pa.array([b for b, *_ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([total[a:b].tobytes() for a, b in zip([0, *ends], ends)], pa.binary())], ["block", "bucket", "totals"])
+        parts = [np.cumsum(_unplanes(k, "<u8"), dtype=np.uint64) for _, k, _ in rows]
+        own = np.concatenate([_unplanes(n, "<u4") for *_, n in rows])
+        keys = np.concatenate(parts)
+        order = np.argsort(keys)
+        new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
+        sums = np.add.reduceat(own[order].astype(np.int64), new)
+        total = np.empty(len(keys), "<u4")
+        total[order] = np.minimum(np.repeat(sums, np.diff(np.append(new, len(keys)))), 2**32 - 1)
+        ends = np.cumsum([len(k) for k in parts]).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([b for b, *_ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([_planes(total[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())], ["block", "bucket", "totals"])
 
     now, held = None, []
     for batch in batches:
@@ -100,49 +125,47 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(now, held)
 
 
-def sums(texts: list[bytes | None], totals: np.ndarray, corpus: int, order: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's sum of logarithms and its number of tokens; ``totals`` are the counts of _asked's n-grams."""
+def sums(texts: list[bytes | None], totals: np.ndarray, corpus: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sum of logarithms and its number of tokens; ``totals`` are the counts of the texts' distinct n-grams in the order of their hashes."""
     words, counts = word_hashes(texts)
-    keys, _, _, grams = _asked(words, counts, order, buckets)
     if not len(words):
         return np.zeros(len(texts)), counts
-    by = np.argsort(keys)
-    of = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
-    others = []
-    for key in grams:
-        total = totals[by][np.searchsorted(keys[by], key).clip(max=len(keys) - 1)].astype(np.int64)
-        _, at, own = np.unique(mix(key ^ (of * np.uint64(0xD1B54A32D192ED03))), return_inverse=True, return_counts=True)
-        others.append(np.where(key != 0, total - own[at], 0))
-    base = np.maximum(1, corpus - counts[of.astype(np.int64)])
-    score = np.maximum(others[0], UNKNOWN) / base
+    found = grams(words, counts, order)
+    of = np.repeat(np.arange(len(texts)), counts)
+    flat, doc = found.ravel(), np.tile(of, order)
+    sort = np.argsort(flat, kind="stable")  # documents rise within an n-gram
+    key, doc = flat[sort], doc[sort]
+    new = np.append(True, key[1:] != key[:-1])
+    run = np.flatnonzero(new | np.append(True, doc[1:] != doc[:-1]))
+    own = np.repeat(np.diff(np.append(run, len(key))), np.diff(np.append(run, len(key))))
+    at = np.cumsum(new) - 1
+    if key[0] == 0:
+        totals = np.append(np.int64(0), totals)
+    others = np.empty(len(flat), np.int64)
+    others[sort] = np.where(key != 0, totals[at].astype(np.int64) - own, 0)
+    others = others.reshape(order, -1)
+    score = np.maximum(others[0], UNKNOWN) / np.maximum(1, corpus - counts[of])
     for k in range(1, order):
         context = np.append(0, others[k - 1][:-1])
-        seen = (others[k] > 0) & (grams[k] != 0)
-        score = np.where(seen, others[k] / np.maximum(1, context), np.where(grams[k] != 0, ALPHA * score, score))
-    return np.bincount(of.astype(np.int64), np.log(score), len(texts)), counts
+        score = np.where(others[k] > 0, others[k] / np.maximum(1, context), np.where(found[k] != 0, ALPHA * score, score))
+    return np.bincount(of, np.log(score), len(texts)), counts
 
 
-def score(docs: DataFrame, order: int = 2, rows_per_block: int = 400) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, block_bytes: int = 2 << 20, tokens_per_bucket: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms) and mean_log_score for each row of ``docs`` (doc_id, text)."""
     ready(docs.sparkSession)
-    docs = spread(docs.select("doc_id", "text"))
-    blocks = max(1, -(-docs.count() // rows_per_block))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(word_hashes(b.column("text").cast(pa.binary()).to_pylist())[1].sum())], pa.int64())], ["n"])
-
-    corpus = docs.select("text").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(blocks, "block").sortWithinPartitions("block", "doc_id", "text")
-    asked = dealt.select("block", "text").mapInArrow(_ask(order, blocks), "bucket long, block long, keys binary, counts binary")
-    answers = asked.repartition(blocks, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer, "block long, bucket long, totals binary")
+    table = saved(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_gather(block_bytes), BLOCK), "blocks")
+    corpus = table.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = max(1, -(-corpus // tokens_per_bucket))
+    asked = table.select("block", "texts").mapInArrow(_ask(order, buckets), "bucket long, block long, keys binary, counts binary")
+    answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer, "block long, bucket long, totals binary")
 
     def total(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.sort_values(["doc_id", "text"], na_position="first", kind="stable")
         found = found.sort_values("bucket")
-        totals = np.concatenate([np.frombuffer(x, "<u4") for x in found.totals]) if len(found) else np.zeros(0, "<u4")
-        s, n = sums([t.encode() if isinstance(t, str) else None for t in texts.text], totals, corpus, order, blocks)
-        return pd.DataFrame({"doc_id": texts.doc_id.astype("Int64"), "n_tokens": n, "log_score": s, "mean_log_score": np.where(n > 0, s / np.maximum(1, n), np.nan)})
+        totals = np.concatenate([_unplanes(x, "<u4") for x in found.totals]) if len(found) else np.zeros(0, "<u4")
+        s, n = sums([t.encode() if isinstance(t, str) else None for t in texts.texts[0]], totals, corpus, order)
+        ids = pd.arrays.IntegerArray(np.frombuffer(texts.doc_ids[0], "<i8").copy(), np.frombuffer(texts.no_ids[0], bool).copy())
+        return pd.DataFrame({"doc_id": ids, "n_tokens": n, "log_score": s, "mean_log_score": np.where(n > 0, s / np.maximum(1, n), np.nan)})
 
-    rows = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total, "doc_id long, n_tokens long, log_score double, mean_log_score double")
+    rows = table.drop("n_tokens").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(total, "doc_id long, n_tokens long, log_score double, mean_log_score double")
     return rows.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))

@@ -38,8 +38,9 @@ def plain(rows, order):
 def test_against_plain_counts(spark, odd_docs, order):
     r = random.Random(4)
     rows = [(i + 100, " ".join(r.choice(["a", "B", "cc", "dé", "e,"]) for _ in range(r.randint(0, 40)))) for i in range(60)]
+    rows.append((2**62 + 1, "a b"))
     docs = odd_docs.select("doc_id", "text", "shard", "ids").unionByName(spark.createDataFrame([(*x, "s", "t") for x in rows], "doc_id long, text string, shard string, ids string"))
-    got = backoff.score(docs.repartition(3), order, rows_per_block=9).collect()
+    got = backoff.score(docs.repartition(3), order, block_bytes=900, tokens_per_bucket=3000).collect()
     assert sorted((str(x.doc_id), x.n_tokens, round(x.log_score, 6)) for x in got) == plain([(x.doc_id, x.text) for x in docs.collect()], order)
     assert all((x.mean_log_score is None) == (x.n_tokens == 0) for x in got)
 
@@ -47,4 +48,5 @@ def test_against_plain_counts(spark, odd_docs, order):
 def test_empty_and_single(spark, no_docs):
     assert backoff.score(no_docs).count() == 0
     one = spark.createDataFrame([(1, "a b a")], "doc_id long, text string")
-    assert [round(x.log_score, 9) for x in backoff.score(one).collect()] == [round(3 * math.log(0.5) + 2 * math.log(0.4), 9)]
+    for order, steps in ((2, 2), (3, 3)):  # of the tokens' n-grams beyond words, one and two backoff steps
+        assert [round(x.log_score, 9) for x in backoff.score(one, order).collect()] == [round(3 * math.log(0.5) + steps * math.log(0.4), 9)]
