@@ -14,6 +14,10 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
+#: The byte-level layouts' letter for each byte, the printable ones as they are and the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_LETTERS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _RUN = re.compile(r"\s\s\s|\s\s\Z")
 
 
@@ -28,6 +32,7 @@ class PieceEncoder(dict):
     def __init__(self, path: str, most: int = 1_300_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
@@ -49,10 +54,14 @@ class PieceEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         last, ids = piece[-1], None
         if len(piece) > 1 and self.mode == "dropped":
-            if last in ".," and _plain(piece[-2]):  # letters end before punctuation
-                ids = self[piece[:-1]] + self[last]
+            parts = None if last.isalpha() else _WORD_AND_MARKS.fullmatch(piece)
+            if parts and all(map(_plain, parts[1])) and not any(t in piece for t in self.special):  # letters end before punctuation
+                ids = self[parts[1]] + self[parts[2]]
             elif "A" <= piece[0] <= "Z":  # the layout lower-cases
                 ids = self[piece[0].lower() + piece[1:]]
+            elif piece.islower() and all(map(_plain, piece)):  # a word that normalising and cutting leave as it is
+                word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+                ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
         elif len(piece) > 2 and self.mode == "kept" and last in ".," and _plain(piece[-2]):
             ids = self[piece[:-1]] + self[last]
         if ids is None:

@@ -7,7 +7,7 @@ index (document ids, ends of the frames in the payload, id counts) and the paylo
 ascending order of doc_id and follow one another.
 
 Order is had without one task seeing everything: documents are range-partitioned by doc_id, each partition is sorted,
-encoded and cut into shards in its own task, and the partitions' id totals (one number each) give the places where they start.
+encoded and cut into shards in its own task, and sums of the partitions' id totals, by spans of partitions, give the places where they start.
 
 Cases: null and empty texts hold the end id alone; rows with equal doc_id stay apart, in the order of their frames; a null
 doc_id sorts first; an empty table gives no shards; extra columns are ignored; very long texts are one frame.
@@ -26,10 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import blocks, ready
 from .encoding import encoder
 
 SMALL = 100_000  # shards whose places are broadcast: 2 MB
+SPAN = 4096  # buckets summed together
 NULL_ID = -(1 << 63)  # stands for a null doc_id in the index
 SHARD = "bucket int, shard int, dictionary_sha256 string, n_ids long, doc_ids binary, ends binary, counts binary, payload binary"
 
@@ -59,7 +60,7 @@ def _shards(tokenizer: str, dictionary: bytes, digest: str, end_id: int, most: i
         encode, end = encoder(tokenizer).ids, np.uint32(end_id).tobytes()
         press = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary))
         number, size, rows = 0, 0, []
-        for batch in batches:
+        for batch in blocks(batches, "text", 1 << 20):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text) + end
                 rows.append((doc_id, len(ids) // 4, press.compress(ids)))
@@ -90,14 +91,13 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
     ready(spark)
     stored = spark.read.parquet(f"{path}/dictionary").first()
     table = spark.read.schema(SHARD).parquet(f"{path}/shards")
+    # Places by a prefix sum in two levels: over the shards of a bucket, over the buckets of a span, and over the spans.
+    totals = table.groupBy("bucket").agg(F.sum("n_ids").alias("n")).withColumn("span", F.floor(F.col("bucket") / SPAN))
+    spans = totals.groupBy("span").agg(F.sum("n").alias("m")).select("span", (F.sum("m").over(Window.orderBy("span")) - F.col("m")).alias("before"))  # a row for SPAN buckets
+    within = Window.partitionBy("span").orderBy("bucket")
+    places = totals.withColumn("base", F.sum("n").over(within) - F.col("n")).join(spans, "span").select("bucket", (F.col("base") + F.col("before")).alias("base"))
     inside = Window.partitionBy("bucket").orderBy("shard")
-    ends = table.select("bucket", "shard", "n_ids", F.sum("n_ids").over(inside).alias("end"))
-    totals, before = [], 0
-    for r in table.groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").toLocalIterator():  # one number a partition
-        totals.append((r.bucket, before))
-        before += r.n
-    places = spark.createDataFrame(totals, "bucket int, base long")
-    starts = ends.join(places, "bucket").select("bucket", "shard", (F.col("base") + F.col("end") - F.col("n_ids")).alias("start"))
+    starts = table.select("bucket", "shard", "n_ids", F.sum("n_ids").over(inside).alias("end")).join(places, "bucket").select("bucket", "shard", (F.col("base") + F.col("end") - F.col("n_ids")).alias("start"))
     dictionary, digest = bytes(stored.dictionary), stored.sha256
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

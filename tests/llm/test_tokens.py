@@ -29,6 +29,7 @@ def ids_of(data):
 def strings(n, seed=3):
     r = random.Random(seed)
     out = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 12))) for _ in range(n)]
+    out += [f"re{chr(c)}in{m}" for c in range(33, 0x250) for m in ("", ".", ",%%%", "_-")]
     return out + ["".join(r.choice("abinthe") for _ in range(k)) for k in (50, 400, 3000)] + ["a" * 5000, "ab" * 3000]
 
 
