@@ -10,7 +10,8 @@ S(w | v) = c(vw) / c(v) if c(vw) > 0, else ALPHA * S(w | v without its first wor
 document has counts as a half.
 
 Words are runs of bytes other than white space, A-Z lower-cased. What is gathered grows with the input: every n-gram of every
-document is counted. On their way, sorted hashes travel as differences and all numbers as planes of bytes, which compress well.
+document is counted. Hashes have 20 bits more than the number of n-grams needs, so that one in a million n-grams, at any size of
+the corpus, shares another's. On their way, sorted hashes travel as differences and all numbers as compressed planes of bytes.
 
 Cases: null, empty and blank texts have no tokens, a sum of 0 and a null mean; very long texts are scored whole, a block of
 their own; a corpus of one document scores every token as unknown; equal texts have equal scores; rows that repeat doc_id and
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,27 +34,27 @@ from .common import blocks, mix, ready, saved, spread, word_hashes
 
 ALPHA = 0.4
 UNKNOWN = 0.5
-BLOCK = "block long, n_tokens long, doc_ids binary, no_ids binary, texts array<string>"  # ids as 64-bit integers, and where they are null
+BLOCK = "block long, n_tokens long, doc_ids binary, no_ids binary, lengths binary, texts binary"  # ids and bytes as 64-bit integers, where ids are null, all texts compressed
 
 
 def _planes(a: np.ndarray) -> bytes:
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
 
 
 def _unplanes(data: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
+    data, size = zstandard.decompress(data), np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
 
 
-def grams(words: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
-    """[k - 1][i]: hash of the k words that end at token i; 0 where the text has too few before it."""
+def grams(words: np.ndarray, counts: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """[k - 1][i]: hash of ``bits`` bits of the k words that end at token i; 0 where the text has too few before it."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
     out = np.zeros((order, len(words)), np.uint64)
     out[0] = words
     for k in range(2, order + 1):
         full = np.flatnonzero(place >= k - 1)
         out[k - 1][full] = mix(out[k - 2][full - 1] * np.uint64(0x9E3779B97F4A7C15) + words[full] + np.uint64(k))
-    return out
+    return np.where(out != 0, np.maximum(out >> np.uint64(64 - bits), np.uint64(1)), np.uint64(0))
 
 
 def _gather(size: int):
@@ -62,14 +64,14 @@ def _gather(size: int):
         task, held, n, at = TaskContext.get().partitionId() << 32, [], 0, 0
 
         def row() -> pa.RecordBatch:
-            none, texts = np.array([i is None for i, _ in held]), [t for _, t in held]
-            ids = np.array([i or 0 for i, _ in held], "<i8")
-            tokens = int(word_hashes([t.encode() if t else None for t in texts])[1].sum())
-            return pa.RecordBatch.from_arrays([pa.array([task + at], pa.int64()), pa.array([tokens], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([none.tobytes()], pa.binary()), pa.array([texts], pa.list_(pa.string()))], [c.split()[0] for c in BLOCK.split(", ")])
+            none, texts = np.array([i is None for i, _ in held]), [t or b"" for _, t in held]
+            ids, lengths = np.array([i or 0 for i, _ in held], "<i8"), np.array([len(t) for t in texts], "<i8")
+            plain = [pa.array([task + at], pa.int64()), pa.array([int(word_hashes(texts)[1].sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays([*plain, *(pa.array([x], pa.binary()) for x in (ids.tobytes(), none.tobytes(), lengths.tobytes(), zstandard.compress(b"".join(texts))))], [c.split()[0] for c in BLOCK.split(", ")])
 
         for batch in blocks(batches, "text", 1 << 20):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                more = 64 + len(text or "")
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+                more = 64 + len(text or b"")
                 if held and n + more > size:
                     yield row()
                     held, n, at = [], 0, at + 1
@@ -81,14 +83,19 @@ def _gather(size: int):
     return run
 
 
-def _ask(order: int, buckets: int):
+def _texts(lengths: bytes, data: bytes) -> list[bytes]:
+    ends, data = np.cumsum(np.frombuffer(lengths, "<i8")).tolist(), zstandard.decompress(data)
+    return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _ask(order: int, buckets: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                texts = batch.column("texts")[i].values.cast(pa.binary()).to_pylist()
-                keys, n = np.unique(grams(*word_hashes(texts), order), return_counts=True)
+                texts = _texts(batch.column("lengths")[i].as_py(), batch.column("texts")[i].as_py())
+                keys, n = np.unique(grams(*word_hashes(texts), order, bits), return_counts=True)
                 keys, n = keys[keys != 0], n[keys != 0].astype("<u4")
-                bucket = (((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+                bucket = (((keys >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 number = batch.column("block")[i].as_py()
@@ -125,12 +132,12 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield one(now, held)
 
 
-def sums(texts: list[bytes | None], totals: np.ndarray, corpus: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+def sums(texts: list[bytes | None], totals: np.ndarray, corpus: int, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's sum of logarithms and its number of tokens; ``totals`` are the counts of the texts' distinct n-grams in the order of their hashes."""
     words, counts = word_hashes(texts)
     if not len(words):
         return np.zeros(len(texts)), counts
-    found = grams(words, counts, order)
+    found = grams(words, counts, order, bits)
     of = np.repeat(np.arange(len(texts)), counts)
     flat, doc = found.ravel(), np.tile(of, order)
     sort = np.argsort(flat, kind="stable")  # documents rise within an n-gram
@@ -151,19 +158,20 @@ def sums(texts: list[bytes | None], totals: np.ndarray, corpus: int, order: int)
     return np.bincount(of, np.log(score), len(texts)), counts
 
 
-def score(docs: DataFrame, order: int = 3, block_bytes: int = 2 << 20, tokens_per_bucket: int = 1 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, tokens_per_bucket: int = 1 << 20) -> DataFrame:
     """doc_id, n_tokens, log_score (sum of natural logarithms) and mean_log_score for each row of ``docs`` (doc_id, text)."""
     ready(docs.sparkSession)
     table = saved(spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(_gather(block_bytes), BLOCK), "blocks")
     corpus = table.agg(F.sum("n_tokens")).first()[0] or 0
     buckets = max(1, -(-corpus // tokens_per_bucket))
-    asked = table.select("block", "texts").mapInArrow(_ask(order, buckets), "bucket long, block long, keys binary, counts binary")
+    bits = min(64, max(32, (order * corpus).bit_length() + 20))
+    asked = table.select("block", "lengths", "texts").mapInArrow(_ask(order, buckets, bits), "bucket long, block long, keys binary, counts binary")
     answers = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(_answer, "block long, bucket long, totals binary")
 
     def total(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("bucket")
         totals = np.concatenate([_unplanes(x, "<u4") for x in found.totals]) if len(found) else np.zeros(0, "<u4")
-        s, n = sums([t.encode() if isinstance(t, str) else None for t in texts.texts[0]], totals, corpus, order)
+        s, n = sums(_texts(texts.lengths[0], texts.texts[0]), totals, corpus, order, bits)
         ids = pd.arrays.IntegerArray(np.frombuffer(texts.doc_ids[0], "<i8").copy(), np.frombuffer(texts.no_ids[0], bool).copy())
         return pd.DataFrame({"doc_id": ids, "n_tokens": n, "log_score": s, "mean_log_score": np.where(n > 0, s / np.maximum(1, n), np.nan)})
 
