@@ -39,16 +39,15 @@ def naive_mean(train: DataFrame, weeks: int = 4) -> DataFrame:
     return mean.select(*KEYS, "mu", _steps()).select(*KEYS, "step", _levels(normal)).select(*KEYS, "step", "q.tau", "q.value")
 
 
-def poisson_quantiles(rates: DataFrame, keys: list[str], most: int = 200) -> DataFrame:
-    """Least x with a Poisson distribution function of tau or more, for each rate (``mu``), from a table of x up to ``most``."""
-    terms = F.transform(F.sequence(F.lit(0), F.lit(most)), lambda x: F.exp(x * F.ln(F.greatest(F.col("mu"), F.lit(1e-9))) - F.col("mu") - _ln_factorial(x)))
-    sums = F.aggregate(terms, F.array().cast("array<double>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + p)))
-    first = F.transform(F.array(*map(F.lit, LEVELS)), lambda t: F.coalesce(F.size(F.filter(F.col("cdf"), lambda c: c < t - 1e-12)), F.lit(0)).cast("double"))
-    return rates.withColumn("cdf", sums).select(*keys, _levels(first)).select(*keys, "q.tau", "q.value")
-
-
-def _ln_factorial(x: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(x, F.lit(1))), F.lit(0.0), lambda a, k: a + F.ln(k.cast("double")))
+def poisson_quantiles(rates: DataFrame, keys: list[str]) -> DataFrame:
+    """Least x with a Poisson distribution function of tau or more, for each rate (``mu``). The x tried end ten deviations above the rate."""
+    own = Window.partitionBy(*keys).orderBy("x")
+    mu, x = F.greatest(F.col("mu"), F.lit(1e-9)), F.col("x")
+    tried = rates.select(*keys, "mu", F.explode(F.sequence(F.lit(0), F.ceil(F.col("mu") + 10 * F.sqrt("mu") + 10).cast("int"))).alias("x"))
+    log_p = x * F.ln(mu) - F.col("mu") - F.sum(F.ln(F.greatest(x, F.lit(1)).cast("double"))).over(own)
+    cdf = tried.withColumn("p", F.exp(log_p)).withColumn("cdf", F.sum("p").over(own))
+    first = cdf.groupBy(*keys).agg(*(F.count_if(F.col("cdf") < t - 1e-12).cast("double").alias(f"v{i}") for i, t in enumerate(LEVELS)))
+    return first.select(*keys, _levels(F.array(*(F.col(f"v{i}") for i in range(len(LEVELS)))))).select(*keys, "q.tau", "q.value")
 
 
 def croston(train: DataFrame, alpha: float = 0.1, corrected: bool = True) -> DataFrame:

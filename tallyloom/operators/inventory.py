@@ -36,9 +36,10 @@ def normalised(pmf: DataFrame, keys: list[str]) -> DataFrame:
     return pmf.withColumn("p", p / F.sum(p).over(Window.partitionBy(*keys)))
 
 
-def empirical_pmf(panel: DataFrame, keys: list[str], cap: int = 80, value: str = "demand") -> DataFrame:
-    """p(x) of rounded values, those beyond the cap put on it."""
-    x = F.least(F.bround(F.col(value)), F.lit(float(cap))).cast("int")
+def empirical_pmf(panel: DataFrame, keys: list[str], cap: int | None = None, value: str = "demand") -> DataFrame:
+    """p(x) of rounded values; with a cap, those beyond it are put on it."""
+    x = F.bround(F.col(value))
+    x = (x if cap is None else F.least(x, F.lit(float(cap)))).cast("int")
     counts = panel.groupBy(*keys, x.alias("x")).count()
     return counts.select(*keys, "x", (F.col("count") / F.sum("count").over(Window.partitionBy(*keys))).alias("p"))
 
@@ -68,11 +69,16 @@ def newsvendor_order(demand: DataFrame, stock: DataFrame, keys: list[str], under
     return fractile(net, keys, under / (under + over)).select(*keys, F.greatest(F.col("x"), F.lit(0)).alias("order_qty"))
 
 
-def cost_curve(net: DataFrame, keys: list[str], most: int = 60, under: float = SHORTAGE, over: float = HOLDING) -> DataFrame:
-    """Expected cost of each order 0..most against the distribution of what will be missing."""
-    q = net.select(*keys, "x", "p", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("q"))
-    cost = over * F.greatest(F.col("q") - F.col("x"), F.lit(0)) + under * F.greatest(F.col("x") - F.col("q"), F.lit(0))
-    return q.groupBy(*keys, "q").agg(F.sum(F.col("p") * cost).alias("cost"))
+def cost_curve(net: DataFrame, keys: list[str], under: float = SHORTAGE, over: float = HOLDING) -> DataFrame:
+    """Expected cost of each order from 0 to the most that can be missing (x, p), from running sums of p and of x p."""
+    grid = net.groupBy(*keys).agg(F.greatest(F.max("x"), F.lit(0)).cast("int").alias("top"))
+    every = net.select(*keys, F.col("x").cast("int").alias("x"), "p").unionByName(grid.select(*keys, F.explode(F.sequence(F.lit(0), "top")).alias("x"), F.lit(0.0).alias("p")))
+    points = every.groupBy(*keys, "x").agg(F.sum("p").alias("p"))
+    own = Window.partitionBy(*keys)
+    upto, x, p = own.orderBy("x"), F.col("x"), F.col("p")
+    below, part = F.sum("p").over(upto), F.sum(x * p).over(upto)
+    cost = over * (x * below - part) + under * (F.sum(x * p).over(own) - part - x * (F.sum("p").over(own) - below))
+    return points.select(*keys, x.alias("q"), cost.alias("cost")).where("q >= 0")
 
 
 def replay(weeks: DataFrame, state: DataFrame, targets: DataFrame, holding: float = HOLDING, shortage: float = SHORTAGE) -> DataFrame:

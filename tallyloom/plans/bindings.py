@@ -12,17 +12,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def weekly_sales(spark: SparkSession, sf_dir: str, stores: int = 5, products: int = 20) -> DataFrame:
-    """Sales per store, product and week (Monday): only weeks with sales."""
+def weekly_sales(spark: SparkSession, sf_dir: str, stores: int = 5, parts: int = 100) -> DataFrame:
+    """Sales per store, product and week (Monday): only weeks with sales. A product is a range of ``parts`` part keys, so that the
+    number of series grows with the tables and a series' weekly demand doesn't."""
     lines = read(spark, sf_dir, "lineitem")
     week = F.to_date(F.date_trunc("week", "l_shipdate"))
-    keys = [(F.col("l_suppkey") % stores).cast("int").alias("store"), (F.col("l_partkey") % products).cast("int").alias("product"), week.alias("week")]
+    keys = [(F.col("l_suppkey") % stores).cast("int").alias("store"), F.expr(f"cast((l_partkey - 1) div {parts} as int)").alias("product"), week.alias("week")]
     return lines.groupBy(*keys).agg(F.sum("l_quantity").alias("demand"))
 
 
-def demand_panel(spark: SparkSession, sf_dir: str, stores: int = 5, products: int = 20) -> DataFrame:
+def demand_panel(spark: SparkSession, sf_dir: str, stores: int = 5, parts: int = 100) -> DataFrame:
     """store, product, week, week_idx, demand, in_stock: every series in every week, zeros where nothing sold."""
-    sales = weekly_sales(spark, sf_dir, stores, products)
+    sales = weekly_sales(spark, sf_dir, stores, parts)
     bounds = sales.agg(F.min("week").alias("first"), F.max("week").alias("last"))
     weeks = bounds.select("first", F.explode(F.sequence("first", "last", F.expr("interval 7 days"))).alias("week"))
     weeks = weeks.select("week", (F.datediff("week", "first") / 7).cast("int").alias("week_idx"))
@@ -43,7 +44,7 @@ def given_orders(panel: DataFrame) -> DataFrame:
 
 
 PANEL_SQL = """
-sales AS (SELECT CAST(l_suppkey % 5 AS INTEGER) store, CAST(l_partkey % 20 AS INTEGER) product, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, sum(l_quantity) AS demand FROM lineitem GROUP BY ALL),
+sales AS (SELECT CAST(l_suppkey % 5 AS INTEGER) store, CAST((l_partkey - 1) // 100 AS INTEGER) product, CAST(date_trunc('week', l_shipdate) AS DATE) AS week, sum(l_quantity) AS demand FROM lineitem GROUP BY ALL),
 weeks AS (SELECT CAST(unnest(generate_series(min(week)::TIMESTAMP, max(week)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week, min(week) AS first_week FROM sales),
 panel AS (SELECT k.store, k.product, w.week, CAST(date_diff('day', w.first_week, w.week) // 7 AS INTEGER) AS week_idx, coalesce(s.demand, 0.0) AS demand,
   (k.store * 31 + k.product * 17 + (date_diff('day', w.first_week, w.week) // 7) * 7) % 11 <> 0 AS in_stock

@@ -234,12 +234,12 @@ def b30_interval_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(*KEYS).agg(F.round(F.sum(w * loss) / F.sum(w), 6).alias("interval_loss"))
 
 
-@query("""SELECT store, product, CASE WHEN avg(demand) = 0 THEN 'zero' WHEN avg(demand) < 20 THEN 'low' WHEN avg(demand) < 24 THEN 'medium' ELSE 'high' END segment, round(avg(demand), 6) mean, round(stddev_samp(demand), 6) sd,
+@query("""SELECT store, product, CASE WHEN avg(demand) = 0 THEN 'zero' WHEN avg(demand) < 42 THEN 'low' WHEN avg(demand) < 44 THEN 'medium' ELSE 'high' END segment, round(avg(demand), 6) mean, round(stddev_samp(demand), 6) sd,
  round(avg(abs(demand - m)), 6) mae, round(sqrt(avg((demand - m) * (demand - m))), 6) rmse FROM (SELECT *, avg(demand) OVER (PARTITION BY store, product) m FROM panel) GROUP BY store, product""")
 def b31_b32_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = demand_panel(spark, sf_dir).withColumn("m", F.avg("demand").over(Window.partitionBy(*KEYS)))
     mean, e = F.avg("demand"), F.col("demand") - F.col("m")
-    segment = F.when(mean == 0, "zero").when(mean < 20, "low").when(mean < 24, "medium").otherwise("high")
+    segment = F.when(mean == 0, "zero").when(mean < 42, "low").when(mean < 44, "medium").otherwise("high")
     return rows.groupBy(*KEYS).agg(segment.alias("segment"), F.round(mean, 6).alias("mean"), F.round(F.stddev_samp("demand"), 6).alias("sd"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 6).alias("rmse"))
 
 

@@ -38,7 +38,7 @@ def f2_naive_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts.naive_mean(_train_test(spark, sf_dir)[0]).withColumn("value", F.round("value", 6))
 
 
-@query(f""", r AS (SELECT store, product, avg(demand) mu FROM panel GROUP BY ALL), x AS (SELECT store, product, mu, x, sum(exp(x * ln(mu) - mu - lgamma(x + 1))) OVER (PARTITION BY store, product ORDER BY x) cdf FROM r, (SELECT unnest(range(0, 201)) x))
+@query(f""", r AS (SELECT store, product, avg(demand) mu FROM panel GROUP BY ALL), x AS (SELECT store, product, mu, x, sum(exp(x * ln(mu) - mu - lgamma(x + 1))) OVER (PARTITION BY store, product ORDER BY x) cdf FROM r, (SELECT unnest(range(0, (SELECT CAST(max(mu) * 3 + 100 AS BIGINT) FROM r))) x))
 SELECT store, product, tau, CAST(count(*) FILTER (cdf < tau - 1e-12) AS DOUBLE) AS value FROM x, (SELECT unnest({_LEVELS}) tau) GROUP BY ALL""")
 def f2_poisson_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecasts.poisson_quantiles(demand_panel(spark, sf_dir).groupBy(*KEYS).agg(F.avg("demand").alias("mu")), KEYS)
@@ -75,7 +75,7 @@ def f18_copied_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return have.unionByName(third).select(*FOLD, "step", "tau", F.round("value", 6).alias("value"))
 
 
-_PMF_SQL = ", pmf AS (SELECT store, product, x, count(*) / sum(count(*)) OVER (PARTITION BY store, product) p FROM (SELECT store, product, CAST(least(round_even(demand, 0), 80) AS INTEGER) x FROM panel WHERE week_idx >= 253) GROUP BY store, product, x)"
+_PMF_SQL = ", pmf AS (SELECT store, product, x, count(*) / sum(count(*)) OVER (PARTITION BY store, product) p FROM (SELECT store, product, CAST(round_even(demand, 0) AS INTEGER) x FROM panel WHERE week_idx >= 253) GROUP BY store, product, x)"
 
 
 def _pmf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +193,7 @@ def g4_newsvendor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.newsvendor_order(_pmf(spark, sf_dir), _stock(panel), KEYS)
 
 
-@query(_STOCK_SQL + " SELECT store, product, CAST(q AS INTEGER) q, round(sum(p * (0.2 * greatest(q - x, 0) + greatest(x - q, 0))), 6) AS cost FROM net, (SELECT unnest(range(61)) q) GROUP BY ALL")
+@query(_STOCK_SQL + " SELECT store, product, CAST(q AS INTEGER) q, round(sum(p * (0.2 * greatest(q - x, 0) + greatest(x - q, 0))), 6) AS cost FROM net JOIN (SELECT store, product, unnest(range(greatest(max(x), 0) + 1)) q FROM net GROUP BY store, product) USING (store, product) GROUP BY ALL")
 def g6_g7_cost_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     pmf, panel = _pmf(spark, sf_dir), demand_panel(spark, sf_dir)
     net = inventory.convolve(pmf, inventory.leftover(pmf, _stock(panel), KEYS), KEYS, F.col("xa") - F.col("xb"))

@@ -128,9 +128,9 @@ def i15_underforecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per(spark, sf_dir).groupBy("model", *KEYS).agg(F.round(share, 6).alias("under_share"), F.round(F.coalesce(F.avg(F.when(F.col("error") > 0, F.col("error"))), F.lit(0.0)), 6).alias("mean_under"), (share > 0.6).alias("guarded"))
 
 
-@query(_PER_SQL + ", c AS (SELECT store, product, CASE WHEN avg(demand) < 22 THEN 'low' ELSE 'high' END cohort FROM panel GROUP BY ALL) SELECT model, cohort, step, count(*) n, round(avg(pinball), 6) pinball, round(avg(covered_80), 6) coverage_80 FROM per JOIN c USING (store, product) GROUP BY ALL")
+@query(_PER_SQL + ", c AS (SELECT store, product, CASE WHEN avg(demand) < 43 THEN 'low' ELSE 'high' END cohort FROM panel GROUP BY ALL) SELECT model, cohort, step, count(*) n, round(avg(pinball), 6) pinball, round(avg(covered_80), 6) coverage_80 FROM per JOIN c USING (store, product) GROUP BY ALL")
 def i16_cohort_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = demand_panel(spark, sf_dir).groupBy(*KEYS).agg(F.when(F.avg("demand") < 22, "low").otherwise("high").alias("cohort"))
+    c = demand_panel(spark, sf_dir).groupBy(*KEYS).agg(F.when(F.avg("demand") < 43, "low").otherwise("high").alias("cohort"))
     return _per(spark, sf_dir).join(c, KEYS).groupBy("model", "cohort", "step").agg(F.count("*").alias("n"), F.round(F.avg("pinball"), 6).alias("pinball"), F.round(F.avg("covered_80"), 6).alias("coverage_80"))
 
 
@@ -213,10 +213,10 @@ def j26_order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("store").agg(F.count_if(gap == 0).alias("n_exact"), F.count_if(gap <= 1).alias("within_1"), F.count_if(gap <= 5).alias("within_5"), F.round(F.avg(F.col("s") - F.col("r")), 6).alias("mean_gap"))
 
 
-@query("SELECT count(*) n, round(avg(demand), 6) mean, round(stddev_samp(demand), 6) sd, min(demand) low, quantile_cont(demand, 0.25) q25, quantile_cont(demand, 0.5) q50, quantile_cont(demand, 0.75) q75, max(demand) high FROM panel WHERE store = 0 AND product = 10")
+@query("SELECT count(*) n, round(avg(demand), 6) mean, round(stddev_samp(demand), 6) sd, min(demand) low, quantile_cont(demand, 0.25) q25, quantile_cont(demand, 0.5) q50, quantile_cont(demand, 0.75) q75, max(demand) high FROM panel WHERE store = 0 AND product = 1")
 def j30_describe_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = lambda p: F.percentile("demand", F.lit(p))
-    one = demand_panel(spark, sf_dir).where("store = 0 and product = 10")
+    one = demand_panel(spark, sf_dir).where("store = 0 and product = 1")
     return one.agg(F.count("*").alias("n"), F.round(F.avg("demand"), 6).alias("mean"), F.round(F.stddev_samp("demand"), 6).alias("sd"), F.min("demand").alias("low"), q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), F.max("demand").alias("high"))
 
 
@@ -240,10 +240,10 @@ def l17_metric_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unpivot("model", ["pinball", "crps", "mae"], "metric", "v").select("metric", "model", F.rank().over(Window.partitionBy("metric").orderBy(F.round("v", 9))).alias("rank"))
 
 
-@query(_FOLDS_SQL + " SELECT fold_idx, CASE WHEN rn <= cut THEN 'train' ELSE 'test' END AS role, count(*) n, min(week_idx) first_week, max(week_idx) last_week FROM folds WHERE store = 0 OR product < 10 GROUP BY ALL")
+@query(_FOLDS_SQL + " SELECT fold_idx, CASE WHEN rn <= cut THEN 'train' ELSE 'test' END AS role, count(*) n, min(week_idx) first_week, max(week_idx) last_week FROM folds GROUP BY ALL")
 def c5_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and reach of cross-validation folds."""
-    rows = splits.rolling_origin(demand_panel(spark, sf_dir)).where("store = 0 or product < 10")
+    rows = splits.rolling_origin(demand_panel(spark, sf_dir))
     return rows.groupBy("fold_idx", "role").agg(F.count("*").alias("n"), F.min("week_idx").alias("first_week"), F.max("week_idx").alias("last_week"))
 
 

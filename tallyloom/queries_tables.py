@@ -148,15 +148,15 @@ def a18_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.where(~F.col("run").startswith("v2")).unionByName(total("week_idx >= 100", "v2"))
 
 
-@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS \"year\", CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY sum(o_totalprice), c_name) AS INTEGER) AS rank, c_name AS name, CAST(count(*) AS INTEGER) apply_count, round(sum(o_totalprice), 2) order_cost FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 50 = 0 GROUP BY year(o_orderdate), c_name", panel=False)
+@query("SELECT CAST(year(o_orderdate) AS INTEGER) AS \"year\", CAST(row_number() OVER (PARTITION BY year(o_orderdate) ORDER BY sum(o_totalprice), c_name) AS INTEGER) AS rank, c_name AS name, CAST(count(*) AS INTEGER) apply_count, round(sum(o_totalprice), 2) order_cost FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY year(o_orderdate), c_name", panel=False)
 def a19_leaderboard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly boards of customers rendered as text of three lines a record, parsed back to rows."""
-    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").where("c_custkey % 50 = 0"), F.col("o_custkey") == F.col("c_custkey"))
+    """Yearly boards of customers rendered as texts of three lines a record, a thousand ranks in each, parsed back to rows."""
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     cost = rows.groupBy(F.year("o_orderdate").alias("year"), F.col("c_name").alias("name")).agg(F.sum("o_totalprice").alias("cost"), F.count("*").alias("n"))
     cost = cost.withColumn("rank", F.row_number().over(Window.partitionBy("year").orderBy("cost", "name")))
     money = F.format_number("cost", 2)
     record = F.concat_ws("\n", F.col("rank").cast("string"), "name", F.concat_ws("\t", F.col("n").cast("string"), money, money, F.col("n").cast("string"), F.lit("today")))
-    text = cost.select("year", "rank", record.alias("r")).groupBy("year").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]), "\n").alias("text"))
+    text = cost.select("year", "rank", record.alias("r")).groupBy("year", F.expr("(rank - 1) div 1000").alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "r"))), lambda x: x["r"]), "\n").alias("text"))
     return retail.parse_leaderboard(text).select("year", "rank", "name", "apply_count", "order_cost")
 
 
