@@ -52,10 +52,14 @@ def second_week(pmf: DataFrame, state: DataFrame, keys: list[str], state_keys: l
     left = F.greatest(F.col("on_hand").cast("int") + F.col("intransit_1").cast("int") - F.col("x"), F.lit(0)) + F.col("intransit_2").cast("int")
     stock = first.groupBy(*keys, left.alias("x")).agg(F.sum("p").alias("p"))
     net = inventory.convolve(pmf.where("step = 2"), stock, keys, F.col("xa") - F.col("xb"))
-    order = inventory.fractile(net, keys, under / (under + over)).select(*keys, F.greatest(F.col("x"), F.lit(0)).cast("int").alias("order_qty"))
-    q, x = F.col("order_qty"), F.col("x")
-    cost = F.col("p") * (over * F.greatest(q - x, F.lit(0)) + under * F.greatest(x - q, F.lit(0)))
-    return net.join(order, keys).groupBy(*keys, "order_qty").agg(F.sum(cost).alias("expected_cost"))
+    own, x, p = Window.partitionBy(*keys), F.col("x"), F.col("p")
+    upto = own.orderBy("x")
+    below, part = F.sum("p").over(upto), F.sum(x * p).over(upto)
+    cost = over * (x * below - part) + under * (F.sum(x * p).over(own) - part - x * (F.sum("p").over(own) - below))
+    none = F.sum(p * (over * F.greatest(-x, F.lit(0)) + under * F.greatest(x, F.lit(0)))).over(own)
+    reached = net.select(*keys, "x", below.alias("cdf"), cost.alias("cost"), none.alias("none")).where(F.col("cdf") >= under / (under + over) - 1e-9)
+    best = reached.groupBy(*keys).agg(F.min(F.struct("x", "cost", "none")).alias("b"))
+    return best.select(*keys, F.greatest(F.col("b.x"), F.lit(0)).cast("int").alias("order_qty"), F.when(F.col("b.x") < 0, F.col("b.none")).otherwise(F.col("b.cost")).alias("expected_cost"))
 
 
 def realised(rows: DataFrame, order: Column, under: float = inventory.SHORTAGE, over: float = inventory.HOLDING) -> DataFrame:

@@ -101,16 +101,18 @@ def replay(weeks: DataFrame, state: DataFrame, targets: DataFrame, holding: floa
 
 def quantiles_to_pmf(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Whole-number distribution of each forecast: its quantiles (0 at least, rising), with 0 at level 0 and the highest at level 1,
-    interpolated as a distribution function on 0..ceil(highest), differenced and made to sum to 1."""
-    own = Window.partitionBy(*keys)
-    points = rows.select(*keys, "tau", F.max(F.greatest(F.col("value"), F.lit(0.0))).over(own.orderBy("tau")).alias("v"))
-    top = points.groupBy(*keys).agg(F.max("v").alias("top"))
-    ends = top.select(*keys, F.lit(0.0).alias("tau"), F.lit(0.0).alias("v")).unionByName(top.select(*keys, F.lit(1.0).alias("tau"), F.col("top").alias("v")))
-    order = own.orderBy("tau", "v")
-    segments = points.unionByName(ends).select(*keys, "tau", "v", F.lead("tau").over(order).alias("t2"), F.lead("v").over(order).alias("v2")).where("v2 > v")
-    support = top.select(*keys, F.explode(F.sequence(F.lit(0), F.ceil("top").cast("int"))).alias("x"))
-    at = support.join(segments, keys, "left").where("x >= v and x < v2")
-    cdf = at.select(*keys, "x", (F.col("tau") + (F.col("t2") - F.col("tau")) * (F.col("x") - F.col("v")) / (F.col("v2") - F.col("v"))).alias("cdf"))
-    cdf = support.join(cdf, [*keys, "x"], "left").withColumn("cdf", F.coalesce("cdf", F.lit(1.0)))
-    p = F.col("cdf") - F.coalesce(F.lag("cdf").over(own.orderBy("x")), F.lit(0.0))
+    interpolated as a distribution function on 0..ceil(highest), differenced and made to sum to 1. A forecast's segments are exploded to the numbers in them, without a join."""
+    zero = F.lit(0.0)
+    point = lambda t, v: F.struct(t.cast("double").alias("t"), v.cast("double").alias("v"))
+    sorted_rows = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tau", "value"))).alias("r"))
+    rising = F.transform("r", lambda e, i: point(e["tau"], F.array_max(F.transform(F.slice("r", 1, i + 1), lambda b: F.greatest(zero, b["value"])))))
+    arrays = sorted_rows.select(*keys, rising.alias("r")).withColumn("top", F.element_at("r", -1)["v"])
+    points = F.concat(F.array(point(zero, zero)), "r", F.array(point(F.lit(1.0), F.col("top")), point(F.lit(1.0), F.col("top") + 1)))
+    arrays = arrays.select(*keys, points.alias("pts"))
+    pairs = F.arrays_zip(F.slice("pts", 1, F.size("pts") - 1).alias("a"), F.slice("pts", 2, F.size("pts") - 1).alias("b"))
+    segments = arrays.select(*keys, F.explode(pairs).alias("s")).select(*keys, F.col("s.a.t").alias("t"), F.col("s.a.v").alias("v"), F.col("s.b.t").alias("t2"), F.col("s.b.v").alias("v2"))
+    segments = segments.withColumn("low", F.ceil("v").cast("int")).withColumn("high", (F.ceil("v2") - 1).cast("int")).where("v2 > v and high >= low")
+    at = segments.select("*", F.explode(F.sequence("low", "high")).alias("x"))
+    cdf = at.select(*keys, "x", (F.col("t") + (F.col("t2") - F.col("t")) * (F.col("x") - F.col("v")) / (F.col("v2") - F.col("v"))).alias("cdf"))
+    p = F.col("cdf") - F.coalesce(F.lag("cdf").over(Window.partitionBy(*keys).orderBy("x")), zero)
     return normalised(cdf.select(*keys, "x", p.alias("p")), keys)
