@@ -199,6 +199,9 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+MOST_GROWTH = 4096  # bytes that one byte can stand for, at most, in the compressions read
+
+
 def read_tiff(data: bytes) -> Iterator[dict]:
     """The pages: width, height, samples, compression, predictor and the samples' bytes."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
@@ -216,6 +219,12 @@ def read_tiff(data: bytes) -> Iterator[dict]:
         tiled = TAGS["tile_offsets"] in fields
         w, h = (one("tile_width"), one("tile_height")) if tiled else (width, min(one("rows_per_strip", height), height))
         kind = "tile" if tiled else "strip"
+        if min(width, height, samples, w, h) < 1 or predictor not in (1, 2):
+            raise ValueError("a size of 0 or an unknown predictor")
+        if width * height * samples > MOST_GROWTH * len(data) or w * h * samples > MOST_GROWTH * len(data):
+            raise ValueError("more samples than the file can hold")
+        if min(len(fields[TAGS[f"{kind}_{x}"]]) for x in ("offsets", "counts")) < -(-width // w) * -(-height // h):
+            raise ValueError(f"a {kind} is missing")
         image = np.zeros((height, width, samples), np.uint8)
         across = -(-width // w)
         for i, (start, n) in enumerate(zip(fields[TAGS[f"{kind}_offsets"]], fields[TAGS[f"{kind}_counts"]])):
@@ -249,7 +258,7 @@ def encode_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2
 def _read(data: bytes | None) -> list[dict]:
     try:
         return [{"page": i, "error": None} | p for i, p in enumerate(read_tiff(data))] if data is not None else []
-    except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError) as e:
+    except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, ArithmeticError, MemoryError) as e:
         return [dict.fromkeys(("width", "height", "samples", "compression", "predictor", "data")) | {"page": 0, "error": str(e) or type(e).__name__}]
 
 

@@ -68,3 +68,18 @@ def test_stored_features(spark, odd_docs, no_docs):
         media = tiff.write_tiff(padded)
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert seen.setdefault(row.text or "", r.feature) == r.feature
+
+
+def test_malformed_headers_give_error_rows():
+    good = tiff.write_tiff(tiff.payload(b"some text"), tiff.DEFLATE, 2)
+    assert tiff._read(good)[0]["error"] is None
+    (at,) = struct.unpack_from("<I", good, 4)
+    (n,) = struct.unpack_from("<H", good, at)
+    for tag, value in ((tiff.TAGS["width"], 0), (tiff.TAGS["height"], 2**31), (tiff.TAGS["rows_per_strip"], 0), (tiff.TAGS["predictor"], 3), (tiff.TAGS["compression"], 9)):
+        for i in range(n):
+            entry = at + 2 + 12 * i
+            if struct.unpack_from("<H", good, entry)[0] == tag:
+                bad = bytearray(good)
+                struct.pack_into("<HI", bad, entry + 2, 4, 1)
+                struct.pack_into("<I", bad, entry + 8, value)
+                assert tiff._read(bytes(bad))[0]["error"], tag
