@@ -15,7 +15,10 @@ from .sources import retail
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared folder; in a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
