@@ -81,18 +81,27 @@ class Index:
         spans = [slice(self.heads[t], self.heads[t + 1]) for t in term.tolist()]
         return np.bincount(np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
 
+    def keep(self, units: np.ndarray) -> None:
+        """Leaves the postings of some units only (a mask); the others' scores become 0."""
+        some = units[self.posted]
+        self.heads = np.concatenate([[0], np.cumsum(some)])[self.heads]
+        self.posted, self.weight = self.posted[some], self.weight[some]
+
 
 def plan(lengths: list[int], index: Index, window: int) -> list[list[tuple[int, int, int]]]:
     """Sequences of (unit, start in it, length); all are full but the last."""
     left = np.array(lengths, np.int64)
     done = np.zeros(len(left), np.int64)
-    out, seed = [], 0
+    out, seed, held = [], 0, len(left)
     while True:
         while seed < len(left) and not left[seed]:
             seed += 1
         if seed == len(left):
             return out
-        row, room = [], window
+        row, room, unused = [], window, np.count_nonzero(left)
+        if unused < 0.85 * held:  # used units need no scores
+            index.keep(left > 0)
+            held = unused
 
         def put(unit: int, n: int) -> None:
             nonlocal room
