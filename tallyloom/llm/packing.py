@@ -71,21 +71,34 @@ class Index:
         self.by_unit = term, (idf[term] * np.where(df[term] > 1, 1, 0)).astype(np.float32)
         order = np.argsort(term.astype(np.uint16), kind="stable")
         self.posted, self.weight, self.heads = unit[order], weight[order], np.concatenate([[0], np.cumsum(df)])
-        self.n = n
+        self.n, self.columns = n, np.arange(n)
+        common = np.flatnonzero(3 * df > n)  # terms of a third of the units: a row of weights each, at most thrice their postings
+        self.row, self.dense = np.full(1 << 16, -1), np.zeros((len(common), n))
+        self.row[common] = np.arange(len(common))
+        for row, term in enumerate(common.tolist()):
+            span = slice(self.heads[term], self.heads[term + 1])
+            self.dense[row, self.posted[span]] = self.weight[span]
 
     def scores(self, unit: int) -> np.ndarray:
         a, b = self.rows[unit], self.rows[unit + 1]
         term, value = self.by_unit[0][a:b], self.by_unit[1][a:b]
         if self.terms and b - a > self.terms:
             term = term[np.argpartition(-value, self.terms)[: self.terms]]
-        spans = [slice(self.heads[t], self.heads[t + 1]) for t in term.tolist()]
-        return np.bincount(np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        row = self.row[term]
+        out = np.zeros(self.n)
+        out[self.columns] = self.dense[row[row >= 0]].sum(0)
+        rare = term[row < 0]
+        if len(rare):
+            spans = [slice(a, b) for a, b in zip(self.heads[rare].tolist(), self.heads[rare + 1].tolist())]
+            out += np.bincount(np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        return out
 
     def keep(self, units: np.ndarray) -> None:
         """Leaves the postings of some units only (a mask); the others' scores become 0."""
         some = units[self.posted]
         self.heads = np.concatenate([[0], np.cumsum(some)])[self.heads]
         self.posted, self.weight = self.posted[some], self.weight[some]
+        self.dense, self.columns = self.dense[:, units[self.columns]], np.flatnonzero(units)
 
 
 def plan(lengths: list[int], index: Index, window: int) -> list[list[tuple[int, int, int]]]:
