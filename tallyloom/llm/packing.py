@@ -228,12 +228,15 @@ DIMS = 64
 
 def _vectors(units: list[np.ndarray], stats: Stats) -> np.ndarray:
     """Random projections (of whole numbers, so that no order of sums matters) of the units' weights, scaled to one length."""
-    signs = _SIGNS[0] if _SIGNS else _SIGNS.append(np.random.default_rng(8).choice(np.array([-1, 1], np.int32), (1 << 16, DIMS))) or _SIGNS[0]
+    signs = _SIGNS[0] if _SIGNS else _SIGNS.append(np.random.default_rng(8).choice(np.array([-1, 1], np.float32), (1 << 16, DIMS))) or _SIGNS[0]
     unit, term, tf, lengths = _postings(units)
     out = np.zeros((len(units), DIMS), np.int64)
     if len(unit):
-        weight = np.rint(64 * np.sqrt(stats.weight(unit, term, tf, lengths))).astype(np.int32)
-        out[lengths > 0] = np.add.reduceat(signs[term] * weight[:, None], np.flatnonzero(np.diff(unit, prepend=-1)))
+        weight = np.rint(64 * np.sqrt(stats.weight(unit, term, tf, lengths)))
+        heads = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+        for k, (a, b) in enumerate(zip(heads, heads[1:])):
+            exact = np.float32 if b - a < 1 << 14 else np.float64  # sums of whole numbers under 2^24 and 2^53
+            out[k] = weight[a:b].astype(exact) @ signs[term[a:b]]
     return np.rint(out * (1000 / np.sqrt(np.maximum(1, (out * out).sum(1))))[:, None]).astype(np.int64)
 
 
