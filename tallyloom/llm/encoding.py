@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,7 +19,7 @@ from tokenizers import Tokenizer
 #: The byte-level layouts' letter for each byte, the printable ones as they are and the others from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LETTERS = {b: b if b in _PRINTED else 256 + sum(c not in _PRINTED for c in range(b)) for b in range(256)}
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+_MARKS = r"[!-&(-/:-@\[-`{-~]"
 _RUN = re.compile(r"\s\s\s|\s\s\Z")
 
 
@@ -26,6 +28,19 @@ def _plain(letter: str) -> bool:
     return letter < "\u0250" and letter != "İ" and letter.isalpha()
 
 
+_PLAIN = [c for c in map(chr, range(0x250)) if _plain(c)]
+_LOWER_WORD = re.compile(f"[{''.join(c for c in _PLAIN if c.islower())}]+").fullmatch
+_WORD_AND_MARKS = re.compile(f"([{''.join(_PLAIN)}]+)({_MARKS}+)").fullmatch
+_WORD_OR_MARKS = re.compile(rf"[^\W\d_]*{_MARKS}*").fullmatch
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class PieceEncoder(dict):
     """ids(text): the library's ids as little-endian unsigned 32-bit integers."""
 
@@ -39,6 +54,7 @@ class PieceEncoder(dict):
             layout = json.load(f)
         pre = layout.get("pre_tokenizer") or {}
         self.special = [t["content"] for t in layout.get("added_tokens", [])]
+        self.marked = [t for t in self.special if _WORD_OR_MARKS(t)]  # those that a word and its marks can hold
         first = (pre.get("pretokenizers") or [{}])[0]
         collapses = any(n.get("content") == " " and n.get("pattern", {}).get("Regex") == r"\s+" for n in (layout.get("normalizer") or {}).get("normalizers", []))
         self.mode = "whole"
@@ -54,14 +70,13 @@ class PieceEncoder(dict):
     def __missing__(self, piece: str) -> bytes:
         last, ids = piece[-1], None
         if len(piece) > 1 and self.mode == "dropped":
-            parts = None if last.isalpha() else _WORD_AND_MARKS.fullmatch(piece)
-            if parts and all(map(_plain, parts[1])) and not any(t in piece for t in self.special):  # letters end before punctuation
-                ids = self[parts[1]] + self[parts[2]]
+            if _LOWER_WORD(piece):  # a word that normalising and cutting leave as it is
+                word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+                ids = _packed([t.id for t in self.model.tokenize(word)])
+            elif not last.isalpha() and (parts := _WORD_AND_MARKS(piece)) and not any(t in piece for t in self.marked):
+                ids = self[parts[1]] + self[parts[2]]  # letters end before punctuation
             elif "A" <= piece[0] <= "Z":  # the layout lower-cases
                 ids = self[piece[0].lower() + piece[1:]]
-            elif piece.islower() and all(map(_plain, piece)):  # a word that normalising and cutting leave as it is
-                word = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-                ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
         elif len(piece) > 2 and self.mode == "kept" and last in ".," and _plain(piece[-2]):
             ids = self[piece[:-1]] + self[last]
         if ids is None:
