@@ -9,7 +9,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, common, id_files, nearest, packing, parity_join, quality, tiff, token_counts, toxicity, transducer
+from . import backoff, common, id_files, lexical, nearest, oracles, packing, parity_join, phrases, quality, secrets, tiff, token_counts, toxicity, transducer
 
 
 def tokenizer(name: str) -> str:
@@ -62,5 +62,18 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.read_ids(spark, path, with_ids=False).drop("ids")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op2_ngram_jaccard, op3_tiff, op4_toxicity, op5_token_counts, op6_backoff, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(common.table(spark, sf_dir, "documents"))
+
+
+def op12_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
+def op13_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = f"{common.scratch(spark)}/secret-ledger-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return secrets.report(common.table(spark, sf_dir, "documents"), ledger)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_multiprobe, op2_ngram_jaccard, op3_tiff, op4_toxicity, op5_token_counts, op6_backoff, op7_quality, op8_packing, op9_bpe_transducer, op10_id_files, op11_branch_and_bound, op12_norm_buckets, op13_blob_ledger)}
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
