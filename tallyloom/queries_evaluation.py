@@ -9,7 +9,7 @@ from .operators import evaluation, inventory
 from .plans.bindings import KEYS, demand_panel, state
 from .queries_models import _PER_SQL, _SCORED_SQL, FOLD, MODEL, _scored
 from .queries_selection import _per
-from .queries_statistics import _NEAR_SQL, d5_d9_imputed_panel
+from .queries_statistics import _NEAR_SQL, d9_imputed_panel
 from .registry import query
 
 
@@ -181,7 +181,7 @@ s AS (SELECT count(i)::DOUBLE n_imputed, 100.0 * count(i) / count(*) pct_imputed
 SELECT metric, round(value, 5) AS value FROM (UNPIVOT s ON COLUMNS(*) INTO NAME metric VALUE value)""")
 def d10_imputation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eleven numbers on what imputation changed."""
-    both = d5_d9_imputed_panel(spark, sf_dir).withColumnRenamed("demand", "i").join(demand_panel(spark, sf_dir).select(*KEYS, "week_idx", F.col("demand").alias("o")), [*KEYS, "week_idx"])
+    both = d9_imputed_panel(spark, sf_dir).withColumnRenamed("demand", "i").join(demand_panel(spark, sf_dir).select(*KEYS, "week_idx", F.col("demand").alias("o")), [*KEYS, "week_idx"])
     some = F.col("imputed")
     o, i = F.when(some, F.col("o")), F.when(some, F.col("i"))
     half = F.lit(0.5)

@@ -244,13 +244,8 @@ def _neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return near.withColumn("rn", rank).where(F.col("rn") <= k)
 
 
-@query(_NEAR_SQL + " SELECT store, product, week_idx, cs, cw, round(dist, 6) dist, CAST(rn AS INTEGER) rn FROM kn WHERE rn <= 10")
-def d3_d4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbours(spark, sf_dir).select(*KEYS, "week_idx", "cs", "cw", F.round("dist", 6).alias("dist"), "rn")
-
-
 @query(_NEAR_SQL + ", im AS (SELECT store, product, week_idx, greatest(any_value(demand), quantile_cont(cd, 0.5)) filled FROM kn WHERE rn <= 10 GROUP BY ALL) SELECT p.store, p.product, p.week_idx, coalesce(filled, p.demand) demand, filled IS NOT NULL AS imputed FROM panel p LEFT JOIN im USING (store, product, week_idx)")
-def d5_d9_imputed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def d9_imputed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock-out weeks filled with their neighbours' median, what sold at least."""
     filled = _neighbours(spark, sf_dir).groupBy(*KEYS, "week_idx").agg(F.greatest(F.first("demand"), F.percentile("cd", F.lit(0.5))).alias("filled"))
     rows = demand_panel(spark, sf_dir).join(filled, [*KEYS, "week_idx"], "left")
