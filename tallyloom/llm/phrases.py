@@ -24,6 +24,7 @@ byte order; an empty table, or one without frequent phrases, gives an empty resu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -115,8 +116,8 @@ class Sums:
         self.clear()
 
 
-def bit_table(cells: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits of the hashes in ``cells`` (h): 2^bits of them, whatever the number of rows."""
+def bit_table(cells: DataFrame, bits: int) -> bytes:
+    """Packed bits of the hashes in ``cells`` (h), compressed: 2^bits of them, whatever the number of rows."""
     wide = 15
     own = cells.select(F.expr(f"h & {(1 << bits) - 1}").alias("c")).distinct().groupBy(F.expr(f"c >> {wide}").alias("block"))
 
@@ -133,7 +134,7 @@ def bit_table(cells: DataFrame, bits: int) -> np.ndarray:
     packed = own.agg(F.collect_list(F.expr(f"cast(c & {(1 << wide) - 1} as int)")).alias("offsets")).mapInArrow(pack, "block long, bits binary")
     for row in packed.collect():  # 4 KB a row, 2^(bits - 15) rows at most
         table[row.block << (wide - 3) : (row.block + 1) << (wide - 3)] = np.frombuffer(row.bits, np.uint8)
-    return table
+    return zlib.compress(table.tobytes(), 1)
 
 
 def look(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
@@ -162,7 +163,7 @@ def count(docs: DataFrame, lengths: range, tables: dict | None, bits: int, hold:
     sent = docs.sparkSession.sparkContext.broadcast(tables) if tables else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, sums, names = (sent.value if sent else None), Sums(hold), {}
+        own, sums, names = sent and {k: np.frombuffer(zlib.decompress(v), np.uint8) for k, v in sent.value.items()}, Sums(hold), {}
         for b in common.blocks(batches, "text", 4 << 20):
             data, edges = fold(b.column("text").cast(pa.binary()).to_pylist())
             gap = _GAP[data]
@@ -180,7 +181,7 @@ def count(docs: DataFrame, lengths: range, tables: dict | None, bits: int, hold:
                 near, known = old | new, old | new | look(own["far"], h, bits)
                 link = joined.copy()
                 link[:-1] &= known[:-1] & known[1:]
-                if own.get("pairs") is not None and len(h) > 1:
+                if "pairs" in own and len(h) > 1:
                     at = np.flatnonzero(link)
                     at = at[near[at] | near[at + 1]]
                     link[at] = look(own["pairs"], span_hashes(data, starts[at], ends[at + 1], sums_of, seeds[at]), bits)
