@@ -29,20 +29,21 @@ SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION
 
 _CASE = {c: f"[{c}{c.upper()}]" for c in "abcdefghijklmnopqrstuvwxyz"}
 _NAMES = "".join(_CASE.get(c, c) for c in "password|passwd|secret|token|api_?key")
-_KINDS = [("assign", f"({_NAMES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0),
-  ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0), ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1, 0), ("url", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", 1, 0)]
+#: The lengths asked for stand in the patterns of runs: a run too short holds no other match.
+_KINDS = [("assign", f"({_NAMES})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 12, 2), ("access", "AKIA[A-Z0-9]{14,}", 18, 0), ("hex", "[0-9a-f]{16,}", 16, 0),
+  ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0), ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1, 0), ("url", r"[a-z][a-z0-9+.-]{0,15}://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", 1, 0)]
 #: A match begins where the texts between matches and the matches before it end.
 _FOUND = " UNION ALL ".join(
-    f"""SELECT row, {i} AS at, '{kind}' AS kind, list_sum([length(x) FOR x IN gaps[1 : j]]) + coalesce(list_sum([length(x) FOR x IN whole[1 : j - 1]]), 0) AS start, length(whole[j]) AS size FROM (
-  SELECT row, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS part FROM docs), range(1, 1000000) AS t(j)
-  WHERE j <= len(whole) AND length(part[j]) >= {least}"""
+    f"""SELECT row, {i} AS nth, '{kind}' AS kind, list_sum([length(x) FOR x IN gaps[1 : j]]) + coalesce(list_sum([length(x) FOR x IN whole[1 : j - 1]]), 0) AS start, length(whole[j]) AS size FROM (
+  SELECT row, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS whole, regexp_extract_all(text, '{pattern}', {group}) AS part, unnest(range(1, len(whole) + 1)) AS j FROM docs)
+  WHERE length(part[j]) >= {least}"""
     for i, (kind, pattern, least, group) in enumerate(_KINDS)
 )
 OP13 = f"""
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
 found AS ({_FOUND}),
-marks AS (SELECT row, count(*) FILTER (at = 0) AS n_assign, count(*) FILTER (at = 1) AS n_access, count(*) FILTER (at = 2) AS n_hex,
-  coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, at) FILTER (at < 3), '') AS base, string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, at) AS spans FROM found GROUP BY row)
+marks AS (SELECT row, count(*) FILTER (nth = 0) AS n_assign, count(*) FILTER (nth = 1) AS n_access, count(*) FILTER (nth = 2) AS n_hex,
+  coalesce(string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, nth) FILTER (nth < 3), '') AS base, string_agg(kind || ':' || start || ':' || (start + size), ',' ORDER BY start, nth) AS spans FROM found GROUP BY row)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN marks USING (row)"""
 
 SQL = {"op11_branch_and_bound": OP11, "op12_norm_buckets": OP12, "op13_blob_ledger": OP13}

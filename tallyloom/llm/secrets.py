@@ -64,7 +64,7 @@ BASE = (
 MORE = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 1),
-    Rule("url", r"[a-z][a-z0-9+.-]*://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", 1),
+    Rule("url", r"[a-z][a-z0-9+.-]{0,15}://[^\x00-\x20/:@]+:[^\x00-\x20/:@]+@", 1),
 )
 RULES = BASE + MORE
 
