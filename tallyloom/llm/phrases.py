@@ -12,7 +12,7 @@ score lies above the bound of all phrases outside, so that none of them can even
 Counting is by levels: words, then pairs of frequent words, then phrases all whose counted pairs are frequent. What is
 frequent reaches the tasks as bit tables of a fixed size (2^``bits`` cells, 8 MB each at 26); a cell shared by two phrases
 only lets a phrase be counted in vain. A task adds up its phrases before they are shuffled, told apart by 64-bit hashes within at
-most ``hold`` of them (a chance of 1e-7 for two to fall together); shuffled counts are by the phrases' text. A phrase has a row
+most ``hold`` of them (a chance of 1e-8 for two to fall together); shuffled counts are by the phrases' text. A phrase has a row
 per task at most, so a frequent one lands in no task whole.
 
 Cases: null texts count as empty and give no words; a null lang is ``und``; rows that repeat are counted as often as they
@@ -78,7 +78,7 @@ def whole_hashes(phrases: list[str], langs: list[str]) -> np.ndarray:
 
 
 class Sums:
-    """Adds up phrases of a task, and gives them as Arrow batches with their texts."""
+    """Adds up phrases of a task: at most about ``hold`` of them, told apart by their hashes, with their texts."""
 
     def __init__(self, hold: int):
         self.hold = hold
@@ -88,31 +88,44 @@ class Sums:
         self.data, self.size, self.parts, self.rows = [], 0, [], 0
 
     def add(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, langs: np.ndarray) -> None:
-        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
-        self.parts.append((keys, counts, starts[at] + self.size, ends[at] - starts[at], langs[at]))
-        self.rows += len(keys)
         if not self.data or self.data[-1] is not data:
             self.data.append(data)
-
-    def end_block(self) -> None:
-        if self.data:
-            self.size = sum(map(len, self.data))
+        before = sum(map(len, self.data)) - len(data)
+        keys, at, counts = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append((keys, counts, starts[at] + before, ends[at] - starts[at], langs[at]))
+        self.rows += len(keys)
+        self.size = before + len(data)
+
+    def merge(self) -> None:
+        """Leaves one row of each phrase, and of the data only its text."""
+        keys, counts, starts, sizes, langs = (np.concatenate(c) for c in zip(*self.parts))
+        keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        counts, starts, sizes, langs, data = np.bincount(back, counts).astype(np.int64), starts[at], sizes[at], langs[at], np.concatenate(self.data)
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        texts = np.empty(places[-1], np.uint8)
+        for a in range(0, len(keys), 1 << 16):
+            part = slice(a, a + (1 << 16))
+            first, last = places[a], places[min(a + (1 << 16), len(keys))]
+            texts[first:last] = data[np.arange(first, last) - np.repeat(places[:-1][part] - starts[part], sizes[part])]
+        self.data, self.size, self.parts, self.rows = [texts], len(texts), [(keys, counts, places[:-1], sizes, langs)], len(keys)
 
     def full(self) -> bool:
-        return self.rows >= self.hold or self.size >= 1 << 26
+        """Whether they are still too many, or their texts too long, after merging."""
+        if self.rows < self.hold and self.size < 1 << 25:
+            return False
+        self.merge()
+        return self.rows > self.hold // 2 or self.size > 1 << 24
 
     def flush(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         if self.rows:
-            keys, counts, starts, sizes, langs = (np.concatenate(c) for c in zip(*self.parts))
-            keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
-            counts = np.bincount(back, counts).astype(np.int64)
-            data, names_ = np.concatenate(self.data), pa.array(names, pa.string())
-            for a in range(0, len(keys), 1 << 17):
-                own = at[a : a + (1 << 17)]
-                offsets = np.concatenate([[0], np.cumsum(sizes[own])])
-                index = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - starts[own], sizes[own])
-                text = pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[index])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([names_.take(pa.array(langs[own])), text, pa.array(counts[a : a + (1 << 17)])], ["lang", "phrase", "a"])
+            self.merge()
+            ((_, counts, starts, _, langs),), (texts,), names_ = self.parts, self.data, pa.array(names, pa.string())
+            offsets = np.append(starts, len(texts)).astype(np.int64)
+            for a in range(0, len(counts), 1 << 16):
+                n = min(1 << 16, len(counts) - a)
+                own = offsets[a : a + n + 1]
+                text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(own - own[0]), pa.py_buffer(texts[own[0] : own[-1]])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([names_.take(pa.array(langs[a : a + n])), text, pa.array(counts[a : a + n])], ["lang", "phrase", "a"])
         self.clear()
 
 
@@ -164,7 +177,7 @@ def count(docs: DataFrame, lengths: range, tables: dict | None, bits: int, hold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sums, names = sent and {k: np.frombuffer(zlib.decompress(v), np.uint8) for k, v in sent.value.items()}, Sums(hold), {}
-        for b in common.blocks(batches, "text", 4 << 20):
+        for b in common.blocks(batches, "text", 2 << 20):
             data, edges = fold(b.column("text").cast(pa.binary()).to_pylist())
             gap = _GAP[data]
             starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
@@ -195,7 +208,6 @@ def count(docs: DataFrame, lengths: range, tables: dict | None, bits: int, hold:
                     at = np.flatnonzero(ok)
                     if len(at):
                         sums.add(data, span_hashes(data, starts[at], ends[at + m - 1], sums_of, seeds[at]), starts[at], ends[at + m - 1], of[at])
-            sums.end_block()
             if sums.full():
                 yield from sums.flush(list(names))
         yield from sums.flush(list(names))
@@ -226,7 +238,7 @@ def scored(phrases: DataFrame, counts: DataFrame, limits: DataFrame, share: int
     return best.join(longer, ["lang", "phrase"], "left").where(f"within is null or 100 * within < {share} * a").drop("within")
 
 
-def mine(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, start: float = 1 / 1024, growth: int = 64, bits: int = 26, hold: int = 1 << 21) -> DataFrame:
+def mine(docs: DataFrame, top: int = 2000, least: int = 100, longest: int = 5, start: float = 1 / 1024, growth: int = 64, bits: int = 26, hold: int = 1 << 19) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``top`` phrases of each language in ``docs`` (lang, text)."""
     spark = docs.sparkSession
     common.ready(spark)
