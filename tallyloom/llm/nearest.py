@@ -7,6 +7,9 @@ success is a product of normal areas. Buckets are taken best first until their s
 ``success`` (the tables together miss with the product of their misses). Candidates of all tables are merged and reranked
 by exact distance.
 
+A query that has fewer than ``k`` candidates then, or whose k-th lies beyond r, lies farther from the rest than the sample: it is searched again in tables
+of a wider r, ``growth`` times as wide in each of ``rounds``. What is still unfilled after them is compared with all rows, a block of queries at a time.
+
 Only r (nine tenths of the sampled vectors have their nearest in the sample within it) and the width are fitted, on at most ``sample`` vectors (the first by a hash of vec_id); every vector
 is indexed. A bucket of more than ``block`` vectors is dealt to several parts, each of which gets the queries that visit the
 bucket, so equal vectors in any number land in no single task; no candidate is dropped.
@@ -14,7 +17,7 @@ bucket, so equal vectors in any number land in no single task; no candidate is d
 Cases: vectors that are null, zero, or hold null or non-finite parts, and vectors of a length other than the commonest, take
 no part, neither as queries nor as candidates; ties go to the smaller vec_id; rows with a null vec_id take no part; rows
 that repeat a vec_id are each a candidate and one result (the nearest); an empty table gives an empty result; a query with
-fewer than ``k`` candidates found gets those; extra columns are ignored.
+fewer than ``k`` other vectors gets those; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, spread
+from .common import ready, saved, spread
 
 RESULT = "query_id long, vec_id long, score double"
 _ERF = np.vectorize(math.erf, otypes=[float])
@@ -98,13 +101,9 @@ def fit(vectors: DataFrame, tables: int, functions: int, width: float, success:
     return Tables(x.shape[1], float(np.quantile(nearest, 0.9)) if len(nearest) else 1.0, tables, functions, width, success)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2, functions: int = 4, width: float = 0.8, success: float = 0.97, sample: int = 1024, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score: up to ``k`` nearest found in ``vectors`` for each of ``queries`` (vec_id, embedding)."""
-    ready(vectors.sparkSession)
-    rows, asked = valid(vectors), valid(queries)
-    hashing = fit(rows, tables, functions, width, success, sample)
-    if hashing is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+def _round(rows: DataFrame, asked: DataFrame, hashing: Tables, k: int, block: int) -> DataFrame:
+    """query_id, vec_id, score: candidates in the buckets that the queries visit, the best of each group of buckets."""
+    tables = len(hashing.directions)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +149,56 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2,
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}).drop_duplicates("vec_id").head(k))
         return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    found = data.groupBy("g").cogroup(visits.groupBy("g")).applyInPandas(rerank, RESULT)
+    return data.groupBy("g").cogroup(visits.groupBy("g")).applyInPandas(rerank, RESULT)
+
+
+def scan(rows: DataFrame, asked: list, k: int) -> DataFrame:
+    """query_id, vec_id, score: the nearest of every batch of ``rows`` to each of ``asked`` (vec_id, v), by comparing all."""
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([r.vec_id for r in asked]), np.array([r.v for r in asked])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, q = sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, ids = np.stack(b.column("v").to_numpy(zero_copy_only=False)), b.column("vec_id").to_numpy()
+            found = []
+            for i, v in zip(queries.tolist(), q):
+                at = np.flatnonzero(ids != i)
+                score = np.sqrt(((x[at] - v) ** 2).sum(1))
+                best = np.lexsort((ids[at], score))
+                best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]  # rows that repeat a vec_id: the nearest
+                found.append((np.full(len(best), i), ids[at][best], score[best]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(run, RESULT)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2, functions: int = 4, width: float = 0.8, success: float = 0.97, sample: int = 1024, block: int = 4096, rounds: int = 3, growth: float = 3.0) -> DataFrame:
+    """query_id, rank, vec_id, score: up to ``k`` nearest found in ``vectors`` for each of ``queries`` (vec_id, embedding)."""
+    spark = vectors.sparkSession
+    ready(spark)
+    rows, asked = valid(vectors), valid(queries)
+    hashing = fit(rows, tables, functions, width, success, sample)
+    if hashing is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found, left, reach = None, asked, hashing.distance
+    for step in range(rounds):
+        if step:
+            reach *= growth
+            hashing = Tables(hashing.directions.shape[2], reach, tables, functions, width, success, seed=7 + step)
+        more = _round(rows, left, hashing, k, block)
+        found = saved(more if found is None else found.unionByName(more), "near")
+        own = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("scores"))
+        full = own.where((F.size("scores") >= k) & (F.get("scores", F.lit(k - 1)) <= reach)).select(F.col("query_id").alias("vec_id"))
+        left = saved(left.join(full, "vec_id", "left_anti"), "left")
+        if left.isEmpty():
+            break
+    n = math.ceil(left.count() / block)
+    for part in range(n):  # at most about ``block`` queries at a time against all rows
+        some = left.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == part).collect()
+        if some:
+            found = found.unionByName(saved(scan(spread(rows), some, k), "scanned"))
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

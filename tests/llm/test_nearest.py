@@ -53,3 +53,30 @@ def test_odd_vectors_and_copies(spark):
     few = df.where("vec_id in (0, 51)")
     assert [r.vec_id for r in nearest.search(few, few.where("vec_id = 0")).collect()] == [51]
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_queries_far_from_the_rest_are_filled(spark):
+    """A dense cloud and a few vectors spread out far around it: all queries get their ten, the far ones by further rounds or by comparing all."""
+    r = np.random.default_rng(9)
+    x = np.concatenate([r.standard_normal((970, 16)) * 0.1, r.standard_normal((30, 16)) * 8]).astype(np.float32)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(*row, 0, 0.5) for row in rows], SCHEMA)
+    asked = {*range(0, 1000, 100), *range(970, 1000, 3)}
+    truth, got = brute(rows, asked, 10), {}
+    for row in nearest.search(df, df.where(f"vec_id in ({','.join(map(str, asked))})")).orderBy("query_id", "rank").collect():
+        got.setdefault(row.query_id, []).append(row.vec_id)
+    assert {q: len(v) for q, v in got.items()} == dict.fromkeys(asked, 10)
+    assert sum(len({i for _, i in truth[q]} & set(got[q])) for q in asked) >= 9 * len(asked)
+
+
+def test_a_scan_compares_all(spark):
+    r = np.random.default_rng(3)
+    rows = [(i % 150, [float(a) for a in v]) for i, v in enumerate(r.standard_normal((300, 4)))]  # each vec_id twice
+    df = nearest.valid(spark.createDataFrame([(*row, 0, 0.5) for row in rows], SCHEMA))
+    some = df.where("vec_id = 7").limit(1).collect()
+    got = [(x.vec_id, x.score) for x in nearest.scan(df.coalesce(1), some, 5).collect()]
+    dist = {}
+    for i, v in rows:
+        if i != 7:
+            dist[i] = min(dist.get(i, 9e9), float(np.sqrt(((np.array(v, np.float32).astype(float) - np.array(some[0].v)) ** 2).sum())))
+    assert [(i, round(s, 9)) for i, s in got] == [(i, round(d, 9)) for d, i in sorted((d, i) for i, d in dist.items())[:5]]
