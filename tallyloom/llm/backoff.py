@@ -105,6 +105,16 @@ def _ask(order: int, buckets: int, bits: int):
     return run
 
 
+def _totals(total: np.ndarray) -> bytes:
+    """Totals in four bytes each, or in eight where one needs them: the first byte says which."""
+    wide = bool(len(total) and total.max() >> 32)
+    return bytes([wide]) + _planes(total.astype("<i8" if wide else "<u4"))
+
+
+def _untotals(data: bytes) -> np.ndarray:
+    return _unplanes(data[1:], "<i8" if data[0] else "<u4").astype("<i8")
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The totals of a bucket's n-grams, for each block in the order it asked."""
 
@@ -115,10 +125,10 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(keys)
         new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))
         sums = np.add.reduceat(own[order].astype(np.int64), new)
-        total = np.empty(len(keys), "<u4")
-        total[order] = np.minimum(np.repeat(sums, np.diff(np.append(new, len(keys)))), 2**32 - 1)
+        total = np.empty(len(keys), "<i8")
+        total[order] = np.repeat(sums, np.diff(np.append(new, len(keys))))
         ends = np.cumsum([len(k) for k in parts]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([b for b, *_ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([_planes(total[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())], ["block", "bucket", "totals"])
+        return pa.RecordBatch.from_arrays([pa.array([b for b, *_ in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array([_totals(total[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())], ["block", "bucket", "totals"])
 
     now, held = None, []
     for batch in batches:
@@ -170,7 +180,7 @@ def score(docs: DataFrame, order: int = 3, block_bytes: int = 4 << 20, tokens_pe
 
     def total(texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         found = found.sort_values("bucket")
-        totals = np.concatenate([_unplanes(x, "<u4") for x in found.totals]) if len(found) else np.zeros(0, "<u4")
+        totals = np.concatenate([_untotals(x) for x in found.totals]) if len(found) else np.zeros(0, "<i8")
         s, n = sums(_texts(texts.lengths[0], texts.texts[0]), totals, corpus, order, bits)
         ids = pd.arrays.IntegerArray(np.frombuffer(texts.doc_ids[0], "<i8").copy(), np.frombuffer(texts.no_ids[0], bool).copy())
         return pd.DataFrame({"doc_id": ids, "n_tokens": n, "log_score": s, "mean_log_score": np.where(n > 0, s / np.maximum(1, n), np.nan)})
