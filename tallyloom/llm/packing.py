@@ -3,7 +3,9 @@
 Documents are encoded once, and terms' document frequencies, the number of documents and their mean length are taken over the
 whole corpus. Documents are dealt to shards by what they say: a tree over projections of their BM25 weights, fitted on a sample
 spread over the corpus, splits it along the direction in which texts differ most, at a wide gap, until a shard holds at most
-``shard_rows`` documents. Texts that it can't tell apart and that are too many for a shard (copies) are dealt by a hash.
+``shard_rows`` documents. Texts that it can't tell apart and that are too many for a shard (copies) are dealt by a hash. The sample and
+the tree are bounded: a tree has 4096 leaves at most, and where a leaf still holds several shards it gets such a tree of its own,
+grown and applied on Spark (two levels: 17 million shards, 34 billion documents; beyond them, leaves are dealt by a hash).
 
 Each shard has a BM25 inverted index of its documents' token ids, weighed by the corpus' statistics. A seed document (the next
 unused in order) asks it for its neighbours; the unused ones, best first, fill the seed's window as far as they fit whole,
@@ -22,6 +24,7 @@ ignored. Results don't depend on how the input was partitioned: dealing uses who
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -244,11 +247,16 @@ _SIGNS: list[np.ndarray] = []
 
 
 class Tree:
-    """Shards of vectors. Inner nodes have a direction and the least product of their right side; leaves have shards."""
+    """Shards of vectors. Inner nodes have a direction and the least product of their right side; leaves have shards.
 
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, rows: int, shard_rows: int, portion: int):
+    With ``most`` leaves already, what is left stays in one leaf of several shards, which a tree of its own can split further.
+    """
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray, rows: int, shard_rows: int, portion: int, most: int):
         self.nodes: list[tuple] = []
         self.shards = 0
+        total = max(rows / shard_rows, sizes.sum() * rows / max(1, len(vectors)) / portion)
+        least = max(1, total / most)  # shards in a leaf
         scale = rows / max(1, len(vectors))
 
         def grow(at: np.ndarray) -> int:
@@ -256,11 +264,11 @@ class Tree:
             self.nodes.append(())
             need = int(np.ceil(max(len(at) * scale / shard_rows, sizes[at].sum() * scale / portion)))
             x = vectors[at]
-            direction = np.rint(1000 * np.linalg.eigh(np.cov(x.T))[1][:, -1]).astype(np.int64) if need > 1 and len(at) > 1 else np.zeros(DIMS, np.int64)
+            direction = np.rint(1000 * np.linalg.eigh(np.cov(x.T))[1][:, -1]).astype(np.int64) if need > least and len(at) > 1 else np.zeros(DIMS, np.int64)
             product = np.sort(x @ direction)
             gaps = np.diff(product)
             middle = slice(int(len(gaps) * 0.3), max(int(len(gaps) * 0.7), int(len(gaps) * 0.3) + 1))
-            if need > 1 and gaps.any():
+            if need > least and gaps.any():
                 k = int(gaps[middle].argmax()) + middle.start if gaps[middle].any() else int(gaps.argmax())
                 right = x @ direction >= product[k + 1]
                 self.nodes[me] = (direction, int(product[k + 1]), grow(at[~right]), grow(at[right]))
@@ -271,6 +279,10 @@ class Tree:
 
         grow(np.arange(len(vectors)))
 
+    def wide(self) -> list[tuple[int, int]]:
+        """Leaves of several shards: the first, and how many."""
+        return [n for n in self.nodes if len(n) == 2 and n[1] > 1]
+
     def place(self, vectors: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         out, todo = np.zeros(len(vectors), np.int64), [(0, np.arange(len(vectors)))]
         while todo:
@@ -295,7 +307,7 @@ def _sample(window: int, stats: Stats):
     return run
 
 
-def deal(encoded: DataFrame, window: int, shard_rows: int, portion: int) -> tuple[DataFrame, int, Stats]:
+def deal(encoded: DataFrame, window: int, shard_rows: int, portion: int, sample: int = 1 << 16) -> tuple[DataFrame, int, Stats]:
     """``encoded`` (doc_id, ids) with its shard, the number of shards, and the corpus' statistics."""
     counts = encoded.mapInArrow(_count(window), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     n = dict(zip(counts.term.tolist(), counts.n.tolist()))
@@ -307,19 +319,79 @@ def deal(encoded: DataFrame, window: int, shard_rows: int, portion: int) -> tupl
     need = max(rows / shard_rows, ids / most)
     if need <= 1:
         return encoded.select(F.lit(0).cast("long").alias("shard"), "doc_id", "ids"), 1, stats
-    rate = min(1.0, max(4096, 16 * need) / rows)
-    some = encoded.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    sample = sorted((bytes(r.vector), r.size) for r in some.select("ids").mapInArrow(_sample(window, stats), "vector binary, size long").collect())
-    vectors = np.frombuffer(b"".join(v for v, _ in sample), "<i2").astype(np.int64).reshape(-1, DIMS)
-    tree = Tree(vectors, np.array([s for _, s in sample], np.int64), rows, shard_rows, most)
+    # The sample, and with it the tree, is bounded; leaves of several shards get trees of their own in a second level, on Spark.
+    rate = min(1.0, max(4096, min(sample, 16 * need)) / rows)
+    tree = _tree([(r.vector, r.size) for r in _chosen(encoded, F.lit(rate)).select("ids").mapInArrow(_sample(window, stats), "vector binary, size long").collect()], rows, shard_rows, most, sample)
+    dealt = encoded.mapInArrow(_route(window, stats, tree), DEALT)
+    if need > sample // 16 and tree.wide():
+        dealt = _second(saved(dealt, "dealt"), tree.wide(), window, stats, shard_rows, most, sample)
+    return dealt, tree.shards, stats
+
+
+def _chosen(rows: DataFrame, rate: F.Column) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("doc_id", "ids"), F.lit(1 << 30)) < (rate * (1 << 30)).cast("long"))
+
+
+def _second(dealt: DataFrame, cells: list[tuple[int, int]], window: int, stats: Stats, shard_rows: int, most: int, sample: int) -> DataFrame:
+    """``dealt`` with the shards of each cell (first shard, number of shards; at most ``sample`` / 16 of them) dealt by a tree of the cell's own
+    instead of a hash. A tree goes to the tasks that hold its cell as a row before the documents'."""
+    spark = dealt.sparkSession
+    names = spark.createDataFrame(cells, "cell long, parts long")
+    shards = names.select("cell", "parts", F.explode(F.sequence(F.col("cell"), F.col("cell") + F.col("parts") - 1)).alias("shard"))
+    placed = dealt.join(shards, "shard", "left")
+    sizes = placed.where("cell is not null").groupBy("cell").agg(F.count("*").alias("rows"))
+    rate = F.least(F.lit(1.0), F.greatest(F.lit(4096), F.least(F.lit(sample), 16 * F.col("parts"))) / F.col("rows"))
+    some = _chosen(placed.join(F.broadcast(sizes), "cell"), rate).select("cell", "rows", "ids")  # a row for each cell
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, "ids", 1 << 18):
+            docs = _ids(batch.column("ids"))
+            found = _vectors([_rest(d, window) for d in docs], stats).astype("<i2")
+            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("rows"), pa.array([v.tobytes() for v in found], pa.binary()), pa.array([len(d) for d in docs], pa.int64())], ["cell", "rows", "vector", "size"])
+
+    def grow(table: pa.Table) -> pa.Table:
+        own = _tree(list(zip(table["vector"].to_pylist(), table["size"].to_pylist())), table["rows"][0].as_py(), shard_rows, most, sample)
+        return pa.table({"cell": table["cell"][:1], "tree": [pickle.dumps(own)]})
+
+    trees = saved(some.mapInArrow(vectors, "cell long, rows long, vector binary, size long").groupBy("cell").applyInArrow(grow, "cell long, tree binary").join(names, "cell"), "trees")
+    salts = F.ceil(F.col("parts") / 64)  # shards that one task deals
+    heads = trees.select("cell", "parts", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "tree", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("ids"))
+    rows = placed.where("cell is not null").select("cell", "parts", F.pmod(F.xxhash64("doc_id", "ids"), salts).alias("salt"), F.lit(None).cast("binary").alias("tree"), "doc_id", "ids")
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree = None
+        for batch in blocks(batches, "ids", 1 << 18):
+            at = np.flatnonzero(np.asarray(batch.column("tree").is_valid())).tolist()
+            for a, b in zip([0, *at], [*at, batch.num_rows]):
+                if a in at:
+                    tree, a = pickle.loads(batch.column("tree")[a].as_py()), a + 1
+                for found in _route(window, stats, tree)(iter([batch.slice(a, b - a)])) if a < b else ():
+                    part = batch.slice(a, found.num_rows)
+                    shard = np.asarray(part.column("cell")) + np.asarray(found.column("shard")) % np.asarray(part.column("parts"))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard), found.column("doc_id"), found.column("ids")], ["shard", "doc_id", "ids"])
+                    a += found.num_rows
+
+    cells_rows = rows.unionByName(heads).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("tree").isNull())
+    return placed.where("cell is null").select("shard", "doc_id", "ids").unionByName(cells_rows.mapInArrow(route, DEALT))
+
+
+DEALT = "shard long, doc_id long, ids binary"
+
+
+def _tree(sample: list[tuple[bytes, int]], rows: int, shard_rows: int, most: int, limit: int) -> Tree:
+    ordered = sorted((bytes(v), n) for v, n in sample)
+    vectors = np.frombuffer(b"".join(v for v, _ in ordered), "<i2").astype(np.int64).reshape(-1, DIMS)
+    return Tree(vectors, np.array([n for _, n in ordered], np.int64), rows, shard_rows, most, max(1, limit // 16))
+
 
+def _route(window: int, stats: Stats, tree: Tree):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "ids", 1 << 18):
             vectors = _vectors([_rest(d, window) for d in _ids(batch.column("ids"))], stats)
             hashes = np.array([zlib.crc32(str(d).encode()) for d in batch.column("doc_id").to_pylist()], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(tree.place(vectors, hashes)), batch.column("doc_id"), batch.column("ids")], ["shard", "doc_id", "ids"])
 
-    return encoded.mapInArrow(route, "shard long, doc_id long, ids binary"), tree.shards, stats
+    return route
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_rows: int = 2048, portion: int = 6_000_000, terms: int | None = None, with_ids: bool = True) -> DataFrame:

@@ -45,3 +45,34 @@ def test_plan_places_every_id_once_and_fills_windows():
     placed = Counter((u, start + k) for r in rows for u, start, n in r for k in range(n))
     assert set(placed.values()) == {1} and len(placed) == sum(map(len, units))
     assert plan([], Index([]), 256) == []
+
+
+def test_two_levels_of_trees_deal_like_topics_together(spark, monkeypatch):
+    """With a small bound on the sample, leaves are split by trees of their own: all rows once, in the shards numbered, and topics together."""
+    from tallyloom.llm import packing
+
+    random = np.random.default_rng(4)
+    rows = []
+    for i in range(600):
+        topic = i % 30
+        ids = np.concatenate([random.integers(topic * 100, topic * 100 + 60, 50), random.integers(40_000, 40_030, 10)]).astype("<u4")
+        rows.append((i, ids.tobytes()))
+    rows += [(1000 + i, rows[0][1]) for i in range(40)]
+    encoded = spark.createDataFrame(rows, "doc_id long, ids binary").repartition(3)
+    calls, second = [], packing._second
+    monkeypatch.setattr(packing, "_second", lambda *a: calls.append(a[1]) or second(*a))
+
+    def together(sample):
+        dealt, shards, _ = packing.deal(encoded, 2048, 20, 10**9, sample)
+        got = [(r.shard, r.doc_id) for r in dealt.select("shard", "doc_id").collect()]
+        assert sorted(i for _, i in got) == sorted(i for i, _ in rows) and all(0 <= s < shards for s, _ in got)
+        topics = {}
+        for s, i in got:
+            if i < 600:
+                topics.setdefault(i % 30, Counter())[s] += 1
+        return sum(c.most_common(1)[0][1] for c in topics.values()) / 600
+
+    assert together(1 << 16) > 0.6 and not calls
+    assert together(64) > 0.6 and calls  # four leaves, then a tree in each
+    monkeypatch.setattr(packing, "_second", lambda dealt, *a: dealt)
+    assert together(64) < 0.6
