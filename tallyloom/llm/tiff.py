@@ -1,10 +1,11 @@
 """TIFF media columns: writing bytes as greyscale pages, and reading pages back.
 
 The reader walks the chain of image directories, finds strips or tiles, decodes them (none, PackBits, LZW, deflate), undoes
-the horizontal predictor and puts tiles together. ``pages`` emits one row per page. The writer stores 8-bit samples in
+the horizontal and the floating-point predictor and puts tiles and planes together, at 1, 8, 16 or 32 bits a sample. ``pages`` emits one row per page. The writer stores 8-bit samples in
 pages of ``PAGE_ROWS`` rows of 64, in strips, with any of those compressions; long payloads take several pages.
 
-Cases: null media gives no pages; media that isn't TIFF or is cut short gives one row with ``error`` set and no samples;
+Cases: null media gives no pages; media that isn't TIFF gives one row with ``error`` set and no samples, a
+page that is cut short or unknown such a row after the pages before it;
 null and empty texts are stored as 64 zero bytes; extra columns are ignored; repeated rows give equal rows; an empty table
 gives an empty result; loops among directories end at the first directory met again.
 """
@@ -25,9 +26,9 @@ from .common import blocks, ready
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 16_384, 1024
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 # Fixed values of the format: tag numbers, and bytes per value of each field type.
-TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "rows_per_strip": 278, "strip_counts": 279, "planar": 284, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_counts": 325}
+TAGS = {"width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "strip_offsets": 273, "samples": 277, "rows_per_strip": 278, "strip_counts": 279, "planar": 284, "format": 339, "predictor": 317, "tile_width": 322, "tile_height": 323, "tile_offsets": 324, "tile_counts": 325}
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
-PAGE = "page int, width int, height int, samples int, compression int, predictor int, data binary, error string"
+PAGE = "page int, width int, height int, samples int, bits int, compression int, predictor int, data binary, error string"
 
 
 def pack_bits(data: bytes) -> bytes:
@@ -199,11 +200,26 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, list[int]],
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _samples(raw: bytes, rows: int, width: int, samples: int, bits: int, predictor: int, order: str) -> np.ndarray:
+    """The samples of a strip or tile, as numbers, with the predictor undone."""
+    if bits == 1:
+        line = -(-width * samples // 8)
+        packed = np.frombuffer(raw, np.uint8)[: rows * line].reshape(rows, line)
+        return np.unpackbits(packed, axis=1)[:, : width * samples].reshape(rows, width, samples)
+    size = bits // 8
+    flat = np.frombuffer(raw, np.uint8)[: rows * width * samples * size]
+    if predictor == 3:  # bytes of like weight stand together, highest first, and hold differences to the byte ``samples`` before
+        shifts = np.cumsum(flat.reshape(rows, -1, samples), axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(shifts.reshape(rows, size, width * samples).transpose(0, 2, 1)).view(f">u{size}").reshape(rows, width, samples)
+    part = flat.view(f"{order}u{size}").reshape(rows, width, samples)
+    return np.cumsum(part, axis=1, dtype=f"u{size}") if predictor == 2 else part
+
+
 MOST_GROWTH = 4096  # bytes that one byte can stand for, at most, in the compressions read
 
 
 def read_tiff(data: bytes) -> Iterator[dict]:
-    """The pages: width, height, samples, compression, predictor and the samples' bytes."""
+    """The pages: width, height, samples, bits, compression, predictor and the samples' bytes (a byte each at 1 and 8 bits, else little-endian)."""
     order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
@@ -214,27 +230,28 @@ def read_tiff(data: bytes) -> Iterator[dict]:
         fields, at = _directory(data, at, order)
         one = lambda name, default=None: fields.get(TAGS[name], [default])[0]  # noqa: E731, B023
         width, height, samples, predictor, compression = one("width"), one("height"), one("samples", 1), one("predictor", 1), one("compression", 1)
-        if set(fields.get(TAGS["bits"], [1])) != {8} or one("planar", 1) != 1:
-            raise ValueError("only 8-bit samples of one plane are read")
+        bits, planes = one("bits", 1), samples if one("planar", 1) == 2 else 1
+        if set(fields.get(TAGS["bits"], [1])) != {bits} or bits not in (1, 8, 16, 32):
+            raise ValueError("samples are read at 1, 8, 16 or 32 bits, all alike")
         tiled = TAGS["tile_offsets"] in fields
         w, h = (one("tile_width"), one("tile_height")) if tiled else (width, min(one("rows_per_strip", height), height))
         kind = "tile" if tiled else "strip"
-        if min(width, height, samples, w, h) < 1 or predictor not in (1, 2):
+        if min(width, height, samples, w, h) < 1 or predictor not in (1, 2, 3) or predictor == 2 and bits == 1 or predictor == 3 and bits not in (16, 32):
             raise ValueError("a size of 0 or an unknown predictor")
-        if width * height * samples > MOST_GROWTH * len(data) or w * h * samples > MOST_GROWTH * len(data):
+        if max(width * height, w * h) * samples * bits > 8 * MOST_GROWTH * len(data):
             raise ValueError("more samples than the file can hold")
-        if min(len(fields[TAGS[f"{kind}_{x}"]]) for x in ("offsets", "counts")) < -(-width // w) * -(-height // h):
+        if min(len(fields[TAGS[f"{kind}_{x}"]]) for x in ("offsets", "counts")) < planes * -(-width // w) * -(-height // h):
             raise ValueError(f"a {kind} is missing")
-        image = np.zeros((height, width, samples), np.uint8)
-        across = -(-width // w)
+        image = np.zeros((height, width, samples), f"<u{max(1, bits // 8)}")
+        across, each, own = -(-width // w), -(-width // w) * -(-height // h), samples // planes
         for i, (start, n) in enumerate(zip(fields[TAGS[f"{kind}_offsets"]], fields[TAGS[f"{kind}_counts"]])):
-            y, x = i // across * h, i % across * w
+            if i == planes * each:
+                break
+            y, x, plane = i % each // across * h, i % each % across * w, i // each
             rows = h if tiled else min(h, height - y)
-            part = np.frombuffer(_expand(data[start : start + n], compression), np.uint8)[: rows * w * samples].reshape(rows, w, samples)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=np.uint8)
-            image[y : y + rows, x : x + w] = part[: height - y, : width - x]
-        yield {"width": width, "height": height, "samples": samples, "compression": compression, "predictor": predictor, "data": image.tobytes()}
+            part = _samples(_expand(data[start : start + n], compression), rows, w, own, bits, predictor, order)
+            image[y : y + rows, x : x + w, plane * own : (plane + 1) * own] = part[: height - y, : width - x]
+        yield {"width": width, "height": height, "samples": samples, "bits": bits, "compression": compression, "predictor": predictor, "data": image.tobytes()}
 
 
 def payload(text: bytes | None) -> bytes:
@@ -255,18 +272,22 @@ def encode_texts(docs: DataFrame, compression: int = DEFLATE, predictor: int = 2
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def _read(data: bytes | None) -> list[dict]:
+def _read(data: bytes | None) -> Iterator[dict]:
+    """The pages up to the first that fails, and a row with the error in its place."""
+    page = 0
     try:
-        return [{"page": i, "error": None} | p for i, p in enumerate(read_tiff(data))] if data is not None else []
+        for p in read_tiff(data) if data is not None else ():
+            yield {"page": page, "error": None} | p
+            page += 1
     except (ValueError, KeyError, TypeError, struct.error, zlib.error, IndexError, ArithmeticError, MemoryError) as e:
-        return [dict.fromkeys(("width", "height", "samples", "compression", "predictor", "data")) | {"page": 0, "error": str(e) or type(e).__name__}]
+        yield dict.fromkeys(("width", "height", "samples", "bits", "compression", "predictor", "data")) | {"page": page, "error": str(e) or type(e).__name__}
 
 
 def pages(media: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per page of each row of ``media`` (key, media)."""
     ready(media.sparkSession)
     names = [c.split()[0] for c in PAGE.split(", ")]
-    types = [pa.int32()] * 6 + [pa.binary(), pa.string()]
+    types = [pa.int32()] * 7 + [pa.binary(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, "media", 1 << 23):
