@@ -65,9 +65,24 @@ def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     return df.repartition(least or sc.defaultParallelism) if df.rdd.getNumPartitions() < 2 else df
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at ``path``; an empty one where nothing has been written. A table that can't be read is an error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def held_out() -> F.Column:
-    """crc32(doc_id as text) mod 5 = 0."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """crc32(doc_id as text) mod 5 = 0; false for a null doc_id, which has no remainder."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterator[pa.RecordBatch]:

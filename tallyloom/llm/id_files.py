@@ -31,8 +31,7 @@ from .encoding import encoder
 
 SMALL = 100_000  # shards whose places are broadcast: 2 MB
 SPAN = 4096  # buckets summed together
-NULL_ID = -(1 << 63)  # stands for a null doc_id in the index
-SHARD = "bucket int, shard int, dictionary_sha256 string, n_ids long, doc_ids binary, ends binary, counts binary, payload binary"
+SHARD = "bucket int, shard int, dictionary_sha256 string, n_ids long, doc_ids binary, no_ids binary, ends binary, counts binary, payload binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int = 1000, size: int = 65_536) -> bytes:
@@ -51,8 +50,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, sample: int =
 def _shards(tokenizer: str, dictionary: bytes, digest: str, end_id: int, most: int):
     def shard(number: int, rows: list[tuple[int | None, int, bytes]]) -> pa.RecordBatch:
         ids, counts, frames = zip(*rows)
-        ids = np.array([NULL_ID if i is None else i for i in ids], "<i8")
-        columns = [ids.tobytes(), np.cumsum([len(f) for f in frames]).astype("<i8").tobytes(), np.array(counts, "<i8").tobytes(), b"".join(frames)]
+        none = np.packbits([i is None for i in ids])
+        columns = [np.array([i or 0 for i in ids], "<i8").tobytes(), none.tobytes(), np.cumsum([len(f) for f in frames]).astype("<i8").tobytes(), np.array(counts, "<i8").tobytes(), b"".join(frames)]
         plain = [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([digest]), pa.array([sum(counts)], pa.int64())]
         return pa.RecordBatch.from_arrays([*plain, *(pa.array([c], pa.binary()) for c in columns)], [c.split()[0] for c in SHARD.split(", ")])
 
@@ -108,10 +107,11 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     raise ValueError("the shard was written with another dictionary")
                 ends, counts = np.frombuffer(row["ends"], "<i8"), np.frombuffer(row["counts"], "<i8")
                 starts, keys = row["start"] + np.cumsum(counts) - counts, np.frombuffer(row["doc_ids"], "<i8")
+                none = np.unpackbits(np.frombuffer(row["no_ids"], np.uint8), count=len(keys)).astype(bool)
                 for a in range(0, len(keys), 256):
                     part = slice(a, a + 256)
                     ids = [unpress.decompress(row["payload"][x:y]) for x, y in zip([ends[a - 1] if a else 0, *ends[part][:-1]], ends[part])]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=keys[part] == NULL_ID), pa.array(starts[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [None] * len(ids), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[part], mask=none[part]), pa.array(starts[part]), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [None] * len(ids), pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     if table.count() <= SMALL:  # a row for each shard of some MB; beyond that many, shards and places are both shuffled
         starts = F.broadcast(starts)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, mix, ready, saved, spread, word_hashes
+from .common import blocks, discard, mix, ready, saved, spread, unused, word_hashes
 from .graphs import components
 
 NUM, DEN = 75, 100  # links need DEN * intersection >= NUM * union
@@ -470,16 +470,17 @@ def join(docs: DataFrame, words: int = 5) -> DataFrame:
 def one_of_each(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs``, all columns, less all but one of each component: the one of the smallest doc_id stays.
 
-    Rows with no doc_id stay only if the whole component has none; rows without words all stay.
+    Columns of any other names are kept as they are. Rows with no doc_id stay only if the whole component has none; rows without words all stay.
     """
     placed, empty = _placed(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"))
     stay = placed.groupBy("root").agg(first.alias("s")).select("s.doc_id", "s.digest")
     stay = saved(stay.withColumn("once", F.lit(True)).unionByName(empty.select("doc_id", "digest").distinct().withColumn("once", F.lit(False))), "stay")
     own = F.xxhash64("text")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("once").alias("_once")).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("_id")) & (own == F.col("_digest")))
+    i, digest, single = (unused(docs, name) for name in ("_id", "_digest", "_once"))
+    kept = docs.join(stay.select(F.col("doc_id").alias(i), F.col("digest").alias(digest), F.col("once").alias(single)).hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col(i)) & (own == F.col(digest)))
     once = stay.where("once").select("doc_id", "digest").alias("s")
     twice = placed.groupBy("doc_id", "digest").count().where("count > 1").join(once, ["doc_id", "digest"], "left_semi")
     if not twice.isEmpty():  # rows that repeat doc_id and text: one of them
-        kept = kept.where("not _once").unionByName(kept.where("_once").dropDuplicates(["_id", "_digest"]))
-    return kept.drop("_id", "_digest", "_once")
+        kept = kept.where(~F.col(single)).unionByName(kept.where(F.col(single)).dropDuplicates([i, digest]))
+    return kept.drop(i, digest, single)

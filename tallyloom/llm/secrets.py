@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready, spread
+from .common import ready, spread, stored
 
 SPANS = "array<struct<start:int,end:int>>"
 LEDGER = f"blob string, findings map<string,{SPANS}>"
@@ -71,10 +71,7 @@ RULES = BASE + MORE
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     """The pairs scanned so far; empty where no ledger has been begun. A ledger that can't be read is an error."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(ledger)
+    return stored(spark, ledger, LEDGER)
 
 
 def blobs(rows: DataFrame, content: str = "text") -> DataFrame:

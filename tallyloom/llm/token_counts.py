@@ -18,12 +18,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, stored
 from .encoding import encoder
 
 CACHE = "digest string, n_bytes long, n_tokens long, tokenizer string"
@@ -35,11 +33,8 @@ def tokenizer_digest(path: str) -> str:
 
 
 def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The stored counts; empty before the first append."""
-    try:
-        return spark.read.schema(CACHE).parquet(cache)
-    except (AnalysisException, Py4JJavaError):
-        return spark.createDataFrame([], CACHE)
+    """The stored counts; empty before the first append. A cache that can't be read is an error."""
+    return stored(spark, cache, CACHE)
 
 
 def _counts(path: str):
