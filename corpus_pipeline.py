@@ -15,26 +15,29 @@ from tallyloom.llm import common, packing, parity_join, quality, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under 0.5."""
-    docs = common.spread(docs)
+    """Documents whose toxicity score is under 0.5. Null and empty texts are scored like any other (they stay), a null doc_id is never learned from,
+    rows that repeat fall or stay together, and columns of any other names are kept as they are."""
+    docs, name = common.spread(docs), common.unused(docs, "_score")
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").where(F.col("_score") < 0.5).drop("_score")
+    return toxicity.score(docs, model, name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is 0.3 or more."""
-    docs = common.spread(docs)
+    """Documents whose quality score is 0.3 or more. Null and empty texts get one score, a null doc_id is never learned from, rows that repeat
+    fall or stay together, and columns of any other names are kept as they are."""
+    docs, name = common.spread(docs), common.unused(docs, "_score")
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").where(F.col("_score") >= 0.3).drop("_score")
+    return quality.score(docs, model, name).where(F.col(name) >= 0.3).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the five-word shingle join at a similarity of 0.75."""
+    """One document of each component of the five-word shingle join at a similarity of 0.75: the one of the smallest doc_id (rows that repeat: one of them).
+    Documents without words all stay, those with a null doc_id only where the whole component has none."""
     return parity_join.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 ids."""
+    """Pieces of sequences of 2048 ids; null and empty texts are an end id alone, and an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
