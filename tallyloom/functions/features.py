@@ -72,12 +72,14 @@ def scale_factor(value: str) -> Column:
     return F.greatest(F.lit(1.0), 53 * F.coalesce(F.when(F.count(value).over(year) >= 45, F.avg(value).over(year)), F.avg(value).over(past), F.lit(0.0)))
 
 
-def weighted_recent(value: str, span: int, keep: int = 60) -> Column:
-    """Exponentially weighted mean with finite-sample weights over the last ``keep`` rows (older weights are negligible)."""
-    decay = 1 - 2 / (span + 1)
-    values = F.collect_list(F.coalesce(F.col(value), F.lit(0.0))).over(ordered().rowsBetween(-(keep - 1), 0))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    return F.aggregate(values, start, lambda a, x: F.struct((a.s * decay + x).alias("s"), (a.w * decay + 1).alias("w")), lambda a: a.s / a.w)
+def weighted_recent(value: str, span: int) -> Column:
+    """Exponentially weighted mean of all known values so far, with finite-sample weights that fall by the week, known or not.
+
+    Weights rise with the week number in place of falling with age, so running sums do; they hold for series of 1,700 weeks at a span of 5 and more above.
+    """
+    weight = F.exp(-math.log(1 - 2 / (span + 1)) * F.col("week_idx"))
+    so_far = ordered().rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(F.col(value) * weight).over(so_far) / F.sum(F.when(F.col(value).isNotNull(), weight)).over(so_far)
 
 
 def seasonal_strength(value: str, window: int = 13) -> Column:
@@ -100,5 +102,51 @@ def with_spikes(df: DataFrame, value: str, window: int = 13) -> DataFrame:
     return rows.withColumn("robust_z", (F.col(value) - F.col("_median")) / (1.4826 * middle(F.col("_gaps")) + F.lit(1e-6))).drop("_values", "_median", "_gaps")
 
 
+#: The numeric features of ``composite``.
+COMPOSITE = [
+    *(f"lag_{k}" for k in (0, 1, 2, 3, 51, 52, 53)), *(f"{n}_{w}" for n in ("rmean", "rmedian") for w in (3, 5, 13)), "ewm_5", "ewm_10", "rstd_13", "riqr_13", "delta_1", "delta_5", "slope_4w", "week_of_year",
+    *(f"fourier_{n}_{k}" for k in (1, 2, 3) for n in ("sin", "cos")), "last_year_window_avg", "seasonality_strength", "robust_zscore", "time_since_spike", "rolling_nonzero_rate_12",
+]
+
+
+def composite(panel: DataFrame, accuracy: int = 100_000) -> DataFrame:
+    """The panel with scale_factor, y_scaled (in-stock sales in thousandths of a year's), the features COMPOSITE on it, sample_weight and the
+    targets y_h1 to y_h3. Features without a value take the series' median of theirs, else the median of all rows (within ``accuracy``), else 0."""
+    by, recent = ordered(), lambda w: ordered().rowsBetween(-(w - 1), 0)
+    rows = panel.withColumn("y_eff", effective())
+    rows = rows.withColumn("scale_factor", scale_factor("y_eff")).withColumn("y_scaled", F.col("y_eff") / F.col("scale_factor") * 1000)
+    v, week = F.col("y_scaled"), F.weekofyear("week")
+    c = {f"lag_{k}": v if not k else F.lag("y_scaled", k).over(by) for k in (0, 1, 2, 3, 51, 52, 53)}
+    c |= {f"rmean_{w}": F.avg("y_scaled").over(recent(w)) for w in (3, 5, 13)} | {f"ewm_{s}": weighted_recent("y_scaled", s) for s in (5, 10)}
+    c |= {"rstd_13": F.stddev_samp("y_scaled").over(recent(13)), "delta_1": v - F.lag("y_scaled", 1).over(by), "delta_5": v - F.lag("y_scaled", 5).over(by), "week_of_year": week.cast("double")}
+    c |= {f"fourier_{n}_{k}": f(week * (2 * math.pi * k / 52)) for k in (1, 2, 3) for n, f in (("sin", F.sin), ("cos", F.cos))}
+    c |= {"last_year_window_avg": F.when(F.row_number().over(by) > 55, F.avg("y_scaled").over(by.rowsBetween(-55, -49))), "rolling_nonzero_rate_12": F.avg(F.coalesce((v > 0).cast("double"), F.lit(0.0))).over(recent(12))}
+    c |= {"_year_ago": F.lag("y_scaled", 52).over(by), "_values": F.collect_list(F.struct("y_scaled")).over(recent(13))}
+    c |= {"_age": F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("week_idx"))), "_rows": F.count("*").over(recent(4)), "_known": F.count("y_scaled").over(recent(4))} | {f"y_h{h}": F.lead("y_scaled", h).over(by) for h in (1, 2, 3)}
+    rows = rows.withColumns(c)
+    known = lambda w: F.array_sort(F.filter(F.transform(F.slice("_values", F.greatest(F.size("_values") - w + 1, F.lit(1)), F.lit(w)), lambda s: s["y_scaled"]), lambda x: x.isNotNull()))
+    rows = rows.withColumns({f"_known_{w}": known(w) for w in (3, 5, 13)})
+
+    def at(values: Column, p: float) -> Column:
+        place = (F.size(values) - 1) * p
+        low = F.floor(place).cast("int")
+        a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+        return F.when(F.size(values) > 0, a + (b - a) * (place - low))
+
+    slope = F.when((F.col("_rows") == 4), (1.5 * v + 0.5 * F.col("lag_1") - 0.5 * F.col("lag_2") - 1.5 * F.col("lag_3")) / 5).when(F.col("_rows") == 3, (v - F.col("lag_2")) / 2).when(F.col("_rows") == 2, v - F.col("lag_1"))
+    c = {f"rmedian_{w}": at(F.col(f"_known_{w}"), 0.5) for w in (3, 5, 13)} | {"slope_4w": F.when(F.col("_known") == F.col("_rows"), slope), "seasonality_strength": seasonal_strength("y_scaled")}
+    c |= {"riqr_13": F.when(F.size("_known_13") > 1, at(F.col("_known_13"), 0.75) - at(F.col("_known_13"), 0.25)), "_gaps": F.array_sort(F.transform("_known_13", lambda x: F.abs(x - at(F.col("_known_13"), 0.5))))}
+    rows = rows.withColumns(c)
+    whole = (F.size("_known_13") == F.size("_values")) & (F.size("_values") > 1)
+    rows = rows.withColumn("robust_zscore", F.when(whole, F.try_divide(v - F.col("rmedian_13"), 1.4826 * at(F.col("_gaps"), 0.5))))
+    since = F.col("week_idx") - F.last(F.when(F.abs("robust_zscore") > 3, F.col("week_idx")), True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"time_since_spike": since.cast("double"), "sample_weight": F.when(F.col("_age") <= 53, 1.0).when(F.col("_age") <= 106, 0.5).otherwise(0.25)})
+    rows = rows.select(*panel.columns, "scale_factor", "y_scaled", *COMPOSITE, "sample_weight", "y_h1", "y_h2", "y_h3")
+    own = rows.groupBy(*KEYS).agg(*(F.percentile(c, F.lit(0.5)).alias(f"own_{c}") for c in COMPOSITE))
+    every = rows.agg(*(F.percentile_approx(c, 0.5, accuracy).alias(f"all_{c}") for c in COMPOSITE))
+    rows = rows.join(own, KEYS).crossJoin(F.broadcast(every))  # one row
+    return rows.select(*panel.columns, "scale_factor", "y_scaled", *(F.coalesce(c, f"own_{c}", f"all_{c}", F.lit(0.0)).alias(c) for c in COMPOSITE), "sample_weight", "y_h1", "y_h2", "y_h3")
+
+
 def with_columns(df: DataFrame, columns: dict[str, Column], digits: int | None = None) -> DataFrame:
     return df.select("*", *((F.round(c, digits) if digits is not None else c).alias(n) for n, c in columns.items()))

@@ -16,12 +16,12 @@ def at_level(level: float, tau: str = "tau", value: str = "value") -> Column:
 
 
 def per_forecast(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Per forecast: mean pinball, coverage and width of the 80 and 90 per cent intervals, CRPS by trapezoids, error of the median."""
+    """Per forecast: the outcome, mean pinball, coverage and width of the 80 and 90 per cent intervals, CRPS by trapezoids, error of the median."""
     over = Window.partitionBy(*keys).orderBy("tau")
     loss = pinball(F.col("tau"), F.col("value"), F.col("y"))
     rows = rows.select("*", loss.alias("loss"), F.lead("tau").over(over).alias("tau2"), F.lead(loss).over(over).alias("loss2"))
     low, high = {80: 0.1, 90: 0.05}, {80: 0.9, 90: 0.95}
-    out = [F.avg("loss").alias("pinball"), F.sum((F.col("loss") + F.col("loss2")) * (F.col("tau2") - F.col("tau"))).alias("crps"), (F.first("y") - at_level(0.5)).alias("error")]
+    out = [F.avg("loss").alias("pinball"), F.sum((F.col("loss") + F.col("loss2")) * (F.col("tau2") - F.col("tau"))).alias("crps"), (F.first("y") - at_level(0.5)).alias("error"), F.first("y").alias("y")]
     for p in (80, 90):
         out.append((at_level(high[p]) - at_level(low[p])).alias(f"width_{p}"))
         out.append(F.first("y").between(at_level(low[p]), at_level(high[p])).cast("int").alias(f"covered_{p}"))

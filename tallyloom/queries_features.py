@@ -112,11 +112,10 @@ def b11_b12_rolling_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.with_columns(demand_panel(spark, sf_dir), c, 6).select(*KEYS, "week_idx", *c)
 
 
-@query(f""", k AS (SELECT unnest(range(60)) AS k), r AS (SELECT *, row_number() OVER ({BY}) rn FROM panel)
-SELECT a.store, a.product, a.week_idx, round(sum(b.demand * power(2.0 / 3.0, a.rn - b.rn)) / sum(power(2.0 / 3.0, a.rn - b.rn)), 5) ewm_5
-FROM r a JOIN r b ON a.store = b.store AND a.product = b.product AND b.rn BETWEEN a.rn - 59 AND a.rn GROUP BY ALL""")
+@query(f""" SELECT store, product, week_idx, {', '.join(f"round(sum(demand * power({n + 1}.0 / {n - 1}.0, week_idx)) OVER w / sum(power({n + 1}.0 / {n - 1}.0, week_idx)) OVER w, 5) ewm_{n}" for n in (5, 10))} FROM panel WINDOW w AS ({BY} ROWS UNBOUNDED PRECEDING)""")
 def b11_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand_panel(spark, sf_dir).select(*KEYS, "week_idx", F.round(X.weighted_recent("demand", 5), 5).alias("ewm_5"))
+    """Exponentially weighted means of the whole history, at spans of 5 and 10 weeks."""
+    return demand_panel(spark, sf_dir).select(*KEYS, "week_idx", *(F.round(X.weighted_recent("demand", n), 5).alias(f"ewm_{n}") for n in (5, 10)))
 
 
 @query(f""", l AS (SELECT *, lag(demand, 52) OVER ({BY}) ago FROM panel), s AS (SELECT *, avg(demand) OVER ({BY} ROWS BETWEEN 55 PRECEDING AND 49 PRECEDING) last_year,
@@ -205,12 +204,12 @@ def b26_cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(""", r AS (SELECT *, row_number() OVER (PARTITION BY store, product ORDER BY week_idx DESC) rn FROM panel WHERE in_stock)
-SELECT store, product, max(demand) = 0 AND count(*) = 3 AS dormant FROM r WHERE rn <= 3 GROUP BY ALL""")
+SELECT store, product, max(demand) = 0 AND count(*) = 10 AS dormant FROM r WHERE rn <= 10 GROUP BY ALL""")
 def b27_dormant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series whose last in-stock weeks sold nothing (3 of them here; 10 in production use)."""
+    """Series whose last ten in-stock weeks sold nothing."""
     age = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("week_idx")))
-    rows = demand_panel(spark, sf_dir).where("in_stock").withColumn("rn", age).where("rn <= 3")
-    return rows.groupBy(*KEYS).agg(((F.max("demand") == 0) & (F.count("*") == 3)).alias("dormant"))
+    rows = demand_panel(spark, sf_dir).where("in_stock").withColumn("rn", age).where("rn <= 10")
+    return rows.groupBy(*KEYS).agg(((F.max("demand") == 0) & (F.count("*") == 10)).alias("dormant"))
 
 
 @query(""", d AS (SELECT store, product, stddev_samp(demand) sd FROM panel WHERE in_stock GROUP BY ALL)

@@ -160,9 +160,9 @@ def h13_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(F.col("g") == 1, -1).otherwise(F.col("week_idx")).alias("week_idx"), "revenue", "profit", "lost")
 
 
-@query(_LEDGER_SQL + " SELECT round(sum(holding_cost), 4) holding, round(sum(shortage_cost), 4) shortage, round(sum(sold) / sum(demand), 6) fill_rate, count(DISTINCT CASE WHEN shortage > 0 THEN store * 1000 + product END) stockout_series FROM ledger")
+@query(_LEDGER_SQL + " SELECT round(sum(holding_cost), 4) holding, round(sum(shortage_cost), 4) shortage, round(sum(sold) / sum(demand), 6) fill_rate, count(DISTINCT CASE WHEN shortage > 0 THEN {'store': store, 'product': product} END) stockout_series FROM ledger")
 def h14_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stockout = F.count_distinct(F.when(F.col("shortage") > 0, F.col("store") * 1000 + F.col("product")))
+    stockout = F.count_distinct(F.when(F.col("shortage") > 0, F.struct(*KEYS)))
     return _ledger(spark, sf_dir).agg(F.round(F.sum("holding_cost"), 4).alias("holding"), F.round(F.sum("shortage_cost"), 4).alias("shortage"), F.round(F.sum("sold") / F.sum("demand"), 6).alias("fill_rate"), stockout.alias("stockout_series"))
 
 
@@ -245,34 +245,35 @@ MODEL = ["model", *FOLD, "step"]
 
 @query(_PER_SQL + " SELECT model, store, product, fold_idx, step, round(pinball, 6) pinball, round(crps, 6) crps, round(error, 6) error, round(width_80, 6) width_80, covered_80, round(width_90, 6) width_90, covered_90 FROM per")
 def i1_i2_i3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scoring.per_forecast(_scored(spark, sf_dir), MODEL)
+    rows = scoring.per_forecast(_scored(spark, sf_dir), MODEL).drop("y")
     return rows.select(*MODEL, *(F.round(c, 6).alias(c) if not c.startswith("covered") else c for c in rows.columns if c not in MODEL))
 
 
 @query(_PER_SQL + " SELECT model, round(avg(abs(error)), 6) mae, round(sqrt(avg(error * error)), 6) rmse, round(avg(abs(error) / (y + 1)), 6) mape, round(-avg(error), 6) bias, round(avg(pinball), 6) pinball, round(avg(crps), 6) crps, round(avg(covered_80), 6) coverage_80, round(avg(error) ** 2, 6) bias_sq, round(var_pop(error), 6) variance FROM per GROUP BY ALL")
 def i4_i17_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per model: point errors, mean losses, coverage, and the error's split into squared bias and variance."""
-    rows = _scored(spark, sf_dir)
-    per = scoring.per_forecast(rows, MODEL).join(rows.select(*MODEL, "y").distinct(), MODEL)
+    per = scoring.per_forecast(_scored(spark, sf_dir), MODEL)
     e = F.col("error")
     c = {"mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "mape": F.avg(F.abs(e) / (F.col("y") + 1)), "bias": -F.avg(e), "pinball": F.avg("pinball"), "crps": F.avg("crps"), "coverage_80": F.avg("covered_80"), "bias_sq": F.avg(e) ** 2, "variance": F.var_pop("error")}
     return per.groupBy("model").agg(*(F.round(v, 6).alias(n) for n, v in c.items()))
 
 
-@query(_PER_SQL + ", nv AS (SELECT store, product, avg(abs(demand - l)) scale FROM (SELECT *, lag(demand, 52) OVER (PARTITION BY store, product ORDER BY week_idx) l FROM panel) GROUP BY ALL) SELECT model, store, product, round(avg(abs(error)) / any_value(scale), 6) mase FROM per JOIN nv USING (store, product) GROUP BY ALL")
+@query(_PER_SQL + ", nv AS (SELECT store, product, fold_idx, avg(abs(demand - l)) scale FROM (SELECT *, lag(demand, 52) OVER (PARTITION BY store, product, fold_idx ORDER BY week_idx) l FROM train) GROUP BY ALL) SELECT model, store, product, fold_idx, round(avg(abs(error)) / nullif(any_value(scale), 0), 6) mase FROM per LEFT JOIN nv USING (store, product, fold_idx) GROUP BY ALL")
 def i5_mase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = demand_panel(spark, sf_dir).withColumn("l", F.lag("demand", 52).over(Window.partitionBy(*KEYS).orderBy("week_idx")))
-    scale = rows.groupBy(*KEYS).agg(F.avg(F.abs(F.col("demand") - F.col("l"))).alias("scale"))
-    per = scoring.per_forecast(_scored(spark, sf_dir), MODEL).groupBy("model", *KEYS).agg(F.avg(F.abs("error")).alias("mae"))
-    return per.join(scale, KEYS).select("model", *KEYS, F.round(F.col("mae") / F.col("scale"), 6).alias("mase"))
+    """Mean absolute error per fold over that of the value a year before in the fold's training weeks alone; null without such weeks or where that is 0."""
+    train = _train_test(spark, sf_dir)[0]
+    rows = train.withColumn("l", F.lag("demand", 52).over(Window.partitionBy(*FOLD).orderBy("week_idx")))
+    scale = rows.groupBy(*FOLD).agg(F.avg(F.abs(F.col("demand") - F.col("l"))).alias("scale"))
+    per = scoring.per_forecast(_scored(spark, sf_dir), MODEL).groupBy("model", *FOLD).agg(F.avg(F.abs("error")).alias("mae"))
+    return per.join(scale, FOLD, "left").select("model", *FOLD, F.round(F.try_divide(F.col("mae"), F.col("scale")), 6).alias("mase"))
 
 
-@query(_SCORED_SQL + ", wl AS (SELECT *, greatest(tau * (y - value), (tau - 1) * (y - value)) loss, exp(-0.5 * ((tau - 0.833) / 0.05) ** 2) w FROM sc WHERE tau BETWEEN 0.6 AND 0.96) SELECT model, round(sum(w * loss) / sum(w), 6) weighted_pinball FROM wl GROUP BY ALL")
+@query(_SCORED_SQL + ", wl AS (SELECT *, greatest(tau * (y - value), (tau - 1) * (y - value)) loss, exp(-0.5 * ((tau - 0.8333) / 0.05) ** 2) w FROM sc WHERE tau BETWEEN 0.73 AND 0.93) SELECT model, round(sum(w * loss) / sum(w), 6) weighted_pinball FROM wl GROUP BY ALL")
 def i8_weighted_pinball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pinball weighted by a normal curve around the critical fractile."""
-    w = F.exp(-0.5 * ((F.col("tau") - 0.833) / 0.05) ** 2)
+    """Pinball weighted by a normal curve around the critical fractile, at the levels from 0.73 to 0.93."""
+    w = F.exp(-0.5 * ((F.col("tau") - 0.8333) / 0.05) ** 2)
     loss = scoring.pinball(F.col("tau"), F.col("value"), F.col("y"))
-    return _scored(spark, sf_dir).where("tau between 0.6 and 0.96").groupBy("model").agg(F.round(F.sum(w * loss) / F.sum(w), 6).alias("weighted_pinball"))
+    return _scored(spark, sf_dir).where("tau between 0.73 and 0.93").groupBy("model").agg(F.round(F.sum(w * loss) / F.sum(w), 6).alias("weighted_pinball"))
 
 
 @query(_PMF_SQL + ", y AS (SELECT store, product, demand y FROM panel WHERE week_idx = 300) SELECT pmf.store, pmf.product, round(sum(p * abs(x - y)), 6) w1 FROM pmf JOIN y USING (store, product) GROUP BY ALL")
@@ -298,8 +299,7 @@ def i13_stockout_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT model, coalesce(step, -1) AS step, tp, fp, fn, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) f1 FROM cf""")
 def i14_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Under-forecasts against high demand: counts and F1 by step and overall (step -1)."""
-    rows = _scored(spark, sf_dir)
-    per = scoring.per_forecast(rows, MODEL).join(rows.select(*MODEL, "y").distinct(), MODEL)
+    per = scoring.per_forecast(_scored(spark, sf_dir), MODEL)
     under, high = F.col("error") > 0, F.col("y") > 25
     counts = [F.count_if(under & high).alias("tp"), F.count_if(under & ~high).alias("fp"), F.count_if(~under & high).alias("fn")]
     sets = per.groupBy("model", "step").agg(*counts).unionByName(per.groupBy("model").agg(*counts).withColumn("step", F.lit(-1)))

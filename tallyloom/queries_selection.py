@@ -13,8 +13,7 @@ from .registry import query
 
 
 def _per(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir)
-    return scoring.per_forecast(rows, MODEL).join(rows.select(*MODEL, "y").distinct(), MODEL)
+    return scoring.per_forecast(_scored(spark, sf_dir), MODEL)
 
 
 _REPLAY_SQL = """, tg AS (SELECT store, product, z, avg(demand) * 3 + z * stddev_samp(demand) * sqrt(3.0) AS target FROM panel, (SELECT unnest([0.5, 1.0, 1.5]::DOUBLE[]) z) WHERE week_idx < 300 GROUP BY store, product, z),
