@@ -158,18 +158,6 @@ def b19_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scaled(spark, sf_dir).select(*KEYS, "week_idx", *(F.round(F.lead("v", h).over(X.ordered()), 6).alias(f"y_h{h}") for h in (1, 2, 3)))
 
 
-@query(""", r AS (SELECT *, row_number() OVER (PARTITION BY store, product ORDER BY week_idx DESC) rn FROM panel)
-SELECT store, product, round(avg(demand), 6) mean, round(stddev_pop(demand), 6) sd, round(stddev_pop(demand) / (avg(demand) + 1e-6), 6) cv, round(avg(CASE WHEN demand = 0 THEN 1.0 ELSE 0.0 END), 6) zero_rate,
- round(regr_slope(demand, CAST(week_idx AS DOUBLE)), 6) slope, round(12.0 / nullif(count_if(demand > 0), 0), 6) adi_ratio, CASE WHEN 12.0 / nullif(count_if(demand > 0), 0) > 1.32 THEN 1 ELSE 0 END intermittent FROM r WHERE rn <= 12 GROUP BY ALL""")
-def b20_router_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    age = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("week_idx")))
-    adi = F.try_divide(F.lit(12.0), F.count_if(F.col("demand") > 0))
-    rows = demand_panel(spark, sf_dir).withColumn("rn", age).where("rn <= 12")
-    mean, sd = F.avg("demand"), F.stddev_pop("demand")
-    c = {"mean": mean, "sd": sd, "cv": sd / (mean + 1e-6), "zero_rate": F.avg((F.col("demand") == 0).cast("double")), "slope": F.regr_slope(F.col("demand"), F.col("week_idx").cast("double")), "adi_ratio": adi}
-    return rows.groupBy(*KEYS).agg(*(F.round(v, 6).alias(n) for n, v in c.items()), F.when(adi > 1.32, 1).otherwise(0).alias("intermittent"))
-
-
 @query(f"""SELECT store, product, week_idx, round(avg(demand) OVER w4, 6) mean_4, round(stddev_samp(demand) OVER w4, 6) std_4, round(avg(demand) OVER (PARTITION BY store, product, weekofyear(week)), 6) same_week_mean,
  round(avg(CASE WHEN demand = 0 THEN 1.0 ELSE 0.0 END) OVER w4, 6) zero_share_4 FROM panel WINDOW w4 AS ({BY} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)""")
 def b21_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
