@@ -18,7 +18,7 @@ BY = "PARTITION BY store, product ORDER BY week_idx"
 @query(f""", x AS (SELECT *, lag(demand) OVER ({BY}) l1, avg(demand) OVER ({BY} ROWS BETWEEN 13 PRECEDING AND 1 PRECEDING) m13 FROM panel), t AS (SELECT store, product, week_idx, l1, m13 FROM x WHERE week_idx = 350), h AS (SELECT store, product, week_idx w, demand, l1, m13 FROM x WHERE week_idx BETWEEN 53 AND 349),
 n AS (SELECT t.store, t.product, h.demand, row_number() OVER (PARTITION BY t.store, t.product ORDER BY round(power(t.l1 - h.l1, 2) + power(t.m13 - h.m13, 2), 6), w) rn FROM t JOIN h ON t.store = h.store AND t.product = h.product)
 SELECT store, product, tau, round(quantile_cont(demand, 0.1), 6) AS value FROM n, (SELECT 0.1::DOUBLE tau) WHERE rn <= 50 GROUP BY ALL UNION ALL SELECT store, product, tau, round(quantile_cont(demand, 0.9), 6) FROM n, (SELECT 0.9::DOUBLE tau) WHERE rn <= 50 GROUP BY ALL""")
-def f5_f6_neighbour_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+def f6_neighbour_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles of the demand that followed the fifty weeks of the same series whose features are nearest."""
     rows = demand_panel(spark, sf_dir).select(*KEYS, "week_idx", "demand", F.lag("demand").over(X.ordered()).alias("l1"), F.avg("demand").over(X.ordered().rowsBetween(-13, -1)).alias("m13"))
     now = rows.where("week_idx = 350").select(*KEYS, F.col("l1").alias("t1"), F.col("m13").alias("t13"))
