@@ -73,20 +73,20 @@ def k10_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.cusum(demand_panel(spark, sf_dir), KEYS, "week_idx", "demand").withColumn("stat", F.round("stat", 6))
 
 
-@query(""", d AS (SELECT store, product, demand - avg(demand) OVER w d, stddev_pop(demand) OVER w sd FROM panel WINDOW w AS (PARTITION BY store, product)) SELECT store, product, round(count(*) / 6.0 * (power(avg(power(d / sd, 3)), 2) + power(avg(power(d / sd, 4)) - 3, 2) / 4), 4) jarque_bera,
+@query(""", d AS (SELECT store, product, demand - avg(demand) OVER w d, stddev_pop(demand) OVER w sd FROM panel WINDOW w AS (PARTITION BY store, product)) SELECT store, product, round(avg(power(d / sd, 3)), 5) skew, round(avg(power(d / sd, 4)) - 3, 5) kurtosis, round(count(*) / 6.0 * (power(avg(power(d / sd, 3)), 2) + power(avg(power(d / sd, 4)) - 3, 2) / 4), 4) jarque_bera,
  round(avg(CASE WHEN abs(d) > 2 * sd THEN 1.0 ELSE 0.0 END), 6) beyond_2, round(avg(CASE WHEN abs(d) > 3 * sd THEN 1.0 ELSE 0.0 END), 6) beyond_3 FROM d GROUP BY ALL""")
 def k12_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = Window.partitionBy(*KEYS)
     rows = demand_panel(spark, sf_dir).select(*KEYS, ((F.col("demand") - F.avg("demand").over(own)) / F.stddev_pop("demand").over(own)).alias("z"))
     jb = F.count("*") / 6.0 * (F.avg(F.pow("z", F.lit(3))) ** 2 + (F.avg(F.pow("z", F.lit(4))) - 3) ** 2 / 4)
-    return rows.groupBy(*KEYS).agg(F.round(jb, 4).alias("jarque_bera"), *(F.round(F.avg((F.abs("z") > k).cast("double")), 6).alias(f"beyond_{k}") for k in (2, 3)))
+    return rows.groupBy(*KEYS).agg(F.round(F.avg(F.pow("z", F.lit(3))), 5).alias("skew"), F.round(F.avg(F.pow("z", F.lit(4))) - 3, 5).alias("kurtosis"), F.round(jb, 4).alias("jarque_bera"), *(F.round(F.avg((F.abs("z") > k).cast("double")), 6).alias(f"beyond_{k}") for k in (2, 3)))
 
 
-@query(""", d AS (SELECT store, product, week_idx, demand - avg(demand) OVER (PARTITION BY store, product) d FROM panel), p AS (SELECT store, product, period, power(sum(d * cos(week_idx * 2 * pi() / period)), 2) + power(sum(d * sin(week_idx * 2 * pi() / period)), 2) pw FROM d, (SELECT unnest(range(2, 54)) period) GROUP BY ALL)
+@query(""", d AS (SELECT store, product, week_idx, demand - avg(demand) OVER (PARTITION BY store, product) d FROM panel), p AS (SELECT store, product, period, power(sum(d * cos(week_idx * 2 * pi() / period)), 2) + power(sum(d * sin(week_idx * 2 * pi() / period)), 2) pw FROM d, (SELECT unnest(range(2, 100)) period) GROUP BY ALL)
 SELECT store, product, CAST(period AS INTEGER) period, CAST(row_number() OVER (PARTITION BY store, product ORDER BY round(pw, 4) DESC, period) AS INTEGER) AS rank, round(pw, 2) AS power FROM p QUALIFY row_number() OVER (PARTITION BY store, product ORDER BY round(pw, 4) DESC, period) <= 5""")
 def k16_periodogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five strongest periods of each series (a top-k report)."""
-    rows = statistics.periodogram(demand_panel(spark, sf_dir), KEYS, "week_idx", "demand", list(range(2, 54)))
+    rows = statistics.periodogram(demand_panel(spark, sf_dir), KEYS, "week_idx", "demand", list(range(2, 100)))
     rank = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc(F.round("power", 4)), "period"))
     return rows.select(*KEYS, "period", rank.alias("rank"), F.round("power", 2).alias("power")).where("rank <= 5")
 

@@ -26,4 +26,4 @@ def query(sql: str | None = None, panel: bool = True):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import queries_evaluation, queries_features, queries_imputation, queries_learned, queries_models, queries_more, queries_resampling, queries_selection, queries_statistics, queries_tables  # noqa: F401
+    from . import queries_diagnostics, queries_evaluation, queries_features, queries_imputation, queries_learned, queries_models, queries_more, queries_resampling, queries_selection, queries_statistics, queries_tables  # noqa: F401
