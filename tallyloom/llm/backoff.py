@@ -30,22 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, ready, saved, spread, word_hashes
+from .common import blocks, mix, planes, ready, saved, spread, unplanes, word_hashes
 
 ALPHA = 0.4
 UNKNOWN = 0.5
 BLOCK = "block long, n_tokens long, doc_ids binary, no_ids binary, lengths binary, texts binary"  # ids and bytes as 64-bit integers, where ids are null, all texts compressed
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
-
-
-def _unplanes(data: bytes, kind: str) -> np.ndarray:
-    data, size = zstandard.decompress(data), np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
-
-
 def grams(words: np.ndarray, counts: np.ndarray, order: int, bits: int) -> np.ndarray:
     """[k - 1][i]: hash of ``bits`` bits of the k words that end at token i; 0 where the text has too few before it."""
     place = np.arange(len(words)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -99,7 +90,7 @@ def _ask(order: int, buckets: int, bits: int):
                 cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(keys) else np.zeros(1, np.int64)
                 spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 number = batch.column("block")[i].as_py()
-                columns = [pa.array(bucket[cuts[:-1]] if spans else [], pa.int64()), pa.array([number] * len(spans), pa.int64()), pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()), pa.array([_planes(n[a:b]) for a, b in spans], pa.binary())]
+                columns = [pa.array(bucket[cuts[:-1]] if spans else [], pa.int64()), pa.array([number] * len(spans), pa.int64()), pa.array([planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()), pa.array([planes(n[a:b]) for a, b in spans], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["bucket", "block", "keys", "counts"])
 
     return run
@@ -108,19 +99,19 @@ def _ask(order: int, buckets: int, bits: int):
 def _totals(total: np.ndarray) -> bytes:
     """Totals in four bytes each, or in eight where one needs them: the first byte says which."""
     wide = bool(len(total) and total.max() >> 32)
-    return bytes([wide]) + _planes(total.astype("<i8" if wide else "<u4"))
+    return bytes([wide]) + planes(total.astype("<i8" if wide else "<u4"))
 
 
 def _untotals(data: bytes) -> np.ndarray:
-    return _unplanes(data[1:], "<i8" if data[0] else "<u4").astype("<i8")
+    return unplanes(data[1:], "<i8" if data[0] else "<u4").astype("<i8")
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The totals of a bucket's n-grams, for each block in the order it asked."""
 
     def one(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
-        parts = [np.cumsum(_unplanes(k, "<u8"), dtype=np.uint64) for _, k, _ in rows]
-        own = np.concatenate([_unplanes(n, "<u4") for *_, n in rows])
+        parts = [np.cumsum(unplanes(k, "<u8"), dtype=np.uint64) for _, k, _ in rows]
+        own = np.concatenate([unplanes(n, "<u4") for *_, n in rows])
         keys = np.concatenate(parts)
         order = np.argsort(keys)
         new = np.flatnonzero(np.append(True, np.diff(keys[order]) != 0))

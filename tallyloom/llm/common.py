@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +98,16 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iterato
             yield batch.slice(a, b - a)
 
 
+def planes(a: np.ndarray) -> bytes:
+    """Numbers compressed with their bytes of like weight together."""
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1)
+
+
+def unplanes(data: bytes, kind: str) -> np.ndarray:
+    data, size = zstandard.decompress(data), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T).view(kind).ravel()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (fixed public multipliers)."""
     x = x ^ (x >> np.uint64(33))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, mix, ready, saved, spread, unused, word_hashes
+from .common import blocks, discard, mix, planes, ready, saved, spread, unplanes, unused, word_hashes
 from .graphs import components
 
 NUM, DEN = 75, 100  # links need DEN * intersection >= NUM * union
@@ -142,15 +142,17 @@ def _entities(words: int):
 
 
 def _deal(words: int, buckets: int, most: int = 1_500_000):
-    """Blocks of keys by bucket: keys, entities, and sizes doubled with the role added."""
+    """Blocks of keys by bucket: keys in order as differences, entities, and sizes doubled with the role added; keys and sizes compressed by planes of bytes."""
 
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         key, ent, size, role = (np.concatenate(c) for c in zip(*held))
         bucket = (key >> np.uint64(40)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((key, bucket))
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         rows = [(b, order[x:y]) for b, (x, y) in enumerate(zip(cuts, cuts[1:])) if y > x]
-        columns = [pa.array([b for b, _ in rows], pa.int64())] + [pa.array([a[at].tobytes() for _, at in rows], pa.binary()) for a in (key, ent, (size * 2 + role).astype("<u4"))]
+        sized = (size * 2 + role).astype("<u4")
+        blobs = ([planes(np.diff(key[at], prepend=np.uint64(0))) for _, at in rows], [ent[at].tobytes() for _, at in rows], [planes(sized[at]) for _, at in rows])
+        columns = [pa.array([b for b, _ in rows], pa.int64()), *(pa.array(x, pa.binary()) for x in blobs)]
         return pa.RecordBatch.from_arrays(columns, ["bucket", "keys", "ents", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,8 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs a < b under uncrowded keys (key null); under crowded ones each entity b with the smallest a, and the key."""
 
     def one(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        key, ent, size = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in enumerate(("<u8", "<i8", "<u4")))
+        key = np.concatenate([np.cumsum(unplanes(k, "<u8"), dtype=np.uint64) for k, _, _ in rows])
+        ent, size = np.concatenate([np.frombuffer(e, "<i8") for _, e, _ in rows]), np.concatenate([unplanes(n, "<u4") for *_, n in rows])
         order = np.lexsort((ent, key))
         key, ent, size = key[order], ent[order], size[order]
         fresh = np.append(True, (np.diff(key) != 0) | (np.diff(ent) != 0))
