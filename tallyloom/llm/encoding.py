@@ -2,7 +2,7 @@
 
 Both public BPE layouts cut a text at white space before they merge, so a text's ids are the ids of its pieces in order.
 ``PieceEncoder`` cuts texts at spaces and line ends, asks the library for each distinct piece, and joins stored ids. The
-stored pieces are bounded in number; pieces that are long are not stored. Texts in which a cut could change the library's
+stored pieces are bounded in number (when there are too many, the half stored last goes); pieces that are long are not stored. Texts in which a cut could change the library's
 result (three white spaces in a row, or special strings under the layout that keeps white space) are encoded whole.
 """
 
@@ -44,7 +44,7 @@ def _packed(ids: list[int]) -> bytes:
 class PieceEncoder(dict):
     """ids(text): the library's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 1_300_000):
+    def __init__(self, path: str, most: int = 900_000):
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.model = self.tokenizer.model
@@ -88,9 +88,9 @@ class PieceEncoder(dict):
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if len(self) > self.most:
-            self.clear()
-            self[""] = b""
+        if len(self) > self.most:  # the pieces met first are the common ones: they stay
+            while len(self) > self.most // 2:
+                self.popitem()
         if self.mode == "dropped":
             return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
         if self.mode == "whole" or "\x01" in text or any(s in text for s in self.special) or _RUN.search(text):
