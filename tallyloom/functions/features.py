@@ -31,12 +31,19 @@ def lags(value: str, steps: tuple[int, ...] = (1, 2, 4, 8, 13, 52)) -> dict[str,
 
 
 def rolling(value: str, windows: tuple[int, ...] = (4, 8, 13, 26), shift: int = 0) -> dict[str, Column]:
-    """Mean, sample deviation, variation, extremes and median of the last w rows; with ``shift`` 1 the current row is left out."""
-    out = {}
+    """Mean, sample deviation, variation, extremes and median of the last w rows; with ``shift`` 1 the current row is left out. Medians are taken from
+    parts of one collected window, the widest."""
+    out, widest = {}, max(windows)
+    values = F.collect_list(F.struct(F.col(value).alias("v"))).over(ordered().rowsBetween(-(widest - 1) - shift, -shift))
+
+    def median(w: int) -> Column:
+        known = F.array_sort(F.filter(F.transform(F.slice(values, F.greatest(F.size(values) - w + 1, F.lit(1)), F.lit(w)), lambda s: s["v"]), lambda x: x.isNotNull()))
+        return F.element_at(F.transform(F.array(known), lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.floor(F.size(a) / 2).cast("int"))) / 2), 1)
+
     for w in windows:
         over = ordered().rowsBetween(-(w - 1) - shift, -shift)
         mean, sd = F.avg(value).over(over), F.stddev_samp(value).over(over)
-        out |= {f"mean_{w}": mean, f"std_{w}": sd, f"cv_{w}": sd / (mean + F.lit(1e-6)), f"min_{w}": F.min(value).over(over), f"max_{w}": F.max(value).over(over), f"median_{w}": F.percentile(value, F.lit(0.5)).over(over)}
+        out |= {f"mean_{w}": mean, f"std_{w}": sd, f"cv_{w}": sd / (mean + F.lit(1e-6)), f"min_{w}": F.min(value).over(over), f"max_{w}": F.max(value).over(over), f"median_{w}": median(w)}
     return out
 
 

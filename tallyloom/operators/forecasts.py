@@ -21,19 +21,24 @@ def _steps() -> Column:
     return F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("step")
 
 
+def placed(train: DataFrame) -> DataFrame:
+    """Training rows with ahead (0 for a fold's last) and year_ago. Both are best worked out before folds multiply the rows; here, where they are missing."""
+    own = Window.partitionBy(*KEYS)
+    rows = train if "ahead" in train.columns else train.withColumn("ahead", (F.row_number().over(own.orderBy("week_idx")) - F.count("*").over(own)).cast("int"))
+    return rows if "year_ago" in rows.columns else rows.withColumn("year_ago", F.lag("demand", 52).over(own.orderBy("week_idx")))
+
+
 def seasonal_naive(train: DataFrame) -> DataFrame:
     """The value a year before the target plus quantiles of the yearly differences seen in training, 0 at least."""
-    own = Window.partitionBy(*KEYS).orderBy("week_idx")
-    rows = train.withColumn("res", F.col("demand") - F.lag("demand", 52).over(own)).withColumn("last", F.max("week_idx").over(Window.partitionBy(*KEYS)))
+    rows = placed(train).withColumn("res", F.col("demand") - F.col("year_ago"))
     quantiles = rows.groupBy(*KEYS).agg(F.percentile("res", F.array(*map(F.lit, LEVELS))).alias("r"))
-    step = (F.col("week_idx") - F.col("last") + 52).cast("int")
-    base = rows.withColumn("step", step).where(F.col("step").between(1, STEPS)).select(*KEYS, "step", F.col("demand").alias("base"))
+    base = rows.withColumn("step", F.col("ahead") + 52).where(F.col("step").between(1, STEPS)).select(*KEYS, "step", F.col("demand").alias("base"))
     return base.join(quantiles, KEYS).select(*KEYS, "step", "base", _levels(F.col("r"))).select(*KEYS, "step", "q.tau", F.greatest(F.lit(0.0), F.col("base") + F.col("q.value")).alias("value"))
 
 
 def naive_mean(train: DataFrame, weeks: int = 4) -> DataFrame:
     """The mean of the last weeks with normal quantiles of that level's Poisson variance, 0 at least."""
-    rows = train.withColumn("n", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("week_idx")))).where(F.col("n") <= weeks)
+    rows = placed(train).where(F.col("ahead") > -weeks)
     mean = rows.groupBy(*KEYS).agg(F.avg("demand").alias("mu"))
     normal = F.transform(F.array(*map(F.lit, Z)), lambda z: F.greatest(F.lit(0.0), F.col("mu") + z * F.sqrt("mu")))
     return mean.select(*KEYS, "mu", _steps()).select(*KEYS, "step", _levels(normal)).select(*KEYS, "step", "q.tau", "q.value")

@@ -9,7 +9,7 @@ KEYS = ["store", "product"]
 
 
 def rolling_origin(panel: DataFrame, folds: int = 12, horizon: int = 3, least: int = 52) -> DataFrame:
-    """Rows with fold_idx, role (train or test) and step: fold k trains on all but the last folds - k + horizon - 1 rows and tests on
+    """Rows with fold_idx, role (train or test), step and ahead (0 for the last training row, step in the test): fold k trains on all but the last folds - k + horizon - 1 rows and tests on
     the next ``horizon``; folds with fewer than ``least`` training rows are left out."""
     by = Window.partitionBy(*KEYS)
     rows = panel.select("*", F.row_number().over(by.orderBy("week_idx")).alias("rn"), F.count("*").over(by).alias("n"))
@@ -17,7 +17,7 @@ def rolling_origin(panel: DataFrame, folds: int = 12, horizon: int = 3, least: i
     cut = F.col("n") - (folds - F.col("fold_idx")) - horizon + 1
     role = F.when(F.col("rn") <= cut, "train").when(F.col("rn") <= cut + horizon, "test")
     step = F.when(F.col("rn") > cut, F.col("rn") - cut).cast("int")
-    return rows.select(*panel.columns, "fold_idx", role.alias("role"), step.alias("step")).where(F.col("role").isNotNull() & (cut >= least))
+    return rows.select(*panel.columns, "fold_idx", role.alias("role"), step.alias("step"), (F.col("rn") - cut).cast("int").alias("ahead")).where(F.col("role").isNotNull() & (cut >= least))
 
 
 def chronological(panel: DataFrame, test_weeks: int = 18, validation: float = 0.1) -> DataFrame:
