@@ -94,7 +94,7 @@ def tails(near: DataFrame) -> DataFrame:
         return a + (b - a) * (place - low)
 
     stretched = F.transform(F.slice(levels, F.col("start") + 1, F.lit(len(LEVELS)) - F.col("start")), at)
-    return near.withColumn("_rest", F.filter("function", lambda q: q >= F.col("level"))).withColumn("tail", F.when(F.size(rest) > 0, stretched)).drop("_rest")
+    return near.withColumn("_rest", F.filter("function", lambda q: q >= F.col("level") - 1e-9)).withColumn("tail", F.when(F.size(rest) > 0, stretched)).drop("_rest")
 
 
 def middle(arrays: Column, size: Column, how: str = "median") -> Column:
@@ -169,8 +169,11 @@ def long(rows: DataFrame) -> DataFrame:
 
 def filled(panel: DataFrame, rows: DataFrame) -> DataFrame:
     """The panel with stock-out weeks' demand replaced by their distribution's median, and a flag."""
-    median = rows.select(*TARGET, F.element_at("quantiles", LEVELS.index(0.5) + 1).alias("median"))
-    return panel.join(median, TARGET, "left").withColumns({"imputed": F.col("median").isNotNull(), "demand": F.coalesce("median", "demand")}).drop("median")
+    return with_medians(panel, rows.select(*TARGET, F.element_at("quantiles", LEVELS.index(0.5) + 1).alias("median")))
+
+
+def with_medians(panel: DataFrame, medians: DataFrame) -> DataFrame:
+    return panel.join(medians, TARGET, "left").withColumns({"imputed": F.col("median").isNotNull(), "demand": F.coalesce("median", "demand")}).drop("median")
 
 
 def summary(panel: DataFrame, full: DataFrame) -> DataFrame:
@@ -184,8 +187,9 @@ def summary(panel: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def save(panel: DataFrame, rows: DataFrame, path: str) -> None:
-    """Writes demand_imputed and imputed_sips as Parquet and imputation_summary as CSV under ``path``."""
-    full = filled(panel, rows)
-    full.write.parquet(f"{path}/demand_imputed")
+    """Writes imputed_sips and demand_imputed as Parquet and imputation_summary as CSV under ``path``; each from what is written already."""
+    spark = panel.sparkSession
     long(rows).write.parquet(f"{path}/imputed_sips")
-    summary(panel, full).write.option("header", True).csv(f"{path}/imputation_summary")
+    medians = spark.read.parquet(f"{path}/imputed_sips").where("quantile = 0.5").select(*TARGET, F.col("value").alias("median"))
+    with_medians(panel, medians).write.parquet(f"{path}/demand_imputed")
+    summary(panel, spark.read.parquet(f"{path}/demand_imputed")).write.option("header", True).csv(f"{path}/imputation_summary")

@@ -17,14 +17,17 @@ POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.981011
 
 
 def weights(rows: DataFrame, replicates: int) -> DataFrame:
-    """A row for each row and replicate in which it counts, with its weight: how often a Poisson variable of mean 1 draws it."""
+    """A row for each row and replicate with its weight: how often a Poisson variable of mean 1 draws it. No filter on the weight here: pushed below
+    the columns it comes from, it would work each of them out many times over."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "store", "product")  # few bytes, but ``replicates`` times the work
     out = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
     longs = {c: F.col(c).cast("long") for c in ("store", "product", "week_idx", "replicate")}
     out = out.withColumns(longs).withColumn("a", F.expr(MIXED[0])).withColumn("b", F.expr(MIXED[1])).withColumn("c", F.expr(MIXED[2])).withColumn("u", F.expr(MIXED[3]))
     drawn = F.lit(0)
     for p in POISSON:
         drawn = drawn + (F.col("u") >= p).cast("int")
-    return out.withColumn("w", drawn).where("w > 0").drop("a", "b", "c", "u")
+    return out.withColumn("w", drawn).drop("a", "b", "c", "u")
 
 
 def bootstrap_bands(panel: DataFrame, replicates: int = 200) -> DataFrame:
@@ -37,7 +40,7 @@ def bootstrap_bands(panel: DataFrame, replicates: int = 200) -> DataFrame:
     y, w = F.col("demand"), F.col("w")
     cells = weights(rows, replicates).groupBy("replicate", "flag", "year", "iso").agg(F.sum(w).alias("n"), F.sum(w * y).alias("s"), F.sum(w * y * y).alias("q"))
     kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), v.cast("int").alias("value")) for k, v in (("overall", F.lit(0)), ("in_stock", F.col("flag")), ("year", F.col("year")), ("iso_week", F.col("iso"))))))
-    sums = cells.select("replicate", kinds.alias("k"), "n", "s", "q").groupBy("replicate", "k.kind", "k.value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    sums = cells.select("replicate", kinds.alias("k"), "n", "s", "q").groupBy("replicate", "k.kind", "k.value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).where("n > 0")
     means = sums.select("kind", "value", (F.col("s") / F.col("n")).alias("m"))
     sd = sums.where("kind = 'overall' and n > 1").select(F.lit("overall_sd").alias("kind"), "value", F.sqrt((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)).alias("m"))
     return means.unionByName(sd).groupBy("kind", "value").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

@@ -31,7 +31,7 @@ _TARGETS_SQL = f""", c AS (SELECT store, product, t.n AS transform, {_z('demand'
 v AS (SELECT store, product, transform, stddev_pop(z) / abs(avg(z)) cv FROM c GROUP BY ALL HAVING abs(avg(z)) > 1e-9), names AS (SELECT store, product, arg_min(transform, (round(cv, 9), transform)) AS transform FROM v GROUP BY ALL),
 tg AS (SELECT *, {_z('stock')} AS level FROM (SELECT p.store, p.product, p.week_idx, p.demand stock, coalesce(n.transform, 'log') AS transform FROM panel p LEFT JOIN names n USING (store, product) WHERE NOT in_stock))"""
 _SPLICE_SQL = """, stretched AS (SELECT store, product, week_idx, start, level, [list_extract(rest, CAST(floor(t * (len(rest) - 1)) AS INTEGER) + 1) + (list_extract(rest, least(CAST(floor(t * (len(rest) - 1)) AS INTEGER) + 2, len(rest))) - list_extract(rest, CAST(floor(t * (len(rest) - 1)) AS INTEGER) + 1)) * (t * (len(rest) - 1) - floor(t * (len(rest) - 1))) FOR t IN levels[start + 1 : 13]] AS tail
-  FROM (SELECT *, [q FOR q IN f IF q >= level] AS rest, LEVELS AS levels FROM functions) WHERE len(rest) > 0),
+  FROM (SELECT *, [q FOR q IN f IF q >= level - 1e-9] AS rest, LEVELS AS levels FROM functions) WHERE len(rest) > 0),
 middles AS (SELECT store, product, week_idx, list(m ORDER BY i) AS own FROM (SELECT store, product, week_idx, i, quantile_cont(tail[i], 0.5) AS m FROM stretched, range(1, 14) AS r(i) WHERE i <= len(tail) GROUP BY ALL) GROUP BY ALL),
 spliced AS (SELECT o.store, o.product, o.week_idx, CASE WHEN start = 13 THEN observed
     WHEN own IS NULL THEN list_concat(head, [CASE WHEN start > 1 THEN level * (1 + list_stddev_pop(head) / (list_avg(head) + 1e-9) * i) ELSE level * 1.5 END FOR i IN range(1, 14 - start)])
@@ -45,7 +45,7 @@ def _names(panel: DataFrame) -> DataFrame:
 
 def _wide(rows: DataFrame, name: str) -> DataFrame:
     """A row per level, rounded."""
-    return M.long(rows.withColumnRenamed(name, "quantiles")).withColumn("value", F.round("value", 4))
+    return M.long(rows.withColumnRenamed(name, "quantiles")).withColumn("value", F.round("value", 6))
 
 
 @query(_NEIGHBOURS_SQL + " SELECT store, product, week_idx, c_store, c_product, c_week_idx, round(distance, 6) distance, CAST(place AS INTEGER) place FROM near")
@@ -55,7 +55,7 @@ def d3_d4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_TARGETS_SQL + f""", past AS (SELECT t.store, t.product, t.week_idx, quantile_cont(z, {_LEVELS}) q FROM (SELECT tg.*, {_z('p.demand')} z FROM tg JOIN panel p ON p.store = tg.store AND p.product = tg.product AND p.week_idx < tg.week_idx) t WHERE z < level GROUP BY ALL)
-SELECT store, product, week_idx, quantile, round(CASE WHEN value < level THEN value END, 4) AS value FROM (SELECT tg.store, tg.product, tg.week_idx, level, unnest({_LEVELS}) quantile, unnest(coalesce(q, [NULL::DOUBLE FOR i IN range(13)])) AS value FROM tg LEFT JOIN past USING (store, product, week_idx))""")
+SELECT store, product, week_idx, quantile, round(CASE WHEN value < level THEN value END, 6) AS value FROM (SELECT tg.store, tg.product, tg.week_idx, level, unnest({_LEVELS}) quantile, unnest(coalesce(q, [NULL::DOUBLE FOR i IN range(13)])) AS value FROM tg LEFT JOIN past USING (store, product, week_idx))""")
 def d5_below_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles, in each series' transform, of the past sales under what sold in a stock-out week; null without such sales."""
     panel = demand_panel(spark, sf_dir)
@@ -67,17 +67,17 @@ def d5_below_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_NEIGHBOURS_SQL + f""", hist AS (SELECT p.store, p.product, p.week_idx, quantile_cont(h.demand, {_LEVELS}) f FROM (SELECT DISTINCT c_store store, c_product product, c_week_idx week_idx FROM near) p JOIN panel h ON h.store = p.store AND h.product = p.product AND h.week_idx <= p.week_idx GROUP BY ALL),
-observed AS (SELECT *, len([q FOR q IN observed IF q IS NOT NULL]) AS start FROM (SELECT store, product, week_idx, level, [CASE WHEN q < level THEN q END FOR q IN coalesce(aq, [NULL::DOUBLE FOR i IN range(13)])] AS observed
+observed AS (SELECT *, len([q FOR q IN observed IF q IS NOT NULL]) AS start FROM (SELECT store, product, week_idx, level, [CASE WHEN q < level - 1e-9 THEN q END FOR q IN coalesce(aq, [NULL::DOUBLE FOR i IN range(13)])] AS observed
   FROM (SELECT t.store, t.product, t.week_idx, t.demand AS level, quantile_cont(h.demand, {_LEVELS}) aq FROM panel t LEFT JOIN panel h ON h.store = t.store AND h.product = t.product AND h.week_idx < t.week_idx WHERE NOT t.in_stock GROUP BY ALL))),
 functions AS (SELECT o.store, o.product, o.week_idx, start, level, f FROM near JOIN observed o USING (store, product, week_idx) JOIN hist ON hist.store = c_store AND hist.product = c_product AND hist.week_idx = c_week_idx){_SPLICE_SQL}
-SELECT store, product, week_idx, unnest({_LEVELS}) quantile, round(unnest(f), 4) AS value FROM spliced""")
+SELECT store, product, week_idx, unnest({_LEVELS}) quantile, round(unnest(f), 6) AS value FROM spliced""")
 def d6_tail_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The past's quantiles up to what sold in a stock-out week, and above it the median of the neighbours' tails."""
     panel = demand_panel(spark, sf_dir)
     past = F.array_sort(F.transform(F.filter("history", lambda h: h["week_idx"] < F.col("week_idx")), lambda h: h["demand"]))
     rows = panel.where("not in_stock").select(*M.TARGET, F.col("demand").alias("level")).join(M.histories(panel), KEYS).withColumn("past", past).drop("history")
     none = F.array(*[F.lit(None).cast("double")] * len(LEVELS))
-    rows = rows.withColumn("observed", F.coalesce(F.transform(M.quantiles(F.col("past")), lambda q: F.when(q < F.col("level"), q)), none)).withColumn("start", M.known(F.col("observed")))
+    rows = rows.withColumn("observed", F.coalesce(F.transform(M.quantiles(F.col("past")), lambda q: F.when(q < F.col("level") - 1e-9, q)), none)).withColumn("start", M.known(F.col("observed")))
     near = M.with_functions(M.neighbours(panel), panel, F.lit("identity")).join(rows.select(*M.TARGET, "level", "start"), M.TARGET)
     met = M.tails(near).groupBy(*M.TARGET).agg(F.collect_list("tail").alias("tails"))
     return _wide(M.splice(rows.join(met, M.TARGET, "left")), "function")
