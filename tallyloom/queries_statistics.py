@@ -181,9 +181,9 @@ def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("*", F.rank().over(Window.partitionBy("wk").orderBy(F.round("cost", 2))).alias("rk"), F.count("*").over(Window.partitionBy("wk")).alias("n"))
 
 
-@query(_BOARD_SQL + " SELECT name, count(*) AS weeks, round(arg_max(cost, wk), 2) final_cost, round(stddev_pop(cost), 4) volatility, round(stddev_pop(cost) / avg(cost), 6) cv FROM r GROUP BY ALL", panel=False)
+@query(_BOARD_SQL + " SELECT name, count(*) AS weeks, round(arg_max(cost, wk), 2) final_cost, round(stddev_pop(cost), 4) volatility, round(stddev_pop(cost) / avg(cost), 6) cv, round(CASE WHEN count(*) > 1 THEN regr_slope(cost, wk::DOUBLE) ELSE 0 END, 3) + 0.0 trend FROM r GROUP BY ALL", panel=False)
 def m1_competitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _board(spark, sf_dir).groupBy("name").agg(F.count("*").alias("weeks"), F.round(F.max_by("cost", "wk"), 2).alias("final_cost"), F.round(F.stddev_pop("cost"), 4).alias("volatility"), F.round(F.stddev_pop("cost") / F.avg("cost"), 6).alias("cv"))
+    return _board(spark, sf_dir).groupBy("name").agg(F.count("*").alias("weeks"), F.round(F.max_by("cost", "wk"), 2).alias("final_cost"), F.round(F.stddev_pop("cost"), 4).alias("volatility"), F.round(F.stddev_pop("cost") / F.avg("cost"), 6).alias("cv"), (F.round(F.when(F.count("*") > 1, F.regr_slope(F.col("cost"), F.col("wk").cast("double"))).otherwise(0.0), 3) + 0.0).alias("trend"))
 
 
 @query(_BOARD_SQL + " SELECT name, wk, CAST(lead(rk) OVER (PARTITION BY name ORDER BY wk) - rk AS INTEGER) rank_change FROM r", panel=False)
