@@ -44,6 +44,11 @@ def empirical_pmf(panel: DataFrame, keys: list[str], cap: int | None = None, val
     return counts.select(*keys, "x", (F.col("count") / F.sum("count").over(Window.partitionBy(*keys))).alias("p"))
 
 
+def share_above(rows: DataFrame, keys: list[str], level: Column, value: str = "demand") -> DataFrame:
+    """above, n: how many of each group's rounded values are above the level, and how many there are."""
+    return rows.groupBy(*keys).agg(F.count_if(F.bround(F.col(value)).cast("int") > level).alias("above"), F.count("*").alias("n"))
+
+
 def convolve(a: DataFrame, b: DataFrame, keys: list[str], combine: Column | None = None) -> DataFrame:
     """Distribution of a function of two independent variables (columns xa and xb; their sum if not given)."""
     pairs = a.select(*keys, F.col("x").alias("xa"), F.col("p").alias("pa")).join(b.select(*keys, F.col("x").alias("xb"), F.col("p").alias("pb")), keys)
