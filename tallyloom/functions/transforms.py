@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +13,11 @@ FORWARD: dict[str, Callable[[Column], Column]] = {
     "identity": lambda y: y, "log": lambda y: F.ln(F.greatest(y, F.lit(FLOOR))), "log1p": lambda y: F.log1p(F.greatest(y, F.lit(0.0))),
     "sqrt": lambda y: F.sqrt(F.greatest(y, F.lit(0.0))), "cbrt": F.cbrt,
 }
+#: The same for arrays inside tasks.
+NUMPY: dict[str, Callable[[np.ndarray], np.ndarray]] = {
+    "identity": lambda y: y, "log": lambda y: np.log(np.maximum(y, FLOOR)), "log1p": lambda y: np.log1p(np.maximum(y, 0.0)),
+    "sqrt": lambda y: np.sqrt(np.maximum(y, 0.0)), "cbrt": np.cbrt,
+}
 INVERSE: dict[str, Callable[[Column], Column]] = {"identity": lambda z: z, "log": F.exp, "log1p": F.expm1, "sqrt": lambda z: z * z, "cbrt": lambda z: z * z * z}
 
 
