@@ -51,10 +51,14 @@ def cusum(df: DataFrame, keys: list[str], index: str, value: str) -> DataFrame:
 
 
 def periodogram(df: DataFrame, keys: list[str], index: str, value: str, periods: list[int]) -> DataFrame:
-    """Power at whole periods: squared sums against cosines and sines."""
-    rows = df.select(*keys, index, (F.col(value) - F.avg(value).over(Window.partitionBy(*keys))).alias("d"), F.explode(F.array(*map(F.lit, periods))).alias("period"))
-    angle = F.col(index) * (2 * 3.141592653589793) / F.col("period")
-    return rows.groupBy(*keys, "period").agg((F.sum(F.col("d") * F.cos(angle)) ** 2 + F.sum(F.col("d") * F.sin(angle)) ** 2).alias("power"))
+    """Power at whole periods: squared sums against cosines and sines, added in the order of the index. A key's values are one array (as long as the
+    calendar); periods multiply it in place, after the shuffle by key."""
+    values = F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(value).alias("v"))))
+    own = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(values.alias("values"), F.avg(value).alias("mean"))
+    centred = F.transform("values", lambda x: F.struct((x["i"] * (2 * 3.141592653589793)).alias("turn"), (x["v"] - F.col("mean")).alias("d")))
+    rows = own.select(*keys, centred.alias("own")).select(*keys, "own", F.explode(F.array(*map(F.lit, periods))).alias("period"))
+    part = lambda f: F.aggregate("own", F.lit(0.0), lambda s, x: s + x["d"] * f(x["turn"] / F.col("period")))
+    return rows.select(*keys, "period", (part(F.cos) ** 2 + part(F.sin) ** 2).alias("power"))
 
 
 def entropy(p: Column) -> Column:
