@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tallyloom.operators import statistics
+from tallyloom.operators import forecasts, learned, splits, statistics
 
 
 def test_periods_multiply_a_series_after_its_shuffle(spark):
@@ -16,3 +16,18 @@ def test_periods_multiply_a_series_after_its_shuffle(spark):
         assert np.isclose(row.power, (d @ np.cos(turn)) ** 2 + (d @ np.sin(turn)) ** 2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Generate" in plan and "Exchange" not in plan.split("Generate")[0]
+
+
+def test_count_quantiles_keep_their_numbers_in_the_row(spark):
+    """No window, no sort, and rows dealt to all tasks."""
+    out = learned.count_quantiles(spark.createDataFrame([(i, 4.0 + i, 2.0) for i in range(20)], "id int, mu double, size double"), ["id"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and "REPARTITION_BY_NUM" in plan and out.count() == 260
+
+
+def test_seasonal_index_ranks_no_whole_history(spark):
+    rows = spark.range(200).selectExpr("0 store", "cast(id % 2 as int) product", "cast(id div 2 as int) week_idx", "date_add(date'2021-01-04', cast(7 * (id div 2) as int)) week", "cast(id % 7 as double) demand")
+    train = splits.rolling_origin(rows, least=20).where("role = 'train'")
+    plan = forecasts.seasonal_index(train)._jdf.queryExecution().executedPlan().toString()
+    ranked = [line.split("row_number() windowspecdefinition(")[1] for line in plan.split("\n") if "row_number() windowspecdefinition(" in line]
+    assert ranked and not any("fold_idx" in r.split("ASC")[0] for r in ranked)
