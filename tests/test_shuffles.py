@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tallyloom.operators import forecasts, learned, splits, statistics
+from tallyloom.operators import forecasts, learned, scoring, splits, statistics
 
 
 def test_periods_multiply_a_series_after_its_shuffle(spark):
@@ -31,3 +31,14 @@ def test_seasonal_index_ranks_no_whole_history(spark):
     plan = forecasts.seasonal_index(train)._jdf.queryExecution().executedPlan().toString()
     ranked = [line.split("row_number() windowspecdefinition(")[1] for line in plan.split("\n") if "row_number() windowspecdefinition(" in line]
     assert ranked and not any("fold_idx" in r.split("ASC")[0] for r in ranked)
+
+
+def test_calibration_orders_no_whole_group(spark):
+    r = np.random.default_rng(8)
+    values = {g: np.concatenate([r.beta(2, 3, 400).round(2), [0.01] * 30, [0.99] * 20, r.random(50)]) for g in "ab"}
+    out = scoring.distance_to_uniform(spark.createDataFrame([(g, float(v)) for g, own in values.items() for v in own], "g string, pit double"), ["g"])
+    for row in out.collect():
+        v, i = np.sort(values[row.g]), np.arange(1, 501)
+        assert row.n == 500 and row.ks == np.max(np.maximum(i / 500 - v, v - (i - 1) / 500))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "row_number()" not in plan and "_part" in plan
