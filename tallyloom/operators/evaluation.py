@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +66,39 @@ def second_week(pmf: DataFrame, state: DataFrame, keys: list[str], state_keys: l
     return best.select(*keys, F.greatest(F.col("b.x"), F.lit(0)).cast("int").alias("order_qty"), F.when(F.col("b.x") < 0, F.col("b.none")).otherwise(F.col("b.cost")).alias("expected_cost"))
 
 
+def _whole(quantiles: list[dict]) -> np.ndarray:
+    """A forecast's probabilities of 0, 1 and so on, as ``inventory.quantiles_to_pmf`` gives them."""
+    v = np.maximum.accumulate([max(0.0, q["value"] or 0.0) for q in quantiles])
+    t, v = np.array([0.0, *(q["tau"] for q in quantiles), 1.0, 1.0]), np.concatenate([[0.0], v, [v[-1], v[-1] + 1]])
+    x = np.arange(int(np.ceil(v[-2])) + 1)
+    i = np.searchsorted(v, x, side="right") - 1
+    p = np.maximum(np.diff(t[i] + (t[i + 1] - t[i]) * (x - v[i]) / (v[i + 1] - v[i]), prepend=0.0), 0.0)
+    return p / p.sum()
+
+
+def second_week_orders(rows: DataFrame, state: DataFrame, keys: list[str], state_keys: list[str], under: float = inventory.SHORTAGE, over: float = inventory.HOLDING) -> DataFrame:
+    """``second_week`` of forecasts' quantiles (step, tau, value). Both steps of a key are one row, and their distributions live in that row only:
+    as rows of their own, a task would hold all pairs of numbers of all its keys."""
+    each = lambda s: F.array_sort(F.collect_list(F.when(F.col("step") == s, F.struct("tau", "value")))).alias(f"q{s}")
+    both = rows.where("step <= 2").groupBy(*keys).agg(each(1), each(2)).where("size(q1) > 0 and size(q2) > 0").join(state, state_keys)
+    stock = [F.col(c).cast("int").alias(c) for c in ("on_hand", "intransit_1", "intransit_2")]
+    kinds = ", ".join(f"{k} {both.schema[k].dataType.simpleString()}" for k in keys)
+
+    def best(first: np.ndarray, second: np.ndarray, on_hand: int, soon: int, later: int) -> tuple[int, float]:
+        left = np.bincount(np.maximum(on_hand + soon - np.arange(len(first)), 0) + later, first)
+        p, x = np.convolve(second, left[::-1]), np.arange(len(second) + len(left) - 1) - (len(left) - 1)
+        order = max(0, int(x[np.argmax(np.cumsum(p) >= under / (under + over) - 1e-9)]))
+        return order, float((p * (over * np.maximum(order - x, 0) + under * np.maximum(x - order, 0))).sum())
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = {n: b.column(n).to_pylist() for n in ("q1", "q2", "on_hand", "intransit_1", "intransit_2")}
+            out = [best(_whole(q1), _whole(q2), *s) for q1, q2, *s in zip(*c.values())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array([o for o, _ in out], pa.int32()), pa.array([e for _, e in out], pa.float64())], [*keys, "order_qty", "expected_cost"])
+
+    return both.select(*keys, "q1", "q2", *stock).mapInArrow(solve, f"{kinds}, order_qty int, expected_cost double")
+
+
 def realised(rows: DataFrame, order: Column, under: float = inventory.SHORTAGE, over: float = inventory.HOLDING) -> DataFrame:
     """holding_cost and shortage_cost of the second week for rows with on_hand, intransit_1, intransit_2, y1 and y2."""
     at = F.greatest(F.col("on_hand") + F.col("intransit_1") - F.bround("y1"), F.lit(0.0)) + F.col("intransit_2") + order

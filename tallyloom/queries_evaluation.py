@@ -33,8 +33,7 @@ _COST_SQL = _MEAN_COST_SQL + """, ct AS (SELECT *, 0.2 * greatest(ps - y2, 0) ho
 
 
 def _orders(rows: DataFrame, panel: DataFrame) -> DataFrame:
-    pmf = inventory.quantiles_to_pmf(rows.where("step <= 2"), [*FOLD, "step"])
-    return evaluation.second_week(pmf, state(panel), FOLD, KEYS)
+    return evaluation.second_week_orders(rows, state(panel), FOLD, KEYS)
 
 
 def _outcomes(rows: DataFrame) -> DataFrame:
