@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .statistics import mutual_information
 
@@ -22,6 +24,41 @@ def binned(rows: DataFrame, keys: list[str], name: str, value: str, bins: int =
     return placed.withColumn("bin", F.when(F.size("_edges") < 3, few).otherwise(F.size(F.filter("_edges", lambda e: e <= F.col(value))) - 1).cast("int")).drop("_edges", "_rank", "_most")
 
 
+def _bins(v: np.ndarray, bins: int = 8) -> np.ndarray:
+    """The bins of ``binned``, of one group's values."""
+    edges = np.unique(np.round(np.quantile(v, np.arange(bins + 1) / bins), 9))
+    if len(edges) >= 3:
+        return np.searchsorted(edges, v, side="right") - 1
+    _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[at]
+    return np.floor(rank / ((rank.max() + 1) / bins)).astype(int)
+
+
+def _bits(x: np.ndarray, y: np.ndarray) -> float:
+    c = np.unique(np.column_stack([x, y]), axis=0, return_counts=True)
+    (a, b), n = c[0].T, c[1]
+    at = lambda v: np.bincount(np.unique(v, return_inverse=True)[1], n)[np.unique(v, return_inverse=True)[1]]
+    return float((n / len(x) * np.log2(n * len(x) / (at(a) * at(b)))).sum())
+
+
+def told(rows: DataFrame, keys: list[str], y: str, features: list[str], joint: tuple[str, str], least: int = 16) -> DataFrame:
+    """keys, feature, mi: bits that each feature's bins tell of those of ``y``, and the two of ``joint`` together (feature: joint). A group is a series, whose
+    rows are the calendar's; it is binned and counted in one place, as columns, where long rows would be ranked and joined feature by feature."""
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def one(table: pa.Table) -> pa.Table:
+        if table.num_rows < least:
+            features_, mi = [], []
+        else:
+            b = {c: _bins(table[c].to_numpy()) for c in (y, *features)}
+            features_ = [*features, "joint"]
+            mi = [*(_bits(b[f], b[y]) for f in features), _bits(b[joint[0]] * 1000 + b[joint[1]], b[y])]
+        own = {k: pa.array([table[k][0].as_py()] * len(mi), table.schema.field(k).type) for k in keys}
+        return pa.table(own | {"feature": pa.array(features_, pa.string()), "mi": pa.array(mi, pa.float64())})
+
+    return rows.select(*keys, y, *features).groupBy(*keys).applyInArrow(one, f"{kinds}, feature string, mi double")
+
+
 def bits(rows: DataFrame, keys: list[str], x: str, y: str, name: str) -> DataFrame:
     return mutual_information(rows, keys, x, y).select(*keys, (F.col("mi") / F.ln(F.lit(2.0))).alias(name))
 
@@ -29,7 +66,16 @@ def bits(rows: DataFrame, keys: list[str], x: str, y: str, name: str) -> DataFra
 def decomposed(rows: DataFrame, keys: list[str], x1: str, x2: str, y: str) -> DataFrame:
     """keys, mi_x1_y, mi_x2_y, mi_x1x2_y and their parts: redundancy (the lesser), what is each one's own, and what only both together tell."""
     joint = rows.withColumn("_joint", F.struct(x1, x2))
-    out = bits(rows, keys, x1, y, "mi_x1_y").join(bits(rows, keys, x2, y, "mi_x2_y"), keys).join(bits(joint, keys, "_joint", y, "mi_x1x2_y"), keys)
+    return parted(bits(rows, keys, x1, y, "mi_x1_y").join(bits(rows, keys, x2, y, "mi_x2_y"), keys).join(bits(joint, keys, "_joint", y, "mi_x1x2_y"), keys))
+
+
+def parts_told(mi: DataFrame, keys: list[str], x1: str, x2: str) -> DataFrame:
+    """The columns of ``decomposed``, from the rows of ``told``."""
+    of = lambda f: F.max(F.when(F.col("feature") == f, F.col("mi")))
+    return parted(mi.groupBy(*keys).agg(of(x1).alias("mi_x1_y"), of(x2).alias("mi_x2_y"), of("joint").alias("mi_x1x2_y")))
+
+
+def parted(out: DataFrame) -> DataFrame:
     out = out.withColumn("redundancy", F.least("mi_x1_y", "mi_x2_y"))
     own = lambda c: F.greatest(F.lit(0.0), F.col(c) - F.col("redundancy"))
     out = out.withColumns({"unique_x1": own("mi_x1_y"), "unique_x2": own("mi_x2_y")})
@@ -45,18 +91,20 @@ def feature_weights(information: DataFrame, keys: list[str]) -> DataFrame:
     return information.select(*keys, "feature", "mi", F.row_number().over(own.orderBy(F.desc(F.round("mi", 9)), "feature")).alias("rank"), weight.alias("weight"), k.alias("k"))
 
 
-def partial_autocorrelation(acf: Column) -> Column:
+@F.pandas_udf(ArrayType(DoubleType()))
+def partial_autocorrelation(acf: pd.Series) -> pd.Series:
     """Partial autocorrelations at lags 1 to n from the array of autocorrelations at them, by the recursion over orders."""
-    start = F.struct(F.array().cast("array<double>").alias("phi"), F.array().cast("array<double>").alias("pacf"))
 
-    def order(a: Column, k: Column) -> Column:
-        earlier = F.reverse(F.slice(acf, F.lit(1), k - 1))
-        top = F.get(acf, k - 1) - F.aggregate(F.zip_with(a["phi"], earlier, lambda p, r: p * r), F.lit(0.0), lambda s, x: s + x)
-        bottom = 1 - F.aggregate(F.zip_with(a["phi"], F.slice(acf, F.lit(1), k - 1), lambda p, r: p * r), F.lit(0.0), lambda s, x: s + x)
-        new = F.try_divide(top, bottom)
-        return F.struct(F.concat(F.zip_with(a["phi"], F.reverse(a["phi"]), lambda p, q: p - new * q), F.array(new)).alias("phi"), F.concat(a["pacf"], F.array(new)).alias("pacf"))
+    def recursion(r: np.ndarray) -> list[float | None]:
+        phi, pacf = np.zeros(0), []
+        for k in range(len(r)):
+            bottom = 1 - phi @ r[:k]
+            new = (r[k] - phi @ r[:k][::-1]) / bottom if bottom else np.nan
+            phi = np.append(phi - new * phi[::-1], new)
+            pacf.append(None if np.isnan(new) else float(new))
+        return pacf
 
-    return F.aggregate(F.sequence(F.lit(1), F.size(acf)), start, order, lambda a: a["pacf"])
+    return acf.map(lambda r: recursion(np.asarray(r, float)), na_action="ignore")
 
 
 def level_stationarity(acf: DataFrame, sums: DataFrame, keys: list[str]) -> DataFrame:

@@ -24,13 +24,11 @@ cl AS (SELECT x.store, x.product, x.feature, x.b x, y.b y, count(*) c FROM bn x
 mi AS (SELECT store, product, feature, sum(c / n * log2(c * n / (nx * ny))) mi FROM (SELECT *, sum(c) OVER (PARTITION BY store, product, feature) n, sum(c) OVER (PARTITION BY store, product, feature, x) nx, sum(c) OVER (PARTITION BY store, product, feature, y) ny FROM cl) GROUP BY ALL)"""
 
 
-def _binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """store, product, week_idx, feature, bin: demand (y) and what may tell it, in eight quantile bins; series of 16 weeks and more."""
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """store, product, feature, mi: what may tell of demand (y), in eight quantile bins; series of 16 weeks and more."""
     by = X.ordered()
-    rows = demand_panel(spark, sf_dir).withColumn("n", F.count("*").over(Window.partitionBy(*KEYS))).where("n >= 16")
     wide = {"y": F.col("demand"), "lag_1": F.coalesce(F.lag("demand", 1).over(by), F.lit(0.0)), "lag_2": F.coalesce(F.lag("demand", 2).over(by), F.lit(0.0)), "month": F.month("week").cast("double"), "in_stock": F.col("in_stock").cast("double")}
-    rows = rows.select(*KEYS, "week_idx", *(c.alias(n) for n, c in wide.items()))
-    return I.binned(rows.unpivot([*KEYS, "week_idx"], list(wide), "feature", "v"), KEYS, "feature", "v").select(*KEYS, "week_idx", "feature", "bin")
+    return I.told(demand_panel(spark, sf_dir).select(*KEYS, *(c.alias(n) for n, c in wide.items())), KEYS, "y", [c for c in wide if c != "y"], ("lag_1", "in_stock"))
 
 
 @query(_BINNED_SQL + """, cj AS (SELECT a.store, a.product, a.b x1, s.b x2, y.b y, count(*) c FROM bn a JOIN bn s ON s.store = a.store AND s.product = a.product AND s.week_idx = a.week_idx AND s.feature = 'in_stock' JOIN bn y ON y.store = a.store AND y.product = a.product AND y.week_idx = a.week_idx AND y.feature = 'y' WHERE a.feature = 'lag_1' GROUP BY ALL),
@@ -39,8 +37,7 @@ p AS (SELECT a.store, a.product, a.mi m1, b.mi m2, m12, least(a.mi, b.mi) red FR
 SELECT store, product, round(m1, 6) mi_x1_y, round(m2, 6) mi_x2_y, round(m12, 6) mi_x1x2_y, round(red, 6) redundancy, round(greatest(0, m1 - red), 6) unique_x1, round(greatest(0, m2 - red), 6) unique_x2, round(greatest(0, m12 - greatest(0, m1 - red) - greatest(0, m2 - red) - red), 6) synergy FROM p""")
 def l5_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What last week's demand and the stock flag tell of demand, in bits: shared, each one's own, and only together."""
-    rows = _binned(spark, sf_dir).groupBy(*KEYS, "week_idx").agg(*(F.max(F.when(F.col("feature") == f, F.col("bin"))).alias(n) for f, n in (("lag_1", "x1"), ("in_stock", "x2"), ("y", "y"))))
-    out = I.decomposed(rows, KEYS, "x1", "x2", "y")
+    out = I.parts_told(_told(spark, sf_dir), KEYS, "lag_1", "in_stock")
     return out.select(*KEYS, *(F.round(c, 6).alias(c) for c in out.columns if c not in KEYS))
 
 
@@ -48,9 +45,7 @@ def l5_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT store, product, feature, round(mi, 6) mi, CAST(row_number() OVER (PARTITION BY store, product ORDER BY round(mi, 9) DESC, feature) AS INTEGER) AS rank, round(CASE WHEN hi = 0 THEN 1.0 ELSE 0.5 + 1.5 * (mi - lo) / (hi - lo + 1e-9) END, 5) weight, CAST(least(120, greatest(10, trunc(100 - 60 * total))) AS INTEGER) k FROM w""")
 def l7_feature_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features ranked by their information about demand, with weights and a number of neighbours."""
-    rows = _binned(spark, sf_dir)
-    y = rows.where("feature = 'y'").select(*KEYS, "week_idx", F.col("bin").alias("y"))
-    mi = I.bits(rows.where("feature != 'y'").join(y, [*KEYS, "week_idx"]), [*KEYS, "feature"], "bin", "y", "mi")
+    mi = _told(spark, sf_dir).where("feature != 'joint'")
     return I.feature_weights(mi, KEYS).select(*KEYS, "feature", F.round("mi", 6).alias("mi"), "rank", F.round("weight", 5).alias("weight"), "k")
 
 
