@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,15 +22,24 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(*(c.alias(n) for n, c in out.items()))
 
 
+def autocorrelations(df: DataFrame, keys: list[str], index: str, value: str, lags: int = 12) -> DataFrame:
+    """keys, n, acf: an array over lags 1..lags; null beyond the series and where nothing varies. A group is a series: its rows are the calendar's."""
+    kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def one(table: pa.Table) -> pa.Table:
+        y = table[value].to_numpy()[np.argsort(table[index].to_numpy(), kind="stable")].astype(float)
+        d = np.nan_to_num(y - np.nanmean(y)) if not np.isnan(y).all() else np.zeros(len(y))
+        ss = d @ d
+        acf = [float(d[k:] @ d[:-k] / ss) if ss > 0 and k < len(d) else None for k in range(1, lags + 1)]
+        return pa.table({k: table[k].slice(0, 1) for k in keys} | {"n": pa.array([len(y)], pa.int64()), "acf": pa.array([acf], pa.list_(pa.float64()))})
+
+    return df.select(*keys, index, F.col(value).cast("double").alias(value)).groupBy(*keys).applyInArrow(one, f"{kinds}, n long, acf array<double>")
+
+
 def autocorrelation(df: DataFrame, keys: list[str], index: str, value: str, lags: int = 12) -> DataFrame:
     """Autocorrelation at lags 1..lags per key, with n."""
-    rows = df.select(*keys, index, (F.col(value) - F.avg(value).over(Window.partitionBy(*keys))).alias("d"))
-    total = rows.groupBy(*keys).agg(F.sum(F.col("d") * F.col("d")).alias("ss"), F.count("*").alias("n"))
-    over = Window.partitionBy(*keys).orderBy(index)
-    products = [F.sum(F.col("d") * F.col(f"d{k}")).alias(f"p{k}") for k in range(1, lags + 1)]
-    sums = rows.select("*", *(F.lag("d", k).over(over).alias(f"d{k}") for k in range(1, lags + 1))).groupBy(*keys).agg(*products)
-    long = sums.unpivot(keys, [f"p{k}" for k in range(1, lags + 1)], "name", "p").select(*keys, F.expr("CAST(substring(name, 2) AS INT)").alias("lag"), "p")
-    return long.join(total, keys).select(*keys, "lag", "n", (F.col("p") / F.col("ss")).alias("acf"))
+    rows = autocorrelations(df, keys, index, value, lags).select(*keys, "n", F.posexplode("acf").alias("i", "acf"))
+    return rows.select(*keys, (F.col("i") + 1).alias("lag"), "n", "acf")
 
 
 def ljung_box(acf: DataFrame, keys: list[str], upto: int) -> DataFrame:

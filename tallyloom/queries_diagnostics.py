@@ -121,8 +121,8 @@ _PACF_SQL = _ACF52_SQL + """, dl AS (SELECT store, product, n, r, 1 AS k, [r[1]]
 
 def _acf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """store, product, n, acf: an array over 52 lags (fewer in shorter series)."""
-    rows = statistics.autocorrelation(demand_panel(spark, sf_dir), KEYS, "week_idx", "demand", 52).where("acf is not null and lag < n")
-    return rows.groupBy(*KEYS).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("lag", "acf"))), lambda x: x["acf"]).alias("acf"))
+    rows = statistics.autocorrelations(demand_panel(spark, sf_dir), KEYS, "week_idx", "demand", 52)
+    return rows.withColumn("acf", F.array_compact("acf")).where(F.size("acf") > 0)
 
 
 @query(_PACF_SQL + """, p AS (SELECT store, product, n, unnest(range(1, len(r) + 1)) lag, unnest(r) acf, unnest(pacf) pacf FROM dl WHERE k = len(r))
