@@ -36,7 +36,8 @@ def _rolling_sql(w: int) -> str:
 
 @query(f"SELECT store, product, week_idx, {', '.join(_rolling_sql(w) for w in (4, 8, 13, 26))} FROM panel")
 def b3_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.with_columns(demand_panel(spark, sf_dir), X.rolling("demand"), 6).drop("week", "demand", "in_stock")
+    rows = X.rolled(demand_panel(spark, sf_dir).select(*KEYS, "week_idx", "demand"), "demand")
+    return rows.select(*KEYS, "week_idx", *(F.round(c, 6).alias(c) for c in rows.columns if c not in (*KEYS, "week_idx", "demand")))
 
 
 @query(f"SELECT store, product, week_idx, round(CASE WHEN count(*) OVER w > 1 THEN regr_slope(demand, CAST(week_idx AS DOUBLE)) OVER w END, 4) + 0.0 slope_13 FROM panel WINDOW w AS ({BY} ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)")
