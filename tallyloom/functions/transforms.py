@@ -19,6 +19,7 @@ NUMPY: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "sqrt": lambda y: np.sqrt(np.maximum(y, 0.0)), "cbrt": np.cbrt,
 }
 INVERSE: dict[str, Callable[[Column], Column]] = {"identity": lambda z: z, "log": F.exp, "log1p": F.expm1, "sqrt": lambda z: z * z, "cbrt": lambda z: z * z * z}
+NUMPY_INVERSE: dict[str, Callable[[np.ndarray], np.ndarray]] = {"identity": lambda z: z, "log": np.exp, "log1p": np.expm1, "sqrt": np.square, "cbrt": lambda z: z * z * z}
 
 
 def apply(name: Column, value: Column, table: dict[str, Callable[[Column], Column]]) -> Column:
