@@ -1,5 +1,7 @@
 """Steps worked out a series (or a forecast) at a time give what the long forms give, and neither rank nor multiply rows."""
 
+import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -83,3 +85,31 @@ def test_learning_rows_are_dealt_to_all_cores(spark):
     assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan  # small parts aren't merged
+
+
+def test_composite_works_series_out_side_by_side(spark):
+    """Series of one, three and seventy weeks: no windows or sorts of rows, and what a series lacks is the exact lower median of all rows."""
+    r = np.random.default_rng(9)
+    rows = [(s, p, datetime.date(2021, 1, 4) + datetime.timedelta(weeks=i), i, float(r.poisson(20)), bool(r.random() > 0.1)) for s, p, n in ((0, 1, 70), (1, 1, 3), (0, 9, 70), (2, 9, 1)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "store int, product int, week date, week_idx int, demand double, in_stock boolean").repartition(3)
+    out = X.composite(frame)
+    assert "Window" not in plan(out) and "percentile" not in plan(out) and "Join" not in plan(out)
+    got = out.orderBy("product", "store", "week_idx").toPandas()
+    assert len(got) == len(rows) and list(got.columns[:6]) == frame.columns
+    long = [g.y_scaled.to_numpy() for _, g in got.groupby(["store", "product"]) if len(g) == 70]
+    for k in (51, 52, 53):  # only the long series have any
+        known = np.sort(np.concatenate([v[:-k] for v in long]))
+        known = known[~np.isnan(known)]
+        assert (got[got.store > 0][f"lag_{k}"] == known[(len(known) + 1) // 2 - 1]).all()
+    one = got[got.store == 2].iloc[0]
+    assert one.scale_factor == 1.0 and one.sample_weight == 1.0 and one[list(X.COMPOSITE)].notna().all() and np.isnan(one.y_h1)
+
+
+def test_composite_medians_within_a_range(spark):
+    """Medians of values that share a range, of even and odd numbers, and of whole numbers."""
+    values = np.array([4.0001, 4.0002, 4.0003, 4.0004, -2.0, 9.0, 0.0])
+    places = X._place(values)
+    assert (np.argsort(places) == np.argsort(values)).all() and X._place(np.array([-0.0])) == X._place(np.array([0.0])) and len(set(places[:4] >> 44)) == 1
+    y = np.array([0.0005, 2.0015, -0.0005, 1.23449999, 1e300, 123456.0015, 0.125])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in y], "v double").select(F.round("v", 3)).collect()]
+    assert X.rounded(y, 3).tolist() == want
