@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,8 +101,49 @@ def fit(vectors: DataFrame, tables: int, functions: int, width: float, success:
     return Tables(x.shape[1], float(np.quantile(nearest, 0.9)) if len(nearest) else 1.0, tables, functions, width, success)
 
 
-def _round(rows: DataFrame, asked: DataFrame, hashing: Tables, k: int, block: int) -> DataFrame:
-    """query_id, vec_id, score: candidates in the buckets that the queries visit, the best of each group of buckets."""
+def closest(ids: np.ndarray, x: np.ndarray, queries: np.ndarray, v: np.ndarray, k: int, seen: Callable[[slice], np.ndarray] | None = None, cells: int = 1 << 20) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query its id repeated, and the ids and distances of its ``k`` nearest rows but its own, ties to the smaller id; ``seen`` gives the rows that queries may meet.
+
+    Squared distances by products, for about ``cells`` pairs at a time, leave the rows that are as near as the k-th or within rounding of it; these get
+    their distance by differences. Only results are kept.
+    """
+    out, step = [], max(1, cells // max(1, len(ids)))
+    square = (x**2).sum(1)
+    for a in range(0, len(queries), step):
+        part = slice(a, a + step)
+        q, w = queries[part], v[part]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (w**2).sum(1)[:, None] + square - 2 * (w @ x.T)
+            slack = 1e-9 * ((w**2).sum(1) + square.max(initial=0.0))
+        allowed = ids != q[:, None]
+        if seen is not None:
+            allowed &= seen(part)
+        plain = ~(np.isfinite(near) & np.isfinite(slack)[:, None]).all(1)  # squares beyond the doubles' range: by differences alone
+        near[~allowed] = np.inf
+        edge = np.partition(near, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
+        for i in range(len(q)):
+            every = allowed[i]
+            at = np.flatnonzero(every if plain[i] else every & (near[i] <= edge[i] + slack[i]))
+            best = _ranked(ids, x, w[i], at, k)
+            if len(best[0]) < k and len(at) < every.sum():  # rows that repeat a vec_id took the places of others
+                best = _ranked(ids, x, w[i], np.flatnonzero(every), k)
+            out.append((np.full(len(best[0]), q[i]), *best))
+    return out
+
+
+def _ranked(ids: np.ndarray, x: np.ndarray, v: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and distances of the ``k`` nearest of the rows ``at``; of rows that repeat a vec_id the nearest."""
+    score = np.sqrt(((x[at] - v) ** 2).sum(1))
+    best = np.lexsort((ids[at], score))
+    best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]
+    return ids[at][best], score[best]
+
+
+def _round(rows: DataFrame, asked: DataFrame, hashing: Tables, k: int, block: int, most: int) -> DataFrame:
+    """query_id, vec_id, score: candidates in the buckets that the queries visit, the best of each group of buckets.
+
+    A group holds about four blocks of rows and about ``most`` queries a table at most: where there are more queries, rows go to a group for each slice of them.
+    """
     tables = len(hashing.directions)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,31 +166,34 @@ def _round(rows: DataFrame, asked: DataFrame, hashing: Tables, k: int, block: in
     groups = F.lit(max(1, math.ceil(rows.count() * tables / (4 * block))))
     part_of = F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")
     group = F.pmod(F.xxhash64("t", "bucket", "part"), groups).alias("g")
-    data = placed.join(sizes, ["t", "bucket"]).select("t", "bucket", part_of.alias("part"), "vec_id", "v").select(group, "t", "bucket", "vec_id", "v")
+    slices = max(1, math.ceil(asked.count() / most))
+    data = placed.join(sizes, ["t", "bucket"]).select("t", "bucket", part_of.alias("part"), "vec_id", "v").select(group, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("s"), "t", "bucket", "vec_id", "v")
     visits = spread(asked).mapInArrow(visit, "t int, query_id long, buckets array<long>").select("t", "query_id", F.explode("buckets").alias("bucket"))
     visits = visits.join(sizes, ["t", "bucket"]).select("t", "bucket", "query_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     # One row for each query and group, with the buckets it visits there.
-    visits = visits.groupBy(group, "t", "query_id").agg(F.collect_set("bucket").alias("buckets")).join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
+    visits = visits.groupBy(group, F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int").alias("s"), "t", "query_id").agg(F.collect_set("bucket").alias("buckets")).join(asked.select(F.col("vec_id").alias("query_id"), "v"), "query_id")
 
     def rerank(near: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        near = near.sort_values(["t", "bucket"], kind="stable")
         out = []
         for t, own in asks.groupby("t") if len(near) else ():
             some = near[near.t == t]
             if not len(some):
                 continue
-            keys, ids, x = some.bucket.to_numpy(), some.vec_id.to_numpy(), np.stack(some.v.to_numpy())
-            for q, buckets, v in zip(own.query_id, own.buckets, own.v):
-                buckets = np.unique(np.asarray(buckets, np.int64))
-                lows, highs = np.searchsorted(keys, buckets), np.searchsorted(keys, buckets, "right")
-                at = np.concatenate([np.arange(a, b) for a, b in zip(lows, highs) if b > a] or [np.zeros(0, int)])
-                at = at[ids[at] != q]
-                score = np.sqrt(((x[at] - np.asarray(v)) ** 2).sum(1))
-                best = np.lexsort((ids[at], score))
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[at][best], "score": score[best]}).drop_duplicates("vec_id").head(k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            keys, place = np.unique(some.bucket.to_numpy(), return_inverse=True)
+            buckets = own.buckets.to_numpy()
+
+            def seen(part: slice, keys: np.ndarray = keys, place: np.ndarray = place, buckets: np.ndarray = buckets) -> np.ndarray:
+                asked_for = np.concatenate(buckets[part])
+                query, at = np.repeat(np.arange(len(buckets[part])), [len(b) for b in buckets[part]]), np.searchsorted(keys, asked_for)
+                here = keys[np.minimum(at, len(keys) - 1)] == asked_for  # not where this part of the bucket got no row
+                visited = np.zeros((len(buckets[part]), len(keys)), bool)
+                visited[query[here], at[here]] = True
+                return visited[:, place]
+
+            out += closest(some.vec_id.to_numpy(), np.stack(some.v.to_numpy()), own.query_id.to_numpy(), np.stack(own.v.to_numpy()), k, seen)
+        return pd.DataFrame({n: np.concatenate([o[i] for o in out] or [np.zeros(0, kind)]) for i, (n, kind) in enumerate((("query_id", "int64"), ("vec_id", "int64"), ("score", "float64")))})
 
-    return data.groupBy("g").cogroup(visits.groupBy("g")).applyInPandas(rerank, RESULT)
+    return data.groupBy("g", "s").cogroup(visits.groupBy("g", "s")).applyInPandas(rerank, RESULT)
 
 
 def scan(rows: DataFrame, asked: list, k: int) -> DataFrame:
@@ -162,19 +206,13 @@ def scan(rows: DataFrame, asked: list, k: int) -> DataFrame:
             if not b.num_rows:
                 continue
             x, ids = np.stack(b.column("v").to_numpy(zero_copy_only=False)), b.column("vec_id").to_numpy()
-            found = []
-            for i, v in zip(queries.tolist(), q):
-                at = np.flatnonzero(ids != i)
-                score = np.sqrt(((x[at] - v) ** 2).sum(1))
-                best = np.lexsort((ids[at], score))
-                best = best[np.sort(np.unique(ids[at][best], return_index=True)[1])[:k]]  # rows that repeat a vec_id: the nearest
-                found.append((np.full(len(best), i), ids[at][best], score[best]))
+            found = closest(ids, x, queries, q, k)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["query_id", "vec_id", "score"])
 
     return rows.mapInArrow(run, RESULT)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2, functions: int = 4, width: float = 0.8, success: float = 0.97, sample: int = 1024, block: int = 4096, rounds: int = 3, growth: float = 3.0) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2, functions: int = 4, width: float = 0.8, success: float = 0.97, sample: int = 1024, block: int = 4096, rounds: int = 3, growth: float = 3.0, most: int = 32768) -> DataFrame:
     """query_id, rank, vec_id, score: up to ``k`` nearest found in ``vectors`` for each of ``queries`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     ready(spark)
@@ -187,7 +225,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, tables: int = 2,
         if step:
             reach *= growth
             hashing = Tables(hashing.directions.shape[2], reach, tables, functions, width, success, seed=7 + step)
-        more = _round(rows, left, hashing, k, block)
+        more = _round(rows, left, hashing, k, block, most)
         found = saved(more if found is None else found.unionByName(more), "near")
         own = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")).groupBy("query_id").agg(F.array_sort(F.collect_list("score")).alias("scores"))
         full = own.where((F.size("scores") >= k) & (F.get("scores", F.lit(k - 1)) <= reach)).select(F.col("query_id").alias("vec_id"))

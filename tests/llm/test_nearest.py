@@ -80,3 +80,30 @@ def test_a_scan_compares_all(spark):
         if i != 7:
             dist[i] = min(dist.get(i, 9e9), float(np.sqrt(((np.array(v, np.float32).astype(float) - np.array(some[0].v)) ** 2).sum())))
     assert [(i, round(s, 9)) for i, s in got] == [(i, round(d, 9)) for d, i in sorted((d, i) for i, d in dist.items())[:5]]
+
+
+def test_what_is_kept_of_a_group_is_its_results():
+    """Memory for queries against one group of rows grows with their results, not with the pairs; results are those of plain comparison."""
+    r = np.random.default_rng(4)
+    x, v = r.standard_normal((4000, 8)), r.standard_normal((300, 8))
+    x[100:140] = x[100]  # ties at the k-th place
+    v[0] = x[100]
+    ids = r.permutation(4000)
+    ids[:30] = ids[30:60]  # some ids on two rows
+    got = nearest.closest(ids, x, np.full(300, -1), v, 5)
+    held = {id(a.base if a.base is not None else a): (a.base if a.base is not None else a).nbytes for o in got for a in o}
+    assert sum(held.values()) <= 3 * 300 * 5 * 8 * 2
+    for (_, near, score), w in zip(got, v):
+        every = {}
+        for i, d in zip(ids.tolist(), np.sqrt(((x - w) ** 2).sum(1)).tolist()):
+            every[i] = min(every.get(i, np.inf), d)
+        assert list(zip(score.tolist(), near.tolist())) == sorted((d, i) for i, d in every.items())[:5]
+    far = nearest.closest(np.arange(3), np.array([[1e200, 0], [2e200, 0], [0, 1.0]]), np.array([9]), np.array([[0, 2.0]]), 2)
+    assert far[0][1].tolist() == [2, 0]
+
+
+def test_slices_of_queries_find_the_same(spark):
+    r = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, [float(a) for a in v], 0, 0.5) for i, v in enumerate(r.standard_normal((400, 6)).astype(np.float32))], SCHEMA)
+    one, more = (sorted(map(tuple, nearest.search(df, df.where("vec_id % 10 = 0"), block=32, most=m).collect())) for m in (32768, 7))
+    assert one == more and len(one) == 400
